@@ -69,7 +69,8 @@ def collisions(bodies: DataFrame, groups: DataFrame) -> DataFrame:
     """
     kept = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
     members = bodies.join(kept.select("h1", "h2", F.col("first.id").alias("keep_id")), ["h1", "h2"])
-    keeper = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h1", "h2").agg(F.min("body").alias("keep_body"))
+    # Written first: Spark splits a hot key of the join below only if its sides come straight from a shuffle.
+    keeper = checkpointed(members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h1", "h2").agg(F.min("body").alias("keep_body")))
     others = members.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return others.join(keeper, ["h1", "h2"]).where(F.col("body") != F.col("keep_body")).select("doc_id", "h1", "h2", "body")
 
