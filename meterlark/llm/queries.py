@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality, toxicity
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .source_mixing import mix_sources
 
 
@@ -14,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -63,8 +70,21 @@ WITH d AS (
 SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM c
 """
 
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op9_quality": op9_quality,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_source_mixing": OP8_SQL}
