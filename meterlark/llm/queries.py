@@ -5,17 +5,78 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality, toxicity
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprint_edits
 from .packing import pack_documents
 from .source_mixing import mix_sources
+from .url_lists import filter_urls, host_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _hex(text: str, start: int, n: int) -> str:
+    return f"cast(conv(substr(md5({text}), {start}, {n}), 16, 10) as bigint)"
+
+
+def _dated_list(pages: DataFrame) -> DataFrame:
+    """A list for the pages' hosts, dated within 2024: the tables hold none. Hosts, paths and domains come and go."""
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    hosts = hosts.selectExpr("host", f"{_hex('host', 1, 4)} as d")
+    domains = hosts.selectExpr("concat_ws('.', slice(split(host, '[.]'), -2, 2)) as host").where("size(split(host, '[.]')) = 2").distinct().selectExpr("host", f"{_hex('host', 1, 4)} as d")
+    entry = lambda rows, pattern, action, day, when: rows.where(when).selectExpr(f"{pattern} as pattern", f"'{action}' as action", f"timestamp_seconds(1704067200 + 86400 * ({day})) as listed_at")
+    parts = [
+        entry(hosts, "host", "add", "d % 200", "d % 3 <> 0"),
+        entry(hosts, "host", "remove", "d % 200 + 30 + d % 50", "d % 3 <> 0 and d % 2 = 0"),
+        entry(hosts, "host", "add", "d % 200 + 50 + d % 50", "d % 3 <> 0 and d % 4 = 0"),
+        entry(hosts, "host || '/en'", "add", "d % 300", "d % 5 = 0"),
+        entry(domains, "host", "add", "100 + d % 100", "true"),
+        entry(domains, "host", "remove", "103 + d % 100", "true"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.selectExpr("page_id as capture_id", "url", "timestamp_seconds(1704067200 + (page_id * 7919) % 31536000) as fetched_at")
+    found = filter_urls(captures, _dated_list(pages))
+    return found.select(F.col("capture_id").alias("page_id"), "host", F.unix_seconds("fetched_at").alias("fetched_s"), "blocked", "n_active", "pattern")
+
+
+OP3_SQL = r"""
+WITH c AS (
+  SELECT page_id, 1704067200 + (page_id * 7919) % 31536000 AS t, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?', 1) AS path FROM pages
+), n AS (
+  SELECT *, host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') AS whole FROM c
+), h AS (SELECT host, ('0x' || substr(md5(host), 1, 4))::BIGINT AS d FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)
+), o AS (SELECT host, ('0x' || substr(md5(host), 1, 4))::BIGINT AS d FROM (
+    SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.') AS host FROM h WHERE len(string_split(host, '.')) >= 2)
+), e AS (
+  SELECT host AS pattern, true AS adds, d % 200 AS day FROM h WHERE d % 3 <> 0
+  UNION ALL SELECT host, false, d % 200 + 30 + d % 50 FROM h WHERE d % 3 <> 0 AND d % 2 = 0
+  UNION ALL SELECT host, true, d % 200 + 50 + d % 50 FROM h WHERE d % 3 <> 0 AND d % 4 = 0
+  UNION ALL SELECT host || '/en', true, d % 300 FROM h WHERE d % 5 = 0
+  UNION ALL SELECT host, true, 100 + d % 100 FROM o UNION ALL SELECT host, false, 103 + d % 100 FROM o
+), s AS (SELECT pattern, 1704067200 + 86400 * day AS t, min(adds) AS adds FROM e GROUP BY pattern, day
+), u AS (SELECT *, coalesce(lag(adds) OVER (PARTITION BY pattern ORDER BY t), false) AS was FROM s
+), v AS (SELECT pattern, adds, t AS a, lead(t) OVER (PARTITION BY pattern ORDER BY t) AS b FROM u WHERE adds <> was
+), m AS (
+  SELECT n.page_id, n.t, v.pattern FROM n JOIN v ON v.adds AND n.t >= v.a AND (v.b IS NULL OR n.t < v.b)
+    AND (n.host = v.pattern OR ends_with(n.host, '.' || v.pattern) OR (contains(v.pattern, '/') AND (n.whole = v.pattern OR starts_with(n.whole, v.pattern || '/'))))
+), g AS (SELECT page_id, t, count(*) AS n_active, max({'n': length(pattern), 'pattern': pattern}).pattern AS pattern FROM m GROUP BY page_id, t)
+SELECT n.page_id, n.host, n.t AS fetched_s, g.n_active IS NOT NULL AS blocked, coalesce(g.n_active, 0) AS n_active, g.pattern
+FROM n LEFT JOIN g ON n.page_id = g.page_id AND n.t = g.t
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -37,6 +98,10 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(body) AS text_sha256
 """
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -81,10 +146,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_lists": op3_url_lists,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_fingerprints": op6_fingerprints,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_source_mixing": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_url_lists": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_source_mixing": OP8_SQL}
