@@ -13,12 +13,29 @@ from .fingerprints import fingerprint_edits
 from .packing import pack_documents
 from .source_mixing import mix_sources
 from .url_lists import filter_urls, host_of
+from .warc import archive_round_trip, page_id_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_round_trip(_table(spark, sf_dir, "pages"))
+    return records.select(page_id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id_of("refers_to").alias("refers_to"), "error")
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), g AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY body) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, sha256(body) AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to, NULL::VARCHAR AS error FROM g
+"""
+
+
 def _hex(text: str, start: int, n: int) -> str:
     return f"cast(conv(substr(md5({text}), {start}, {n}), 16, 10) as bigint)"
 
@@ -146,6 +163,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_url_lists": op3_url_lists,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
@@ -154,4 +172,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op3_url_lists": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_source_mixing": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op3_url_lists": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_source_mixing": OP8_SQL}
