@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import quality, toxicity
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .source_mixing import mix_sources
 from .url_lists import filter_urls, host_of
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=85)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive_round_trip(_table(spark, sf_dir, "pages"))
     return records.select(page_id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id_of("refers_to").alias("refers_to"), "error")
@@ -163,6 +168,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
     "op3_url_lists": op3_url_lists,
     "op4_toxicity": op4_toxicity,
