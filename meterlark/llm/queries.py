@@ -13,6 +13,7 @@ from .fingerprints import fingerprint_edits
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .source_mixing import mix_sources
+from .suffix_dedup import removal_digest, remove_repeats
 from .url_lists import filter_urls, host_of
 from .warc import archive_round_trip, page_id_of
 
@@ -124,6 +125,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -174,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_fingerprints": op6_fingerprints,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
