@@ -25,20 +25,22 @@ BROADCAST_GROUPS = 500_000
 
 
 def _digest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    points, high, low, sha = [], [], [], []
+    points, high, low, sha, mark = [], [], [], [], []
     for text in batch.column(1).to_pylist():
         text = text or ""
-        body = text.encode("utf-8", "surrogatepass").translate(None, SPACES)
+        whole = text.encode("utf-8", "surrogatepass")
+        body = whole.translate(None, SPACES)
+        mark.append(int.from_bytes(xxhash.xxh64_digest(whole, 42), "big", signed=True))
         code = xxhash.xxh3_128_digest(body)
         points.append(len(text))
         high.append(int.from_bytes(code[:8], "little", signed=True))
         low.append(int.from_bytes(code[8:], "little", signed=True))
         sha.append(hashlib.sha256(body).hexdigest())
-    yield pa.record_batch([batch.column(0), pa.array(points, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sha, pa.string())], schema=_digest_schema(batch.schema.field(0).type))
+    yield pa.record_batch([batch.column(0), pa.array(points, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sha, pa.string()), pa.array(mark, pa.int64())], schema=_digest_schema(batch.schema.field(0).type))
 
 
 def _digest_schema(id_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("doc_id", id_type), ("points", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("text_sha256", pa.string())])
+    return pa.schema([("doc_id", id_type), ("points", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("text_sha256", pa.string()), ("mark", pa.int64())])
 
 
 def _bodies(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -75,12 +77,15 @@ def collisions(bodies: DataFrame, groups: DataFrame) -> DataFrame:
     return others.join(keeper, ["h1", "h2"]).where(F.col("body") != F.col("keep_body")).select("doc_id", "h1", "h2", "body")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per different row of ``docs``, with how often it is there (copies), its group and whether it is the one that stays.
+
+    ``mark`` is what xxhash64() gives for the text, null taken as empty; with the id it finds the row again.
+    """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[narrow.dtypes[0][1]]
     digests = map_batches(narrow, _digest, _digest_schema(id_type))
-    rows = checkpointed(digests.groupBy("doc_id", "points", "h1", "h2", "text_sha256").agg(F.count("*").alias("copies")))
+    rows = checkpointed(digests.groupBy("doc_id", "points", "h1", "h2", "text_sha256", "mark").agg(F.count("*").alias("copies")))
     groups = checkpointed(_groups(rows, "h1", "h2"))
     bodies = map_batches(narrow, _bodies, _body_schema(id_type))
     odd = checkpointed(collisions(bodies, groups.where("group_size > 1")))
@@ -92,12 +97,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         keys = ["h1", "h2", "apart"]
         groups = _groups(rows, *keys)
     first = (F.col("points") == -F.col("first.less")) & F.col("doc_id").eqNullSafe(F.col("first.id"))
-    joined = rows.join(groups, keys).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    return joined.select("doc_id", F.col("first.id").alias("keep_id"), "group_size", (first & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    return rows.join(groups, keys).withColumn("is_first", first)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    rows = decisions(docs, id_col, text_col).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    return rows.select("doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("is_first") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that exact_dedup drops; all columns stay."""
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("stay_id")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("stay_id"))
-    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    found = checkpointed(decisions(docs))
+    # Two rows of one id that differ in white space alone, but are as long, are both "first": the smaller mark stays.
+    stay = found.where("is_first").groupBy("h1", "h2", F.col("doc_id").alias("stay_id")).agg(F.min("mark").alias("stay_mark"), F.sum("copies").alias("n"))
+    same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("stay_mark"))
+    kept = docs.join(stay.select("stay_id", "stay_mark"), same, "left_semi")
+    return kept if found.where("copies > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])

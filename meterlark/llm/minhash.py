@@ -11,7 +11,7 @@ import numpy as np
 #: A band holds the minima of this many permutations and the maxima of as many others.
 HALF_ROWS = 3
 BANDS = 26
-PERMUTATIONS = HALF_ROWS * BANDS
+MOST_BANDS = 64
 #: Shingles hashed against all permutations at once.
 BLOCK = 1024
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -29,7 +29,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _tables(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**64, 256, dtype=np.uint64), rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
+    return rng.integers(0, 2**64, 256, dtype=np.uint64), rng.integers(0, 2**64, HALF_ROWS * MOST_BANDS, dtype=np.uint64) | np.uint64(1)
 
 
 BYTE_CODES, MULTIPLIERS = _tables()
@@ -77,12 +77,19 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(mixed(runs + np.uint64(width)))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minima, then maxima, of the shingles under each permutation."""
-    low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    high = np.zeros(PERMUTATIONS, np.uint64)
+def bands_for(threshold: int) -> int:
+    """Bands with which a pair at the threshold (in hundredths) is missed with a probability under one in 100,000."""
+    chance = (threshold / 100) ** (2 * HALF_ROWS)
+    return min(MOST_BANDS, max(1, int(np.ceil(np.log(1e-5) / np.log1p(-min(chance, 0.999999))))))
+
+
+def signature(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """Minima, then maxima, of the shingles under HALF_ROWS permutations for each band."""
+    multipliers = MULTIPLIERS[: HALF_ROWS * bands]
+    low = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
+    high = np.zeros(len(multipliers), np.uint64)
     for at in range(0, len(shingles), BLOCK):
-        values = MULTIPLIERS[:, None] * shingles[None, at : at + BLOCK]
+        values = multipliers[:, None] * shingles[None, at : at + BLOCK]
         np.minimum(low, values.min(1), out=low)
         np.maximum(high, values.max(1), out=high)
     return np.concatenate([low, high])
@@ -90,9 +97,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def band_codes(sig: np.ndarray) -> np.ndarray:
     """A code per band: of the minima of its permutations and the maxima of the next band's, so no permutation is in a band twice."""
-    low = sig[:PERMUTATIONS].reshape(BANDS, HALF_ROWS)
-    high = np.roll(sig[PERMUTATIONS:].reshape(BANDS, HALF_ROWS), -1, axis=0)
-    code = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in np.hstack([low, high]).T:
+    low, high = sig.reshape(2, -1, HALF_ROWS)
+    code = np.arange(1, len(low) + 1, dtype=np.uint64)
+    for column in np.hstack([low, np.roll(high, -1, axis=0)]).T:
         code = mixed(code * ODD + column)
     return code

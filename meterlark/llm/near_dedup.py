@@ -10,7 +10,8 @@
    forest of the links it finds, which has the same components as all of them.
 4. The components of the confirmed links, and each class's members, give the answer.
 
-With 26 bands of six values a pair at the threshold of 0.85 is missed with a probability of 5 in a million, at 0.8 of 5 in ten thousand.
+A band has six values, and there are as many bands as keep the chance to miss a pair at the threshold below one in 100,000
+(25 at 0.85, 38 at 0.8).
 
 Defined results: a null, empty or blank text has no shingles, is linked with nothing and is its own component. A
 text with fewer words than a shingle has one shingle, the whole sequence. Rows that repeat an id and text share
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, map_batches
 from .graph import connected_components
-from .minhash import band_codes, shingle_set, signature
+from .minhash import band_codes, bands_for, shingle_set, signature
 
 UNIT = 512
 BLOCK = 512
@@ -40,7 +41,7 @@ BROADCAST_IDS = 1_000_000
 SLAB = 4096
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, count: int) -> DataFrame:
     """(doc_id, n_shingles, set_hi, set_lo, bands) for each row; bands is null without shingles."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -52,7 +53,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             n.append(len(s))
             hi.append(int(code[0]))
             lo.append(int(code[1]))
-            bands.append(band_codes(signature(s)).view(np.int64) if len(s) else None)
+            bands.append(band_codes(signature(s, count)).view(np.int64) if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip((n, hi, lo, bands), list(schema)[1:]))], schema=schema)
 
     return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, schema)
@@ -187,7 +188,7 @@ def work_units(members: DataFrame, unit: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, unit: int = UNIT, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Linked where 100 * intersection >= threshold * union."""
-    found = checkpointed(signatures(docs, shingle))
+    found = checkpointed(signatures(docs, shingle, bands_for(threshold)))
     filled = found.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull())
     classes = checkpointed(filled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     codes = classes.select("rep", F.explode("bands").alias("code"))
