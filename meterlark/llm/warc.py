@@ -75,10 +75,11 @@ def dictionary_frame(data: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed
 
 
-def record_bytes(kind: str, record_id: str, uri: str | None, date: str, digest: str, payload: bytes, refers_to: str | None) -> bytes:
-    """One WARC record around an HTTP response; a revisit keeps the response's head only."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http + (payload if kind == "response" else b"")
+def record_bytes(kind: str, record_id: str, uri: str | None, date: str, digest: str, payload: bytes | int, refers_to: str | None) -> bytes:
+    """One WARC record around an HTTP response; a revisit keeps the response's head only, and needs the payload's length only."""
+    body = payload if isinstance(payload, bytes) else b""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(body) if isinstance(payload, bytes) else payload)
+    block = http + body
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}"]
     if uri is not None:
         lines.append("WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"))
@@ -215,10 +216,18 @@ def read_archives(spark: SparkSession, path: str, pattern: str | None = None) ->
 
 
 def _with_digest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html) with the html as bytes, its length and its digest."""
-    bodies = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-    digests = [hashlib.sha256(b).hexdigest() for b in bodies]
-    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary()), pa.array(list(map(len, bodies)), pa.int64()), pa.array(digests)], names=["page_id", "url", "payload", "payload_bytes", "digest"])
+    """(page_id, payload_bytes, digest) of pages."""
+    bodies = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, bodies)), pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string())], schema=DIGESTS)
+
+
+DIGESTS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("digest", pa.string())])
+FRAMES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("frame", pa.binary())])
+
+
+def record_writer(dictionary: bytes) -> zstandard.ZstdCompressor:
+    with_dictionary = {"dict_data": as_dictionary(dictionary)} if dictionary else {}
+    return zstandard.ZstdCompressor(level=6, write_checksum=True, write_content_size=True, **with_dictionary)
 
 
 def revisits(digests: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
@@ -232,9 +241,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     """Writes ``pages`` as archives under ``path``. The html is shuffled once, by page id and digest, into even parts."""
     spark = pages.sparkSession
     narrow = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string())])
-    full = map_batches(narrow, _with_digest, schema)
-    digests = checkpointed(full.select("page_id", "payload_bytes", "digest"))
+    digests = checkpointed(map_batches(narrow.select("page_id", "html"), _with_digest, DIGESTS))
     total = digests.agg(F.sum("payload_bytes")).first()[0] or 0
     parts = max(1, -(-total // archive_bytes))
     ids = [r.page_id for r in digests.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id")).limit(SAMPLE_PAGES).collect()]
@@ -242,18 +249,29 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     dictionary = train_dictionary(samples) if samples else b""
     repeats = revisits(digests).withColumnRenamed("page_id", "r_id").withColumnRenamed("digest", "r_digest")
     same = (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
-    dealt = full.repartition(parts, "page_id", "digest").join(repeats.hint("shuffle_hash"), same, "left").select("page_id", "url", "payload", "digest", "refers_to")
+
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = record_writer(dictionary)
+        for batch in batches:
+            rows = []
+            for page_id, url, html in zip(*[c.to_pylist() for c in batch.columns]):
+                payload = (html or "").encode("utf-8", "surrogatepass")
+                digest = hashlib.sha256(payload).hexdigest()
+                rows.append((page_id, url, len(payload), digest, writer.compress(record_bytes("response", f"urn:page:{page_id}", url, date, digest, payload, None))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(FRAMES)], schema=FRAMES)
+
+    # Frames are made before the shuffle, which so moves as many bytes as the archives hold.
+    made = narrow.mapInArrow(responses, from_arrow_schema(FRAMES))
+    dealt = made.repartition(parts, "page_id", "digest").join(repeats.hint("shuffle_hash"), same, "left").select("page_id", "url", "payload_bytes", "digest", "frame", "refers_to")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with_dictionary = {"dict_data": as_dictionary(dictionary)} if dictionary else {}
-        writer = zstandard.ZstdCompressor(level=6, write_checksum=True, write_content_size=True, **with_dictionary)
-        began = False
+        writer, began = record_writer(dictionary), False
         for batch in batches:
             out = [] if began or not batch.num_rows or not dictionary else [dictionary_frame(dictionary)]
             began = began or batch.num_rows > 0
-            for page_id, url, payload, digest, refers in zip(*[c.to_pylist() for c in batch.columns]):
-                kind = "response" if refers is None else "revisit"
-                out.append(writer.compress(record_bytes(kind, f"urn:page:{page_id}", url, date, digest, payload, f"urn:page:{refers}")))
+            for page_id, url, size, digest, frame, refers in zip(*[c.to_pylist() for c in batch.columns]):
+                again = refers is not None and record_bytes("revisit", f"urn:page:{page_id}", url, date, digest, size, f"urn:page:{refers}")
+                out.append(writer.compress(again) if again else frame)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     dealt.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
