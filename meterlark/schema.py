@@ -12,8 +12,12 @@ SOURCES = ("claude-code", "codex", "grok", "pi", "cursor")
 ACCOUNT_SOURCES = ("cursor",)
 
 
+_KINDS = {"STRING": T.StringType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "TIMESTAMP": T.TimestampType()}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A struct from "name KIND, ..."; StructType.fromDDL would need a running session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in text.split(","))])
 
 
 _TOKENS = ", ".join(f"{c} BIGINT" for c in TOKENS)
@@ -24,7 +28,10 @@ SESSION = _struct(
     "host_id STRING, source STRING, project STRING, session_hash STRING, first_at TIMESTAMP, last_at TIMESTAMP, duration_seconds BIGINT, "
     "active_seconds BIGINT, message_count BIGINT, user_message_count BIGINT, input BIGINT, output BIGINT, cache_read BIGINT, total BIGINT"
 )
-ACCOUNT = _struct("account_hash STRING, label STRING, plan STRING, percent_used DOUBLE, limit_cents BIGINT, used_cents BIGINT, fetched_at TIMESTAMP, archived_at TIMESTAMP")
+ACCOUNT = _struct(
+    "account_hash STRING, label STRING, membership STRING, api_percent DOUBLE, auto_percent DOUBLE, bot_percent DOUBLE, used_cents BIGINT, "
+    "cycle_start TIMESTAMP, cycle_end TIMESTAMP, fetched_at TIMESTAMP, archived_at TIMESTAMP"
+)
 PRICE = _struct("key STRING, input DOUBLE, output DOUBLE, cache_read DOUBLE, cache_write DOUBLE, reasoning DOUBLE")
 HOST = _struct("host_id STRING, hostname STRING, last_seen TIMESTAMP, agent_version STRING, timezone STRING")
 TOKEN = _struct("token_hash STRING, host_id STRING, prefix STRING, label STRING, created_at TIMESTAMP, revoked_at TIMESTAMP")

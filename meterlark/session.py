@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +35,17 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8) -> Spark
         master=f"local[{n}]",
         **{"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (one machine) a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="meterlark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return os.path.join(shared_folder(spark), f"{name}-{os.urandom(8).hex()}")
