@@ -30,5 +30,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     text = F.coalesce("text", F.lit(""))
     start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - chars, F.lit(0)) + 1)
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", text.substr(start.cast("int"), F.lit(chars)).alias("text"))
-    found = sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.max("text").alias("text"))  # an id that is there often counts once
+    found = sorted(rows.collect(), key=lambda r: r.doc_id)
     return [r.text for r in found], [r.label for r in found], float(share)

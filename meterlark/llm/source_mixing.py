@@ -84,7 +84,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: each row as often as it is taken. Rows that repeat an id are told apart by size."""
     nth = lambda size: F.row_number().over(Window.partitionBy("mix_key").orderBy(size))
-    copies = mix_sources(docs, **options).select(solid_key(F.col("doc_id")).alias("mix_key"), "size", "copies").withColumn("mix_nth", nth(F.col("size"))).where("copies > 0").drop("size")
+    copies = mix_sources(docs, **options).select(solid_key(F.col("doc_id")).alias("mix_key"), "size", F.col("copies").alias("mix_copies")).withColumn("mix_nth", nth(F.col("size"))).where("mix_copies > 0").drop("size")
     numbered = docs.withColumn("mix_key", solid_key(F.col("doc_id"))).withColumn("mix_nth", nth(word_count(F.col("text"))))
     taken = numbered.join(copies, ["mix_key", "mix_nth"])
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(*docs.columns)
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "mix_copies"))).select(*docs.columns)
