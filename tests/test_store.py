@@ -240,3 +240,14 @@ def test_small_functions():
     with pytest.raises(ValueError):
         times.interval_seconds("5s")
     assert times.preset_window("7d", T0) == (T0 - dt.timedelta(days=7), T0) and times.covered_days(dt.date(2026, 1, 1), dt.date(2026, 1, 3)) == 3
+
+
+def test_filters_reach_the_scan(spark):
+    table = BucketTable(spark, new_folder(spark, "pruned"))
+    table.upsert(frame(spark, [bucket(total=1), bucket(total=2, day=20)]))
+    f = Filter.of(dt.datetime(2026, 1, 14, tzinfo=dt.timezone.utc), dt.datetime(2026, 1, 16, tzinfo=dt.timezone.utc), host="h", source="codex")
+    plan = scan_days(table.read(), None, f)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "FileScan" in line)
+    assert "PartitionFilters: [isnotnull(day" in scan
+    assert "PushedFilters: [IsNotNull(bucket_start), IsNotNull(host_id), IsNotNull(source), GreaterThanOrEqual(bucket_start" in scan
+    assert scan_days(table.read(), None, f).count() == 1
