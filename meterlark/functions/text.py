@@ -12,6 +12,14 @@ PRICE_EFFORT_PARTS = ("xhigh", "high", "medium", "low")
 #: Provider prefixes of price keys, the first that matches is dropped (fixed values).
 PROVIDERS = ("anthropic/", "openai/", "xai/", "google/", "azure/", "azure_ai/", "vertex_ai/", "bedrock/", "openrouter/", "grok/")
 
+#: Kinds of login session and the codes that end them (fixed values).
+SESSION_TYPES = {"SESSION_TYPE_WEB": 1, "SESSION_TYPE_CLIENT": 2, "SESSION_TYPE_MOBILE": 10, "SESSION_TYPE_CHROME_EXTENSION": 11}
+
+
+def session_type_code(kind: Column) -> Column:
+    """The code of a login session's kind; null for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in SESSION_TYPES.items() for x in pair]), kind)
+
 
 def trimmed(s: Column) -> Column:
     """Without white space of any script at the ends."""

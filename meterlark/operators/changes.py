@@ -49,3 +49,12 @@ def last_events(events: DataFrame, per: str, order: Column, most: int = 50) -> D
     """The newest ``most`` events of each account's log, which is a ring of that many."""
     nth = F.row_number().over(Window.partitionBy(per).orderBy(order.desc()))
     return events.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+
+def sync_report(results: DataFrame) -> DataFrame:
+    """One row over all destinations' results: what was taken, protected and changed, whether all went well, whether to try again."""
+    whole = lambda *columns: F.coalesce(F.sum(sum((F.col(c) for c in columns), F.lit(0))), F.lit(0))
+    return results.agg(
+        whole("ingested").alias("ingested"), whole("sessions").alias("sessions"), whole("protected").alias("protected"), whole("changed_buckets", "changed_sessions").alias("changed"),
+        F.coalesce(F.bool_and("ok"), F.lit(True)).alias("all_ok"), F.coalesce(F.bool_or(F.col("error_kind") == "retryable"), F.lit(False)).alias("retry"),
+    )

@@ -51,3 +51,8 @@ def cycle_totals(buckets: DataFrame, cycles: DataFrame) -> DataFrame:
     inside = (F.col("bucket_start") >= F.col("cycle_start")) & (F.col("bucket_start") < F.col("cycle_end"))
     totals = usage.join(cycles, "account_hash").groupBy("account_hash")
     return totals.agg(F.sum("total").alias("lifetime"), F.coalesce(F.sum(F.when(inside, F.col("total"))), F.lit(0)).alias("in_cycle"))
+
+
+def bin_window(bins: DataFrame, step: int, start_s: int, end_s: int) -> DataFrame:
+    """What part of the asked window each bin (bin_s) covers, in epoch seconds."""
+    return bins.withColumns({"from_s": F.greatest("bin_s", F.lit(start_s)), "to_s": F.least(F.col("bin_s") + step, F.lit(end_s))})

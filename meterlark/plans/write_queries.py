@@ -257,6 +257,17 @@ def join_expiry(spark: SparkSession, sf_dir: str):
     return after.join(tokens, "token_hash").select("join_id", "status", F.col("revoked_at").isNotNull().alias("revoked"))
 
 
+@query("""SELECT sum(event_id % 5)::BIGINT AS ingested, sum(user_id % 3)::BIGINT AS sessions, sum(event_id % 2)::BIGINT AS protected, sum(event_id % 5 + user_id % 3)::BIGINT AS changed,
+  bool_and(event_type <> 'error') AS all_ok, bool_or(event_type = 'error' AND event_id % 2 = 0) AS retry FROM events""")
+def sync_totals(spark: SparkSession, sf_dir: str):
+    bad = F.col("event_type") == "error"
+    results = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        (F.col("event_id") % 5).alias("ingested"), (F.col("user_id") % 3).alias("sessions"), (F.col("event_id") % 2).alias("protected"), (F.col("event_id") % 5).alias("changed_buckets"), (F.col("user_id") % 3).alias("changed_sessions"),
+        (~bad).alias("ok"), F.when(bad, F.when(F.col("event_id") % 2 == 0, F.lit("retryable")).otherwise(F.lit("fatal"))).alias("error_kind"),
+    )
+    return changes.sync_report(results)
+
+
 @query(f"""WITH {SQL_SNAPS} {_SHOWN} FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY total DESC, seq DESC) AS rn FROM snaps) WHERE rn = 1""")
 def streaming_upsert(spark: SparkSession, sf_dir: str):
     """The events as a stream, upserted batch by batch into a table in the shared folder."""

@@ -10,7 +10,7 @@ import pytest
 from meterlark.engine import Engine
 from meterlark.functions import times
 from meterlark.functions.numbers import text_count, variant_count
-from meterlark.functions.text import utc_offset
+from meterlark.functions.text import session_type_code, utc_offset
 from meterlark.operators import changes, control, upserts, views
 from meterlark.operators.pricing import layered_prices, price_index, prices_from_json, resolved_prices
 from meterlark.operators.scans import Filter, daily_rollups, scan_days
@@ -231,6 +231,10 @@ def test_pages(spark):
     assert {r.key: r.value for r in views.top_and_other(groups).collect()}["other"] == 1 + 2 + 3
     assert views.top_and_other(groups.limit(8)).count() == 8
     assert [r.key for r in views.page_of(groups, 1, 3, F.desc("total")).collect()] == ["k7", "k6", "k5"]
+    bins = views.bin_window(spark.range(0, 300, 100).withColumnRenamed("id", "bin_s"), 100, 30, 250).orderBy("bin_s").collect()
+    assert [(r.from_s, r.to_s) for r in bins] == [(30, 100), (100, 200), (200, 250)]
+    kinds = spark.createDataFrame([("SESSION_TYPE_WEB",), ("other",), (None,)], "k string").select(session_type_code(F.col("k")).alias("c")).collect()
+    assert [r.c for r in kinds] == [1, None, None]
     ends = spark.createDataFrame([("a", dt.datetime(2026, 3, 31, 7, 30))], "account_hash string, cycle_end timestamp")
     assert views.billing_cycles(ends).first().cycle_start == dt.datetime(2026, 2, 28, 7, 30)
 
