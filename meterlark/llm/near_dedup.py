@@ -3,11 +3,13 @@
 1. Each text becomes its set of distinct word shingles and a signature of minima and maxima (minhash.py); documents with equal
    sets form a class, represented by its smallest id.
 2. Classes whose signatures agree in a band meet in a bucket. A bucket gives a star of candidate links, not all pairs;
-   the components of these stars are the units of work. A component of more than UNIT classes is taken apart
-   again into its buckets, each distinct one once.
-3. In a unit, every pair is confirmed on full shingle sets. A unit of more than BLOCK classes is split into blocks,
-   and each pair of blocks is a task of its own, so no task holds more than two blocks. A task returns a spanning
-   forest of the links it finds, which has the same components as all of them.
+   the components of these stars are the units of work. In a component of more than UNIT classes each class is first
+   held against two pivots of its buckets, which settles most of a large group of near copies in one pass over it. Then the
+   component is taken apart into its buckets, each distinct one once; one whose classes are joined already is done.
+3. In a unit, pairs are confirmed on full shingle sets: every pair, but for those inside the largest part of a bucket that the
+   pivots have joined, which needs no more links. A unit of more than BLOCK classes is split into blocks, and each
+   pair of blocks is a task of its own, so no task holds more than two blocks. A task returns a spanning forest of the
+   links it finds, which has the same components as all of them.
 4. The components of the confirmed links, and each class's members, give the answer.
 
 A band has six values, and there are as many bands as keep the chance to miss a pair at the threshold below one in 100,000
@@ -135,10 +137,17 @@ def confirm(first: list[tuple[int, np.ndarray]], second: list[tuple[int, np.ndar
 
 
 def confirmed_links(units: DataFrame, sets: DataFrame, threshold: int, block: int) -> DataFrame:
-    """(a, b): a spanning forest of the links in each unit (kind, unit, rep)."""
-    sizes = checkpointed(units.groupBy("kind", "unit").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    rows = units.join(sizes, ["kind", "unit"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """(a, b): a spanning forest of the links in each unit (kind, unit, rep, main). Pairs of two ``main`` classes are joined already.
+
+    The first ``rest`` blocks of a unit hold the other classes, the last ones the main classes; main blocks meet no main block.
+    """
+    blocks_of = lambda test: F.ceil(F.count_if(test) / block).cast("int")
+    sizes = checkpointed(units.groupBy("kind", "unit").agg(blocks_of(~F.col("main")).alias("rest"), blocks_of(F.col("main")).alias("mains")))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
+    own = F.when(F.col("main"), F.col("rest") + place(F.col("mains"))).otherwise(place(F.col("rest")))
+    others = F.when(F.col("main"), F.col("rest")).otherwise(F.col("rest") + F.col("mains"))
+    rows = units.join(sizes, ["kind", "unit"]).withColumn("block", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     rows = rows.select("kind", "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
     keys = ["kind", "unit", "i", "j"]
@@ -170,20 +179,46 @@ def confirmed_links(units: DataFrame, sets: DataFrame, threshold: int, block: in
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def work_units(members: DataFrame, unit: int) -> DataFrame:
-    """(kind, unit, rep): components of the buckets' stars, or the distinct buckets of a component that is too large."""
+def pivot_links(members: DataFrame, docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """(a, b): confirmed links of classes with the pivot of their largest bucket and with their smallest pivot."""
+    chosen = F.array(F.max_by("pivot", F.struct("n", -F.col("pivot"))), F.min("pivot"))
+    pairs = members.groupBy("rep").agg(chosen.alias("p")).select("rep", F.explode(F.array_distinct("p")).alias("pivot")).where("rep <> pivot")
+    pairs = checkpointed(pairs)
+    sets = checkpointed(shingle_sets(docs, pairs.select("rep").unionByName(pairs.select(F.col("pivot").alias("rep"))).distinct(), shingle))
+    both = pairs.join(sets, "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("items").alias("pivot_items")), "pivot")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = []
+        for pivot, rep, items, other in zip(*[c.to_pylist() for c in batch.columns]):
+            s, t = np.frombuffer(items, np.uint64), np.frombuffer(other, np.uint64)
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * common >= threshold * (len(s) + len(t) - common):
+                found.append((pivot, rep))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return checkpointed(map_batches(both.select("pivot", "rep", "items", "pivot_items"), run, schema))
+
+
+def work_units(members: DataFrame, docs: DataFrame, shingle: int, threshold: int, unit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(kind, unit, rep, main), and the links found on the way: components of the buckets' stars, or the distinct buckets of a
+    component that is too large. ``main`` classes of a unit are joined with each other by those links."""
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     coarse = connected_components(stars)
     sizes = coarse.groupBy("component").agg(F.count("*").alias("n"))
-    large = checkpointed(sizes.where(F.col("n") > unit))
-    small = coarse.join(sizes.where(F.col("n") <= unit), "component").select(F.lit(0).alias("kind"), F.col("component").alias("unit"), F.col("node").alias("rep"))
+    large = checkpointed(sizes.where(F.col("n") > unit).select("component"))
+    small = coarse.join(sizes.where(F.col("n") <= unit), "component").select(F.lit(0).alias("kind"), F.col("component").alias("unit"), F.col("node").alias("rep"), F.lit(False).alias("main"))
     if large.isEmpty():
-        return checkpointed(small)
-    inside = members.join(coarse.join(large, "component").select(F.col("node").alias("rep")), "rep")
-    buckets = inside.groupBy("code").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
-    distinct = buckets.groupBy("n", "s", "x").agg(F.min("code").alias("code")).select("code")
-    whole = checkpointed(inside.select("code", "rep")).join(checkpointed(distinct), "code").select(F.lit(1).alias("kind"), F.col("code").alias("unit"), "rep")
-    return checkpointed(small.unionByName(whole))
+        return checkpointed(small), None
+    inside = checkpointed(members.join(coarse.join(large, "component").select(F.col("node").alias("rep")), "rep"))
+    links = pivot_links(inside, docs, shingle, threshold)
+    joined = inside.join(connected_components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    joined = checkpointed(joined.select("code", "rep", "part"))
+    parts = joined.groupBy("code", "part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
+    buckets = parts.groupBy("code").agg(F.max_by("part", F.struct("n", "part")).alias("main_part"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
+    distinct = buckets.where("parts > 1").groupBy("n", "s", "x").agg(F.min(F.struct("code", "main_part")).alias("b")).select("b.*")
+    whole = joined.join(checkpointed(distinct), "code").select(F.lit(1).alias("kind"), F.col("code").alias("unit"), "rep", (F.col("part") == F.col("main_part")).alias("main"))
+    return checkpointed(small.unionByName(whole)), links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, unit: int = UNIT, block: int = BLOCK) -> DataFrame:
@@ -192,10 +227,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, unit
     filled = found.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull())
     classes = checkpointed(filled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     codes = classes.select("rep", F.explode("bands").alias("code"))
-    buckets = checkpointed(codes.groupBy("code").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    buckets = checkpointed(codes.groupBy("code").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
     members = checkpointed(codes.join(buckets, "code"))
-    units = work_units(members, unit)
+    units, settled = work_units(members, docs, shingle, threshold, unit)
     links = confirmed_links(units, shingle_sets(docs, checkpointed(units.select("rep").distinct()), shingle), threshold, block)
+    links = links if settled is None else links.unionByName(settled)
     components = connected_components(links)
     ranked = classes.select("set_hi", "set_lo", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     ranked = checkpointed(ranked.select(F.col("set_hi").alias("hi"), F.col("set_lo").alias("lo"), F.coalesce("component", "rep").alias("component")))
