@@ -62,31 +62,34 @@ def price_index(book: DataFrame) -> DataFrame:
     return best
 
 
-def _prefixes(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.substring(text, F.lit(1), n))
+def price_book(index: DataFrame) -> Column:
+    """The index as one map from slug to price: a scalar subquery, read once a query. A book has some thousands of entries, whatever the usage."""
+    return index.agg(F.map_from_entries(F.collect_list(F.struct("slug", "price")))).scalar()
 
 
-def resolved_prices(models: DataFrame, index: DataFrame) -> DataFrame:
-    """(model, price) for the distinct ``model`` values; price is null where none is found.
+def price_of(model: Column, book: Column) -> Column:
+    """The price of a model's name in a book, null where none is found.
 
     Tried in order: the slug; the slug without ``-build``; for families priced by speed the canonical slug alone; for all
     others the longest key that begins with the slug or that the slug begins with (of equally long ones the greatest).
-    The last is an equi-join on prefixes, as names are short.
     """
-    slug = price_slug(F.col("model"))
-    names = models.select("model").where("model is not null").distinct().withColumn("slug", slug).withColumn("canon", canonical_slug(F.col("slug")))
-    tries = F.array(*[
-        F.struct(F.lit(k).alias("nth"), c.alias("slug"))
-        for k, c in enumerate((F.col("slug"), F.regexp_replace("slug", "-build$", ""), F.col("canon"), F.regexp_replace("canon", "-build$", "")))
-    ])
-    asked = names.select("model", F.inline(tries))
-    exact = asked.join(index, "slug").groupBy("model").agg(F.min_by("price", "nth").alias("exact"))
-    rest = names.where("canon is null and slug <> ''").select("model", "slug").join(exact, "model", "left_anti")
-    longer = rest.select("model", F.explode(_prefixes(F.col("slug"))).alias("slug")).join(index, "slug").select("model", "slug", "price")
-    own = rest.select("model", F.col("slug").alias("head"))
-    shorter = index.where("slug <> ''").select("slug", "price", F.explode(_prefixes(F.col("slug"))).alias("head")).join(own, "head").select("model", "slug", "price")
-    near = longer.unionByName(shorter).groupBy("model").agg(F.max_by("price", F.struct(F.length("slug").alias("n"), "slug")).alias("near"))
-    return names.select("model").join(exact, "model", "left").join(near, "model", "left").select("model", F.coalesce("exact", "near").alias("price"))
+    slug = price_slug(model)
+    canon = canonical_slug(slug)
+    plain = lambda c: F.regexp_replace(c, "-build$", "")
+    exact = [F.try_element_at(book, c) for c in (slug, plain(slug), canon, plain(canon))]
+    near = F.filter(F.map_keys(book), lambda k: (k != "") & (F.startswith(slug, k) | F.startswith(k, slug)))
+    longest = F.array_max(F.transform(near, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
+    return F.coalesce(*exact, F.when(canon.isNull() & (slug != ""), F.try_element_at(book, longest)))
+
+
+def with_price(rows: DataFrame, index: DataFrame, model: str) -> DataFrame:
+    return rows.withColumn("price_book", price_book(index)).withColumn("price", price_of(F.col(model), F.col("price_book"))).drop("price_book")
+
+
+def resolved_prices(models: DataFrame, index: DataFrame) -> DataFrame:
+    """(model, price) for the distinct ``model`` values."""
+    names = models.select("model").where("model is not null").distinct()
+    return with_price(names, index, "model")
 
 
 def cost_of(price: str = "price") -> Column:
@@ -102,6 +105,5 @@ def cost_of(price: str = "price") -> Column:
 
 
 def priced(rows: DataFrame, index: DataFrame, model: str = "billed_model") -> DataFrame:
-    """``rows`` with ``price`` and ``cost``, both null for models that no book prices. Names are resolved once each."""
-    prices = resolved_prices(rows.select(F.col(model).alias("model")), index).withColumnRenamed("model", model)
-    return rows.join(prices, model, "left").withColumn("cost", cost_of())
+    """``rows`` with ``price`` and ``cost``, both null for models that no book prices. ``rows`` is read once: there is no join with its own names."""
+    return with_price(rows, index, model).withColumn("cost", cost_of())

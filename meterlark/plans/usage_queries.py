@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_slug, display_model, joined_hash, price_slug, session_hash
 from ..functions.times import UTC, half_hour
 from ..operators import panels, views
-from ..operators.pricing import cost_of, price_index, priced, resolved_prices
+from ..operators.pricing import price_index, priced, resolved_prices
 from ..operators.scans import NUMBERS, Filter, daily_rollups, scan_buckets, scan_days
 from ..operators.usage import active_seconds, content_hash, usage_buckets, usage_sessions
+from ..session import new_folder
 from ..sources.events import SQL_USAGE, read_usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_STORES: dict[tuple[str, str], str] = {}
 
 #: Prices per token of the families that are priced by speed (fixed values), and of one made-up model.
 PRICES = (
@@ -72,6 +74,20 @@ def buckets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_buckets(usage(spark, sf_dir), "host_id")
 
 
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The tables that panels read: buckets and their daily rollups, written to the shared folder once for a session and folder of events.
+
+    A dashboard's facts are kept, not added up anew from events for each question.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        path = new_folder(spark, "panel-store")
+        buckets_of(spark, sf_dir).write.parquet(f"{path}/buckets")
+        daily_rollups(spark.read.parquet(f"{path}/buckets")).write.parquet(f"{path}/rollups")
+        _STORES[key] = path
+    return tuple(spark.read.parquet(f"{_STORES[key]}/{name}") for name in ("buckets", "rollups"))
+
+
 def prices(spark: SparkSession) -> DataFrame:
     rows = [(*p, None) for p in PRICES]
     return price_index(spark.createDataFrame(rows, "key string, input double, output double, cache_read double, cache_write double, reasoning double"))
@@ -96,8 +112,8 @@ SELECT * EXCLUDE (c), round(c, 9) AS cost_usd, round(CASE WHEN total > 0 THEN pr
 
 
 def _summary(spark, sf_dir, f, rollup=True):
-    b = buckets_of(spark, sf_dir)
-    return _rounded(panels.summary(b, daily_rollups(b) if rollup else None, prices(spark), f), "cost_usd", "cost_coverage", "cache_hit_share")
+    b, days = stored(spark, sf_dir)
+    return _rounded(panels.summary(b, days if rollup else None, prices(spark), f), "cost_usd", "cost_coverage", "cache_hit_share")
 
 
 @query(_summary_sql(WHERE_EDGES))
@@ -129,8 +145,8 @@ SELECT g.bin_s, coalesce(total, 0)::BIGINT AS total, coalesce(input, 0)::BIGINT
 
 
 def _series(spark, sf_dir, window):
-    b = buckets_of(spark, sf_dir)
-    return _rounded(panels.series(spark, b, daily_rollups(b), prices(spark), Filter(*window)), "cost_usd")
+    b, days = stored(spark, sf_dir)
+    return _rounded(panels.series(spark, b, days, prices(spark), Filter(*window)), "cost_usd")
 
 
 @query(_series_sql(1800, *EDGES))
@@ -167,8 +183,8 @@ SELECT * EXCLUDE (c), round(c, 9) AS cost_usd, round(CASE WHEN sum(total) OVER (
 
 def _breakdown(by: str):
     def run(spark, sf_dir):
-        b = buckets_of(spark, sf_dir)
-        return _rounded(panels.breakdown(b, daily_rollups(b), prices(spark), Filter(*EDGES), by), "cost_usd", "share", "cost_share")
+        b, days = stored(spark, sf_dir)
+        return _rounded(panels.breakdown(b, days, prices(spark), Filter(*EDGES), by), "cost_usd", "share", "cost_share")
 
     return run
 
@@ -182,13 +198,13 @@ for _by, _key in (("source", "source"), ("model", "shown"), ("project", "project
 SELECT * EXCLUDE (c), round(c, 9) AS cost_usd, round(CASE WHEN sum(total) OVER w > 0 THEN total / sum(total) OVER w ELSE 0.0 END, 6) AS share,
   round(CASE WHEN sum(c) OVER w > 0 THEN c / sum(c) OVER w ELSE 0.0 END, 6) AS cost_share FROM u WINDOW w AS (PARTITION BY dimension)""")
 def distributions_grouping_sets(spark, sf_dir):
-    b = buckets_of(spark, sf_dir)
-    return _rounded(panels.distributions(b, daily_rollups(b), prices(spark), Filter(*EDGES)), "cost_usd", "share", "cost_share")
+    b, days = stored(spark, sf_dir)
+    return _rounded(panels.distributions(b, days, prices(spark), Filter(*EDGES)), "cost_usd", "share", "cost_share")
 
 
 @query(f"""{WITH}, {_PRICED} SELECT shown AS model, {_price_columns('shown')}, count(DISTINCT billed_model) AS billed_names FROM pr GROUP BY shown""")
 def model_consensus_price(spark, sf_dir):
-    rows = scan_buckets(buckets_of(spark, sf_dir), Filter(*EDGES))
+    rows = scan_buckets(stored(spark, sf_dir)[0], Filter(*EDGES))
     names = rows.groupBy("model").agg(F.count_distinct("billed_model").alias("billed_names"))
     groups = panels.grouped(panels.costed(rows, prices(spark), "model"), "model")
     return groups.select("model", *[c for c in groups.columns if c.startswith("price_")]).join(names, "model")
@@ -197,13 +213,13 @@ def model_consensus_price(spark, sf_dir):
 @query(f"""WITH {SQL_USAGE}, cells AS (SELECT dayofweek(bucket_start)::INT AS weekday, hour(bucket_start)::INT AS hour, sum(total)::BIGINT AS total FROM buckets WHERE {WHERE_EDGES} GROUP BY ALL)
 SELECT weekday, hour, coalesce(total, 0) AS total FROM (SELECT (i // 24)::INT AS weekday, (i % 24)::INT AS hour FROM range(168) t(i)) LEFT JOIN cells USING (weekday, hour)""")
 def activity_heatmap(spark, sf_dir):
-    return panels.activity(spark, buckets_of(spark, sf_dir), Filter(*EDGES))
+    return panels.activity(spark, stored(spark, sf_dir)[0], Filter(*EDGES))
 
 
 @query(f"""WITH {SQL_USAGE}, cells AS (SELECT dayofweek(bucket_start) * 24 + hour(bucket_start) AS cell, sum(total)::BIGINT AS total FROM buckets WHERE {WHERE_EDGES} GROUP BY ALL)
 SELECT ((i + 8) % 168 // 24)::INT AS weekday, ((i + 8) % 24)::INT AS hour, coalesce(total, 0) AS total FROM range(168) t(i) LEFT JOIN cells ON cell = i""")
 def activity_tz_shift(spark, sf_dir):
-    return views.shifted_activity(panels.activity(spark, buckets_of(spark, sf_dir), Filter(*EDGES)), 8)
+    return views.shifted_activity(panels.activity(spark, stored(spark, sf_dir)[0], Filter(*EDGES)), 8)
 
 
 SQL_SESSIONS = f"""{SQL_USAGE}, turns AS (
@@ -247,7 +263,7 @@ def session_totals(spark, sf_dir):
 @query(f"""WITH {SQL_USAGE} SELECT array_to_string(list_sort(list(DISTINCT source)), '|') AS sources, array_to_string(list_sort(list(DISTINCT {DISPLAY.format('model')})), '|') AS models,
   array_to_string(list_sort(list(DISTINCT project)), '|') AS projects FROM buckets""")
 def filter_options(spark, sf_dir):
-    return panels.filter_options(buckets_of(spark, sf_dir)).select(*[F.array_join(c, "|").alias(c) for c in ("sources", "models", "projects")])
+    return panels.filter_options(stored(spark, sf_dir)[0]).select(*[F.array_join(c, "|").alias(c) for c in ("sources", "models", "projects")])
 
 
 @query(f"WITH {SQL_USAGE} SELECT strftime(bucket_start, '%Y-%m-%d') AS day, host_id, source, model, project, {_SUMS} FROM buckets GROUP BY ALL")
@@ -258,8 +274,8 @@ def daily_rollup(spark, sf_dir):
 @query(f"WITH {SQL_USAGE} SELECT strftime(bucket_start, '%Y-%m-%d') AS day, source, {_SUMS} FROM buckets WHERE {WHERE_EDGES} GROUP BY ALL")
 def hybrid_scan(spark, sf_dir):
     """Whole days from the rollups and both edges from the facts give what the facts alone give."""
-    b = buckets_of(spark, sf_dir)
-    rows = scan_days(b, daily_rollups(b), Filter(*EDGES))
+    b, days = stored(spark, sf_dir)
+    rows = scan_days(b, days, Filter(*EDGES))
     return rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "source").agg(*[F.sum(c).alias(c) for c in NUMBERS])
 
 
@@ -267,18 +283,33 @@ def hybrid_scan(spark, sf_dir):
 def price_exact_join(spark, sf_dir):
     rows = buckets_of(spark, sf_dir).withColumnRenamed("model", "billed_model").withColumn("bucket_s", F.unix_seconds("bucket_start"))
     index = prices(spark)
-    direct = rows.join(index.withColumnRenamed("slug", "billed_model"), "billed_model")
-    return direct.withColumn("cost", cost_of()).select("host_id", "source", "billed_model", "project", "bucket_s", F.round("cost", 9).alias("cost"))
+    known = index.select("slug").where("slug is not null")  # keys of the book: a small table
+    exact = priced(rows, index).join(F.broadcast(known), F.regexp_replace(price_slug(F.col("billed_model")), "-build$", "") == F.col("slug"), "left_semi")
+    return exact.select("host_id", "source", "billed_model", "project", "bucket_s", F.round("cost", 9).alias("cost"))
+
+
+#: Names made from the parts table: a tool's or a vendor's part before, an effort or a speed after the names that a book may know.
+SQL_NAMES = """names AS (
+  SELECT p_partkey AS part, ['', 'azure/', 'openrouter/x/', 'cursor-'][p_partkey % 4 + 1] || ['made-up-1', 'Made-Up', 'composer-2.5', 'grok-4.5-fast', 'cursor-grok-4.6', 'unheard-of', 'made'][p_partkey % 7 + 1]
+    || ['', '-high', '-thinking', '-build', '-xhigh-fast'][p_partkey % 5 + 1] AS model FROM part)"""
 
 
-_ASKED = ("made-up-1-thinking", "made-up", "azure/made-up-1", "openrouter/x/made-up-1-high", "grok-4.6", "grok-4.5-fast-build", "cursor-grok-4.6-xhigh-fast", "cursor-grok-4.7", "composer-2.5-low-build", "nothing", "x")
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+    name = F.concat(pick(("", "azure/", "openrouter/x/", "cursor-")), pick(("made-up-1", "Made-Up", "composer-2.5", "grok-4.5-fast", "cursor-grok-4.6", "unheard-of", "made")), pick(("", "-high", "-thinking", "-build", "-xhigh-fast")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("part"), name.alias("model"))
 
 
-@query("""SELECT * FROM (VALUES ('made-up-1-thinking', 1e-6::DOUBLE), ('made-up', 1e-6), ('azure/made-up-1', 1e-6), ('openrouter/x/made-up-1-high', 1e-6), ('grok-4.6', 4e-6), ('grok-4.5-fast-build', 4e-6),
-  ('cursor-grok-4.6-xhigh-fast', 4e-6), ('cursor-grok-4.7', NULL), ('composer-2.5-low-build', 5e-7), ('nothing', NULL), ('x', NULL)) t(model, price_input)""")
+_SLUG = "CASE WHEN starts_with(lower(model), 'azure/') OR starts_with(lower(model), 'openrouter/') THEN string_split(lower(model), '/')[-1] ELSE lower(model) END"
+
+
+@query(f"""WITH {SQL_NAMES}, idx AS (SELECT * FROM (VALUES {_VALUES}) t(pslug, p_input, p_output, p_cache_read, p_cache_write)),
+s AS (SELECT *, {_CANON} AS canon FROM (SELECT DISTINCT model, {_SLUG} AS slug FROM names))
+SELECT model, coalesce((SELECT p_input FROM idx WHERE pslug = slug), (SELECT p_input FROM idx WHERE pslug = regexp_replace(slug, '-build$', '')), (SELECT p_input FROM idx WHERE pslug = canon), (SELECT p_input FROM idx WHERE pslug = regexp_replace(canon, '-build$', '')),
+  CASE WHEN canon IS NULL THEN (SELECT max_by(p_input, {{'n': length(pslug), 's': pslug}}) FROM idx WHERE starts_with(slug, pslug) OR starts_with(pslug, slug)) END) AS price_input FROM s""")
 def price_longest_prefix(spark, sf_dir):
-    asked = spark.createDataFrame([(m,) for m in _ASKED], "model string")
-    return resolved_prices(asked, prices(spark)).select("model", F.col("price.input").alias("price_input"))
+    return resolved_prices(part_names(spark, sf_dir), prices(spark)).select("model", F.col("price.input").alias("price_input"))
 
 
 @query(f"{WITH} SELECT shown AS model, sum(total)::BIGINT AS total, coalesce(sum(total) FILTER (WHERE pslug IS NOT NULL), 0)::BIGINT AS priced_tokens, round(coalesce(sum(cost), 0), 9) AS cost_usd FROM costed GROUP BY shown")
@@ -288,19 +319,14 @@ def cost_coverage(spark, sf_dir):
     return rows.groupBy("model").agg(F.sum("total").alias("total"), known.alias("priced_tokens"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 9).alias("cost_usd"))
 
 
-_NAMES = ("Cursor-Grok-4.6-XHigh-fast", "  claude-opus-5-thinking ", "high", "cursor-max", "gpt-5-codex-high", "a--b")
-
-
-@query("SELECT * FROM (VALUES ('Cursor-Grok-4.6-XHigh-fast', 'Grok-4.6-fast'), ('  claude-opus-5-thinking ', 'claude-opus-5'), ('high', 'high'), ('cursor-max', 'cursor-max'), ('gpt-5-codex-high', 'gpt-5-codex'), ('a--b', 'a-b')) t(name, shown)")
+@query(f"WITH {SQL_NAMES} SELECT part, {DISPLAY.format('model')} AS shown FROM names")
 def display_model_fold(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").withColumn("shown", display_model(F.col("name")))
+    return part_names(spark, sf_dir).select("part", display_model(F.col("model")).alias("shown"))
 
 
-@query("""SELECT * FROM (VALUES ('Azure/GPT-5', 'gpt-5', NULL), ('openrouter/anthropic/claude-x', 'claude-x', NULL),
-  ('composer-2.5-high-fast', 'composer-2.5-high-fast', 'composer-2.5-fast'), ('cursor-grok-4.6-xhigh', 'cursor-grok-4.6-xhigh', 'cursor-grok-4.6')) t(name, slug, canon)""")
+@query(f"WITH {SQL_NAMES} SELECT part, slug, {_CANON} AS canon FROM (SELECT part, {_SLUG} AS slug FROM names)")
 def normalize_model_slug(spark, sf_dir):
-    names = ("Azure/GPT-5", "openrouter/anthropic/claude-x", "composer-2.5-high-fast", "cursor-grok-4.6-xhigh")
-    rows = spark.createDataFrame([(n,) for n in names], "name string").withColumn("slug", price_slug(F.col("name")))
+    rows = part_names(spark, sf_dir).select("part", price_slug(F.col("model")).alias("slug"))
     return rows.withColumn("canon", canonical_slug(F.col("slug")))
 
 
