@@ -6,9 +6,11 @@ common prefix of two neighbours with the same symbol is one more than the smalle
 places in the last order. Each column (owner, Burrows-Wheeler symbol, common prefix) is read once in order and
 written anew once per round, as the method does with files.
 
-A symbol is ``width`` bytes at a byte position; a byte string is then ``width`` documents, one for each phase, and
+A symbol is ``width`` bytes at a byte position; a byte string is then ``width`` chains, one for each phase, and
 a common prefix of ``match / width`` symbols is one of ``match`` bytes. A width of 1 is the classic form; wider
-symbols need as many fewer rounds.
+symbols need as many fewer rounds. Symbols are numbered by a 64-bit hash, and their bytes are compared; should a hash
+have two meanings, they are numbered by their bytes. A symbol that occurs once ends every common prefix, so chains are cut
+there, and pieces with fewer symbols than the shortest match asked for are not inserted.
 """
 
 from __future__ import annotations
@@ -30,73 +32,117 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * ODD)
 
 
-class RangeMin:
-    """Smallest value of any stretch of a column, from minima over power-of-two stretches."""
+def least_between(column: np.ndarray, first: np.ndarray, last: np.ndarray, most: int) -> np.ndarray:
+    """Smallest value of a column over each [first, last], for first <= last; values of ``most`` or more count as ``most``.
 
-    def __init__(self, column: np.ndarray):
-        self.levels, span = [column], 1
-        while 2 * span <= len(column):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-span], last[span:]))
-            span *= 2
+    Common prefixes are a few symbols long, so it is enough to count, for each length below ``most``, where the column is shorter.
+    """
+    out = np.zeros(len(first), np.int16)
+    for depth in range(1, most + 1):
+        shorter = np.zeros(len(column) + 1, np.int32)
+        np.cumsum(column < depth, out=shorter[1:])
+        out += shorter[last + 1] == shorter[first]
+    return out
 
-    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Minima over [first, last], for first <= last."""
-        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
-        out = np.empty(len(first), self.levels[0].dtype)
-        for k in np.unique(level):
-            at = level == k
-            out[at] = np.minimum(self.levels[k][first[at]], self.levels[k][last[at] - (1 << int(k)) + 1])
-        return out
 
+def sorted_places(symbols: np.ndarray) -> np.ndarray:
+    """The places of a column in the order of their symbols, equal ones in the order they have."""
+    return np.sort((symbols.astype(np.int64) << 32) | np.arange(len(symbols))) & 0xFFFFFFFF
 
-def phases(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbol numbers of all byte positions that start a whole symbol, one after another; where each string's begin; how many."""
+
+def _windows(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(data, width)[at]
+
+
+def _one_meaning(data: np.ndarray, at: np.ndarray, like: np.ndarray, width: int) -> bool:
+    """Whether the ``width`` bytes at each place equal those at ``like``. Where both move on by one, one byte is compared."""
+    moves_on = np.concatenate([[False], (np.diff(at) == 1) & (np.diff(like) == 1)])
+    if not (data[at[moves_on] + width - 1] == data[like[moves_on] + width - 1]).all():
+        return False
+    rest = np.flatnonzero(~moves_on & (at != like))
+    return all((_windows(data, at[rest[k : k + 8192]], width) == _windows(data, like[rest[k : k + 8192]], width)).all() for k in range(0, len(rest), 8192))
+
+
+def numbered(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the symbol at each place, and how often each symbol occurs."""
+    if not len(at):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    codes = span_hashes(prefix_sums(data), at, at + width)
+    order = np.argsort(codes)
+    new = np.concatenate([[True], np.diff(codes[order]) != 0])
+    starts = np.flatnonzero(new)
+    often = np.diff(np.concatenate([starts, [len(at)]]))
+    symbols = np.empty(len(at), np.int32)
+    symbols[order] = np.cumsum(new, dtype=np.int32) - 1
+    if not _one_meaning(data, at, at[np.minimum.reduceat(order, starts)][symbols], width):
+        rows = np.ascontiguousarray(_windows(data, at, width)).view(f"S{width}" if width == 1 else f"V{width}").ravel()
+        _, symbols, often = np.unique(rows, return_inverse=True, return_counts=True)
+    return symbols.astype(np.int32), often
+
+
+def chains(strings: list[bytes], width: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of chains of symbols that occur more than once, ``least`` or more of them: their symbols one after another, where each came
+    from, first and length of each piece; and where each string's places begin."""
     data = np.frombuffer(b"".join(strings), dtype=np.uint8)
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
     counts = np.maximum(sizes - width + 1, 0)
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     offsets = np.concatenate([[0], np.cumsum(counts)])
-    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts) + np.repeat(begins, counts)
-    symbols = np.unique(span_hashes(prefix_sums(data), at, at + width), return_inverse=True)[1].astype(np.int32)
-    return symbols, offsets[:-1], counts
-
-
-def repeated_starts(strings: list[bytes], match: int, width: int) -> list[np.ndarray]:
-    """For each string, which of its starts (0 to its length - match) begin ``match`` bytes that also start elsewhere in the collection."""
-    assert match % width == 0
-    most = match // width
-    symbols, offsets, counts = phases(strings, width)
-    # One document per string and phase: its symbols stand ``width`` positions apart.
-    phase = np.tile(np.arange(width), len(strings))
-    base, count = np.repeat(offsets, width), np.repeat(counts, width)
-    length = np.maximum((count - phase + width - 1) // width, 0)
-    first = base + phase
-    kept = np.flatnonzero(length > 0)
-    first, length = first[kept], length[kept]
+    inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts)
+    symbols, often = numbered(data, inside + np.repeat(np.cumsum(sizes) - sizes, counts), width)
+    chain = np.repeat(np.arange(len(strings), dtype=np.int64) * width, counts) + inside % width
+    several = np.flatnonzero(often[symbols] > 1) if len(symbols) else np.zeros(0, np.int64)
+    order = several[sorted_places(chain[several])]  # by chain, then place
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(chain[order]) != 0) | (np.diff(order) != width)])) if len(order) else np.zeros(0, np.int64)
+    length = np.diff(np.concatenate([starts, [len(order)]]))
+    kept = length >= least
+    return symbols[order], order, starts[kept], length[kept], offsets
+
+
+def repeated_starts(strings: list[bytes], matches: tuple[int, ...], width: int, limits: list[int] | None = None) -> list[list[np.ndarray]]:
+    """For each of ``matches`` (in bytes) and each string, which of its starts (0 to its length - match) begin a match that also starts elsewhere in the collection.
+
+    With ``limits`` only so many starts of each string count, its other bytes are there for matches to run into.
+    """
+    assert all(m % width == 0 for m in matches)
+    depths = [m // width for m in matches]
+    most = max(depths)
+    symbols, origin, first, length, offsets = chains(strings, width, min(depths))
     docs = len(first)
-    owner, taken = np.arange(docs), np.zeros(docs, np.int64)
-    ahead = symbols[first + (length - 1) * width] if docs else np.zeros(0, np.int32)
-    common = np.zeros(docs, np.int16)
+    owner, taken = np.arange(docs, dtype=np.int32), np.zeros(docs, np.int32)
+    first, length = first.astype(np.int32), length.astype(np.int32)
+    every, none, fresh = owner, taken, np.zeros(docs, np.int16)
+    last = symbols[first + length - 1] if docs else np.zeros(0, np.int32)
+    ahead, common = last, np.zeros(docs, np.int16)
     for _ in range(int(length.max()) if docs else 0):
         open_ = np.flatnonzero(taken < length[owner])  # those with a symbol in front
         if len(open_) == 0:
             break
-        place = open_[np.argsort(ahead[open_], kind="stable")]
+        place = open_[sorted_places(ahead[open_])]
         same = ahead[place[1:]] == ahead[place[:-1]]
         new_common = np.zeros(len(place), np.int16)
         at = np.flatnonzero(same) + 1
         if len(at):
-            new_common[at] = np.minimum(RangeMin(common)(place[at - 1] + 1, place[at]) + 1, most)
+            new_common[at] = least_between(common, place[at - 1] + 1, place[at], most - 1) + 1
         who, depth = owner[place], taken[place] + 1
         rest = length[who] - depth
-        symbol = symbols[first[who] + np.maximum(rest - 1, 0) * width]
-        owner, taken = np.concatenate([np.arange(docs), who]), np.concatenate([np.zeros(docs, np.int64), depth])
-        ahead = np.concatenate([symbols[first + (length - 1) * width], symbol])
-        common = np.concatenate([np.zeros(docs, np.int16), new_common])
-    hit = common >= most
-    hit[:-1] |= hit[1:].copy()
-    where = first[owner[hit]] + (length[owner[hit]] - taken[hit]) * width
-    flags = np.zeros(len(symbols) + 1, bool)
-    flags[where] = True
-    return [flags[o : o + max(0, c - match + width)] for o, c in zip(offsets, counts)]
+        owner, taken = np.concatenate([every, who]), np.concatenate([none, depth])
+        ahead = np.concatenate([last, symbols[first[who] + np.maximum(rest - 1, 0)]])
+        common = np.concatenate([fresh, new_common])
+    where = origin[first[owner] + np.minimum(length[owner] - taken, length[owner] - 1)] if docs else np.zeros(0, np.int64)
+    begins, sizes = offsets[:-1], np.diff(offsets)
+    if limits is not None:
+        string = np.searchsorted(offsets, where, side="right") - 1
+        counting = np.flatnonzero((where - begins[string] < np.asarray(limits)[string]) & (taken > 0))
+        # Between neighbours that count lies the smallest common prefix of all between them.
+        between = least_between(common, counting[:-1] + 1, counting[1:], most) if len(counting) > 1 else np.zeros(0, np.int16)
+        where, common = where[counting], np.concatenate([np.zeros(min(1, len(counting)), np.int16), between])
+        sizes = np.minimum(sizes, np.asarray(limits, np.int64))
+    out = []
+    for match, depth in zip(matches, depths):
+        hit = common >= depth
+        hit[:-1] |= hit[1:].copy()
+        flags = np.zeros(offsets[-1] + 1, bool)
+        flags[where[hit]] = True
+        ends = np.minimum(begins + sizes, offsets[1:] - match + width)
+        out.append([flags[o : max(o, e)] for o, e in zip(begins, ends)])
+    return out
