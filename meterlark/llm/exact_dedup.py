@@ -5,7 +5,8 @@ the most code points in the original text stays, then the one with the smallest
 
 Defined results: a null text counts as empty, so null, empty and blank texts form one group. A null id sorts after
 all others. A row repeated with the same id and text counts in ``group_size`` each time, one of its copies stays.
-An empty table gives an empty result. Columns beyond id and text are not read.
+An empty table gives an empty result. Columns beyond id and text are not read. Should different texts share a hash, rows are told
+apart by id and text, nulls included, so that each still gives one row and the group of its bytes.
 """
 
 from __future__ import annotations
@@ -18,19 +19,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed, map_batches
+from .common import SPACES, checkpointed, fresh_name, id_arrow, map_batches
 
 #: Up to so many groups of copies (16 bytes of key each) the keys are broadcast to thin the byte comparison's shuffle.
 BROADCAST_GROUPS = 500_000
 
 
+def _mark(whole: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(whole, 42), "big", signed=True)
+
+
 def _digest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     points, high, low, sha, mark = [], [], [], [], []
     for text in batch.column(1).to_pylist():
         text = text or ""
         whole = text.encode("utf-8", "surrogatepass")
         body = whole.translate(None, SPACES)
-        mark.append(int.from_bytes(xxhash.xxh64_digest(whole, 42), "big", signed=True))
+        mark.append(_mark(whole))
         code = xxhash.xxh3_128_digest(body)
         points.append(len(text))
         high.append(int.from_bytes(code[:8], "little", signed=True))
@@ -44,23 +49,25 @@ def _digest_schema(id_type: pa.DataType) -> pa.Schema:
 
 
 def _bodies(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    high, low, bodies = [], [], []
+    high, low, marks, bodies = [], [], [], []
     for text in batch.column(1).to_pylist():
-        body = (text or "").encode("utf-8", "surrogatepass").translate(None, SPACES)
+        whole = (text or "").encode("utf-8", "surrogatepass")
+        body = whole.translate(None, SPACES)
         code = xxhash.xxh3_128_digest(body)
         high.append(int.from_bytes(code[:8], "little", signed=True))
         low.append(int.from_bytes(code[8:], "little", signed=True))
+        marks.append(_mark(whole))
         bodies.append(body)
-    yield pa.record_batch([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bodies, pa.binary())], schema=_body_schema(batch.schema.field(0).type))
+    yield pa.record_batch([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(marks, pa.int64()), pa.array(bodies, pa.binary())], schema=_body_schema(batch.schema.field(0).type))
 
 
 def _body_schema(id_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("doc_id", id_type), ("h1", pa.int64()), ("h2", pa.int64()), ("body", pa.binary())])
+    return pa.schema([("doc_id", id_type), ("h1", pa.int64()), ("h2", pa.int64()), ("mark", pa.int64()), ("body", pa.binary())])
 
 
 def _groups(rows: DataFrame, *keys: str) -> DataFrame:
     """One row per group: its size and the row that stays."""
-    order = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))
+    order = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
     return rows.groupBy(*keys).agg(F.sum("copies").alias("group_size"), F.min(order).alias("first"))
 
 
@@ -70,11 +77,11 @@ def collisions(bodies: DataFrame, groups: DataFrame) -> DataFrame:
     The members of a group stream past one row of the other side, so a hot group is split by the skew join.
     """
     kept = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
-    members = bodies.join(kept.select("h1", "h2", F.col("first.id").alias("keep_id")), ["h1", "h2"])
+    members = bodies.join(kept.select("h1", "h2", F.col("first.id").alias("keep_id"), F.col("first.mark").alias("keep_mark")), ["h1", "h2"])
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
     # Written first: Spark splits a hot key of the join below only if its sides come straight from a shuffle.
-    keeper = checkpointed(members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h1", "h2").agg(F.min("body").alias("keep_body")))
-    others = members.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return others.join(keeper, ["h1", "h2"]).where(F.col("body") != F.col("keep_body")).select("doc_id", "h1", "h2", "body")
+    keeper = checkpointed(members.where(stays).groupBy("h1", "h2").agg(F.min("body").alias("keep_body")))
+    return members.where(~stays).join(keeper, ["h1", "h2"]).where(F.col("body") != F.col("keep_body")).select("doc_id", "h1", "h2", "mark", "body")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +90,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ``mark`` is what xxhash64() gives for the text, null taken as empty; with the id it finds the row again.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[narrow.dtypes[0][1]]
+    id_type = id_arrow(narrow)
     digests = map_batches(narrow, _digest, _digest_schema(id_type))
     rows = checkpointed(digests.groupBy("doc_id", "points", "h1", "h2", "text_sha256", "mark").agg(F.count("*").alias("copies")))
     groups = checkpointed(_groups(rows, "h1", "h2"))
@@ -91,12 +98,12 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     odd = checkpointed(collisions(bodies, groups.where("group_size > 1")))
     keys = ["h1", "h2"]
     if not odd.isEmpty():  # different texts under one hash: those that differ get groups of their own, by their bytes
-        parts = odd.groupBy("h1", "h2", "body").agg(F.min("doc_id").alias("part"))
-        own = odd.join(parts, ["h1", "h2", "body"]).select("doc_id", "h1", "h2", "part").distinct()
-        rows = rows.join(own, ["doc_id", "h1", "h2"], "left").withColumn("apart", F.coalesce(F.col("part").cast("string"), F.lit(""))).drop("part")
+        own = odd.select(F.col("doc_id").alias("odd_id"), F.col("mark").alias("odd_mark"), F.sha2("body", 256).alias("apart")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("odd_id")) & (F.col("mark") == F.col("odd_mark"))
+        rows = rows.join(own, same, "left").withColumn("apart", F.coalesce("apart", F.lit(""))).drop("odd_id", "odd_mark")
         keys = ["h1", "h2", "apart"]
         groups = _groups(rows, *keys)
-    first = (F.col("points") == -F.col("first.less")) & F.col("doc_id").eqNullSafe(F.col("first.id"))
+    first = (F.col("points") == -F.col("first.less")) & F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
     return rows.join(groups, keys).withColumn("is_first", first)
 
 
@@ -109,8 +116,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that exact_dedup drops; all columns stay."""
     found = checkpointed(decisions(docs))
-    # Two rows of one id that differ in white space alone, but are as long, are both "first": the smaller mark stays.
-    stay = found.where("is_first").groupBy("h1", "h2", F.col("doc_id").alias("stay_id")).agg(F.min("mark").alias("stay_mark"), F.sum("copies").alias("n"))
-    same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("stay_mark"))
-    kept = docs.join(stay.select("stay_id", "stay_mark"), same, "left_semi")
+    stay_id, stay_mark = fresh_name(docs, "stay_id"), fresh_name(docs, "stay_mark")
+    stay = found.where("is_first").select(F.col("doc_id").alias(stay_id), F.col("mark").alias(stay_mark))
+    same = F.col("doc_id").eqNullSafe(F.col(stay_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(stay_mark))
+    kept = docs.join(stay, same, "left_semi")
     return kept if found.where("copies > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
