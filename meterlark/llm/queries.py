@@ -74,9 +74,12 @@ def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH c AS (
-  SELECT page_id, 1704067200 + (page_id * 7919) % 31536000 AS t, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
-    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?', 1) AS path FROM pages
+WITH a AS (
+  SELECT page_id, 1704067200 + (page_id * 7919) % 31536000 AS t, url, string_split(string_split(string_split(substr(url, strpos(url, '://') + 3), '#')[1], '?')[1], '/') AS pieces FROM pages
+), b AS (
+  SELECT *, string_split(pieces[1], '@')[-1] AS hostport, array_to_string(pieces[2:], '/') AS path FROM a
+), c AS (
+  SELECT page_id, t, path, CASE WHEN strpos(url, '://') > 1 THEN nullif(rtrim(lower(CASE WHEN starts_with(hostport, '[') THEN string_split(hostport, ']')[1] || ']' ELSE string_split(hostport, ':')[1] END), '.'), '') END AS host FROM b
 ), n AS (
   SELECT *, host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') AS whole FROM c
 ), h AS (SELECT host, ('0x' || substr(md5(host), 1, 4))::BIGINT AS d FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)
@@ -93,7 +96,7 @@ WITH c AS (
 ), v AS (SELECT pattern, adds, t AS a, lead(t) OVER (PARTITION BY pattern ORDER BY t) AS b FROM u WHERE adds <> was
 ), m AS (
   SELECT n.page_id, n.t, v.pattern FROM n JOIN v ON v.adds AND n.t >= v.a AND (v.b IS NULL OR n.t < v.b)
-    AND (n.host = v.pattern OR ends_with(n.host, '.' || v.pattern) OR (contains(v.pattern, '/') AND (n.whole = v.pattern OR starts_with(n.whole, v.pattern || '/'))))
+    AND (n.host = v.pattern OR (ends_with(n.host, '.' || v.pattern) AND NOT regexp_full_match(n.host, '[0-9]{1,3}([.][0-9]{1,3}){3}')) OR (contains(v.pattern, '/') AND (n.whole = v.pattern OR starts_with(n.whole, v.pattern || '/'))))
 ), g AS (SELECT page_id, t, count(*) AS n_active, max({'n': length(pattern), 'pattern': pattern}).pattern AS pattern FROM m GROUP BY page_id, t)
 SELECT n.page_id, n.host, n.t AS fetched_s, g.n_active IS NOT NULL AS blocked, coalesce(g.n_active, 0) AS n_active, g.pattern
 FROM n LEFT JOIN g ON n.page_id = g.page_id AND n.t = g.t
