@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: At most so many training documents of either class, those with the smallest hash of the id.
 SAMPLE_PER_CLASS = 2000
-#: A training document longer than this gives one stretch of so many characters, at a place drawn from its id.
-SAMPLE_CHARS = 20_000
 
 
 def remainder(doc_id: Column, mod: int) -> Column:
@@ -16,8 +14,8 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int], float]:
-    """Texts, their labels, and the share of label 1 among all allowed rows.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int = SAMPLE_PER_CLASS) -> tuple[list[str], list[int], float]:
+    """Whole texts, their labels, and the share of label 1 among all allowed rows. The bound is on rows, no text is cut.
 
     Rows without a label or an id are left out, as are labels of documents that do not exist.
     """
@@ -27,9 +25,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     order = F.xxhash64("doc_id")
     parts = [usable.where(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"]))  # at most 2 * per_class rows of two numbers
-    text = F.coalesce("text", F.lit(""))
-    start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - chars, F.lit(0)) + 1)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", text.substr(start.cast("int"), F.lit(chars)).alias("text"))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.max("text").alias("text"))  # an id that is there often counts once
     found = sorted(rows.collect(), key=lambda r: r.doc_id)
     return [r.text for r in found], [r.label for r in found], float(share)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from .common import id_arrow
 from .labelled import SAMPLE_PER_CLASS, remainder, training_sample
 
 HALF = 128
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held: int = 0,
 def score_quality(docs: DataFrame, params: Params, threshold: float = 0.3, held_mod: int = 5, held: int = 0) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted. One scan, no shuffle."""
     narrow = docs.select("doc_id", "text")
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[narrow.dtypes[0][1]]
+    id_type = id_arrow(narrow)
     schema = pa.schema([("doc_id", id_type), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text is lower-cased (A-Z) UTF-8 with a space at either end; its features are the n-grams of 4 to 7 bytes that occur in it,
-hashed to 2**20 cells. A feature's ratio is the log of the smoothed shares of toxic and clean training documents that
+A text is lower-cased (A-Z) with a space at either end; its features are the n-grams of 4 to 7 characters (code points) that
+occur in it, hashed to 2**20 cells. A feature's ratio is the log of the smoothed shares of toxic and clean training documents that
 have it; features whose ratio or count says little are left out. A logistic regression then learns a weight for
 each scaled feature. It is fitted on a bounded sample of labelled rows (SAMPLE_PER_CLASS of either class), and its
 intercept is corrected for the share of toxic rows among all rows it may learn from.
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from .common import id_arrow
 from .labelled import SAMPLE_PER_CLASS, remainder, training_sample
 
 ORDERS = (4, 5, 6, 7)
@@ -30,17 +31,18 @@ MIN_DOCS = 3
 MIN_RATIO = 1.0
 #: A ratio counts if it is so many times its standard error.
 MIN_Z = 2.7
-#: Bytes hashed at once, so that a very long text needs no more memory than a short one.
+#: Characters hashed at once, so that a very long text needs no more memory than a short one.
 STRETCH = 1 << 20
 
 
-def text_bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer(b" " + (text or "").encode("utf-8", "surrogatepass").lower() + b" ", dtype=np.uint8)
+def text_points(text: str | None) -> np.ndarray:
+    points = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.where((points >= 65) & (points <= 90), points + np.uint32(32), points)
 
 
 def cells(data: np.ndarray) -> Iterator[np.ndarray]:
     """The cell of each n-gram, an array for each order."""
-    x = data.astype(np.uint32) + np.uint32(1)
+    x = data + np.uint32(1)
     h = x
     for n in range(2, max(ORDERS) + 1):
         if len(x) < n:
@@ -68,7 +70,7 @@ class Model:
     intercept: float
 
     def score(self, text: str | None, used: np.ndarray) -> float:
-        total = self.intercept + float(self.weights[features(text_bytes(text), used)].sum())
+        total = self.intercept + float(self.weights[features(text_points(text), used)].sum())
         return 1.0 / (1.0 + float(np.exp(-np.clip(total, -30, 30))))
 
 
@@ -82,12 +84,12 @@ def fit(texts: list[str], labels: list[int], share: float, passes: int = 200, ra
     every = np.ones(size, dtype=bool)
     counts = np.zeros((2, size), dtype=np.int32)
     for text, label in zip(texts, labels):
-        counts[label][features(text_bytes(text), every)] += 1
+        counts[label][features(text_points(text), every)] += 1
     n = np.array([(y == 0).sum(), y.sum()])
     ratio = np.log((counts[1] + 0.5) / (n[1] + 1.0)) - np.log((counts[0] + 0.5) / (n[0] + 1.0))
     error = np.sqrt(1.0 / (counts[0] + 0.5) + 1.0 / (counts[1] + 0.5))
     used = (counts.sum(0) >= MIN_DOCS) & (np.abs(ratio) >= np.maximum(MIN_RATIO, MIN_Z * error))
-    rows = [features(text_bytes(t), used) for t in texts]
+    rows = [features(text_points(t), used) for t in texts]
     index = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     value = ratio[index]
@@ -110,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held: int = 2,
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, held_mod: int = 4, held: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted. One scan, no shuffle."""
     narrow = docs.select("doc_id", "text")
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[narrow.dtypes[0][1]]
+    id_type = id_arrow(narrow)
     schema = pa.schema([("doc_id", id_type), ("score", pa.float64())])
     at = np.flatnonzero(model.weights)
     values, intercept = model.weights[at], model.intercept
