@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, fresh_name
 
 #: Hash buckets of each size class, hex digits of the id's md5; 2 digits are 256 buckets.
 BUCKET_DIGITS = 2
@@ -83,8 +83,10 @@ def mix_sources(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: each row as often as it is taken. Rows that repeat an id are told apart by size."""
-    nth = lambda size: F.row_number().over(Window.partitionBy("mix_key").orderBy(size))
-    copies = mix_sources(docs, **options).select(solid_key(F.col("doc_id")).alias("mix_key"), "size", F.col("copies").alias("mix_copies")).withColumn("mix_nth", nth(F.col("size"))).where("mix_copies > 0").drop("size")
-    numbered = docs.withColumn("mix_key", solid_key(F.col("doc_id"))).withColumn("mix_nth", nth(word_count(F.col("text"))))
-    taken = numbered.join(copies, ["mix_key", "mix_nth"])
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "mix_copies"))).select(*docs.columns)
+    key, nth, times, copy = (fresh_name(docs, c) for c in ("mix_key", "mix_nth", "mix_copies", "mix_copy"))
+    place = lambda size: F.row_number().over(Window.partitionBy(key).orderBy(size))
+    copies = mix_sources(docs, **options).select(solid_key(F.col("doc_id")).alias(key), "size", F.col("copies").alias(times))
+    copies = copies.withColumn(nth, place(F.col("size"))).where(F.col(times) > 0).drop("size")
+    numbered = docs.withColumn(key, solid_key(F.col("doc_id"))).withColumn(nth, place(word_count(F.col("text"))))
+    taken = numbered.join(copies, [key, nth])
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select(*docs.columns)
