@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 #: Names that operators use inside.
-CLASH = "size rank anchor label score copies mark stratum fp h1 h2 key copy n rep component code items bands piece start length sid stretch ghost src whole kinds".split()
+CLASH = "size rank anchor label score copies mark stratum fp h1 h2 key copy n rep component code items bands piece start length sid stretch ghost src whole kinds gone_id stay_id stay_mark STAY_MARK_ mix_key mix_nth mix_copies mix_copy mark_ keep_id".split()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 

@@ -3,9 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from fixtures import SF, edge_docs, edge_rows, groups_of, no_docs, plain_components, plain_removal, shingles, table
-from meterlark.llm import queries
+from meterlark.llm import queries, suffix_build
+from meterlark.llm.common import Scratch
 from meterlark.llm.exact_dedup import drop_copies, exact_dedup
 from meterlark.llm.graph import connected_components
 from meterlark.llm.minhash import band_codes, shingle_set, signature
@@ -13,6 +15,7 @@ from meterlark.llm.near_dedup import keep_one_of_each, near_duplicates
 from meterlark.llm.suffix_build import repeated_starts
 from meterlark.llm.suffix_dedup import removal_digest, remove_repeats
 from oracle import compare
+from pyspark.sql import functions as F
 
 
 def test_exact_against_sql(spark):
@@ -47,10 +50,21 @@ def test_exact_tells_hash_collisions_apart(spark, monkeypatch):
     from meterlark.llm import exact_dedup as module
 
     one = types.SimpleNamespace(xxh3_128_digest=lambda body: bytes(16), xxh64_digest=module.xxhash.xxh64_digest)
-    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (4, "c "), (5, "d"), (6, None)], "doc_id bigint, text string")
-    before = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs).collect()}
+    texts = [(1, "a b"), (2, "ab"), (3, "c"), (4, "c "), (5, "d"), (6, None), (None, "no id"), (None, "no id, another text"), (7, "twice"), (7, "there"), (7, "the re")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    rows = lambda: sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup(docs).collect())
+    before = rows()
+    assert len(before) == len(texts) and sum(r[3] for r in before) == 8
     monkeypatch.setattr(module, "xxhash", one)
-    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs).collect()} == before
+    assert rows() == before
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(10,0)", "string"])
+def test_ids_of_other_types(spark, kind):
+    docs = spark.createDataFrame([(k, "a b c" if k < 3 else f"text {k}") for k in range(6)], "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = exact_dedup(docs)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and got.where("kept").count() == 4
+    assert drop_copies(docs).count() == 4 and keep_one_of_each(docs).count() == 4
 
 
 @pytest.mark.parametrize("size,threshold", [(3, 85), (5, 80)])
@@ -127,33 +141,47 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     linked = {x for a, b in links if a != b for x in (a, b)}
-    got = connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    got = connected_components(spark.createDataFrame(links, "a bigint, b bigint"), Scratch(spark)).collect()
     assert {(r.node, r.component) for r in got} == {(x, find(x)) for x in linked} and len(got) == len(linked)
 
 
+@pytest.mark.parametrize("collide", [False, True])
 @pytest.mark.parametrize("width", [1, 4])
-def test_construction_against_counting(width):
+def test_construction_against_counting(width, collide, monkeypatch):
+    """With a hash that has seven values only, the comparison of bytes alone has to number the symbols."""
+    hashes = suffix_build.span_hashes
+    if collide:
+        monkeypatch.setattr(suffix_build, "span_hashes", lambda *a: hashes(*a) % np.uint64(7))
     rng = random.Random(width)
     for _ in range(40):
-        strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 5))]
-        windows = [s[k : k + 8] for s in strings for k in range(len(s) - 7)]
-        want = [[windows.count(s[k : k + 8]) > 1 for k in range(len(s) - 7)] for s in strings]
-        assert [list(map(bool, f)) for f in repeated_starts(strings, 8, width)] == want
+        strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(0, 5))]
+        for match, got in zip((8, 4), repeated_starts(strings, (8, 4), width)):
+            windows = [s[k : k + match] for s in strings for k in range(len(s) - match + 1)]
+            want = [[windows.count(s[k : k + match]) > 1 for k in range(len(s) - match + 1)] for s in strings]
+            assert [list(map(bool, f)) for f in got] == want
+        limits = [rng.randint(0, 40) for _ in strings]
+        for match, got in zip((8, 4), repeated_starts(strings, (8, 4), width, limits)):
+            starts = [range(min(n, len(s) - match + 1)) for s, n in zip(strings, limits)]
+            windows = [s[k : k + match] for s, at in zip(strings, starts) for k in at]
+            want = [[windows.count(s[k : k + match]) > 1 for k in at] for s, at in zip(strings, starts)]
+            assert [list(map(bool, f)) for f in got] == want
 
 
-def digest_of(rows):
-    return sorted((str(i), n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, n, gone, spans, kept in rows)
+def plain_digest(rows, match, passage):
+    """What removal_digest should give, by counting."""
+    shorter = plain_removal(rows, passage)
+    return sorted((str(i), n, gone, spans, hashlib.sha256(kept).hexdigest(), less[2]) for (i, n, gone, spans, kept), less in zip(plain_removal(rows, match), shorter))
 
 
 def digests(df):
-    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated) for r in df.collect())
 
 
 def test_repeats_against_counting(spark):
     docs = table(spark, "documents")
-    want = digest_of(plain_removal([(r.doc_id, r.text) for r in docs.collect()], 400))
+    want = plain_digest([(r.doc_id, r.text) for r in docs.collect()], 400, 300)
     assert digests(removal_digest(remove_repeats(docs))) == want
-    assert sum(r[2] for r in want) > 0
+    assert sum(r[2] for r in want) > 0 and all(r[5] >= r[2] for r in want)
 
 
 @pytest.mark.parametrize("most", [4096, 1])
@@ -162,15 +190,15 @@ def test_repeats_with_small_windows(spark, most):
     rng = random.Random(9)
     words = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(5, 60))).decode() for _ in range(30)]
     rows = [(k, "".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for k in range(80)] + [(90, "ab" * 500), (91, None), (92, "é" * 300)]
+    rows += [(None, rows[3][1]), (None, rows[4][1] + "x"), (5, rows[6][1]), (7, rows[7][1]), (7, rows[7][1])]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    want = digest_of(plain_removal(rows, 40))
-    assert digests(removal_digest(remove_repeats(docs, match=40, core=10, width=10, lot=500, most=most))) == want
+    assert digests(removal_digest(remove_repeats(docs, match=40, passage=30, core=10, width=10, lot=500, most=most))) == plain_digest(rows, 40, 30)
 
 
 def test_repeats_on_edge_cases(spark):
     rows = [(i, t) for i, t, *_ in edge_rows() if not t or len(t) < 100_000]
     docs = edge_docs(spark).where("text is null or length(text) < 100000")
-    assert digests(removal_digest(remove_repeats(docs))) == digest_of(plain_removal(rows, 400))
+    assert digests(removal_digest(remove_repeats(docs))) == plain_digest(rows, 400, 300)
     assert remove_repeats(no_docs(spark)).count() == 0
     whole = {r.doc_id: r for r in removal_digest(remove_repeats(edge_docs(spark))).collect()}
     assert whole[12].n_removed == whole[12].n_bytes  # the very long text is the other's beginning

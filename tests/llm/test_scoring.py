@@ -73,8 +73,8 @@ def test_toxicity_reads_to_the_end(spark):
     worst = max((r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").select("text").limit(20).collect()), key=lambda t: model.score(t, used))
     filler = " ".join(f"filler{k}" for k in range(300_000))
     assert model.score(filler + " " + worst, used) > model.score(filler, used)
-    parts = np.unique(np.concatenate([c for c in toxicity.cells(toxicity.text_bytes(worst))]))
-    assert np.isin(toxicity.features(toxicity.text_bytes(worst), np.ones(1 << toxicity.BITS, bool)), parts).all()
+    parts = np.unique(np.concatenate([c for c in toxicity.cells(toxicity.text_points(worst))]))
+    assert np.isin(toxicity.features(toxicity.text_points(worst), np.ones(1 << toxicity.BITS, bool)), parts).all()
 
 
 def test_long_texts_in_stretches_score_as_in_one(monkeypatch):
@@ -85,9 +85,68 @@ def test_long_texts_in_stretches_score_as_in_one(monkeypatch):
     monkeypatch.setattr(quality, "STRETCH", 256)
     assert abs(quality.score(text, p) - whole) < 1e-5
     used = np.ones(1 << toxicity.BITS, bool)
-    every = toxicity.features(toxicity.text_bytes(text), used)
+    every = toxicity.features(toxicity.text_points(text), used)
     monkeypatch.setattr(toxicity, "STRETCH", 100)
-    assert (toxicity.features(toxicity.text_bytes(text), used) == every).all()
+    assert (toxicity.features(toxicity.text_points(text), used) == every).all()
+
+
+def plain_cells(text):
+    """The hashed n-grams of a text, one by one."""
+    points = [ord(c) + 32 if "A" <= c <= "Z" else ord(c) for c in f" {text or ''} "]
+    out = set()
+    for n in toxicity.ORDERS:
+        for k in range(len(points) - n + 1):
+            h = points[k] + 1
+            for p in points[k + 1 : k + n]:
+                h = (h * 0x01000193 ^ (p + 1) * 0x9E3779B1) & 0xFFFFFFFF
+            out.add(((((h ^ (h >> 15)) * 0x85EBCA6B) + n) & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+    return out
+
+
+def test_toxicity_scores_against_a_plain_scorer(spark):
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    model = toxicity.train(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(-1, None), (-2, "漢字 ünï 🎉 漢")]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    for i, text in rows:
+        z = model.intercept + sum(float(model.weights[c]) for c in plain_cells(text))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def plain_quality(text, p):
+    """The network's probability, position by position."""
+    data = np.frombuffer((text or "").encode() or b"\0", np.uint8)
+    n = len((text or "").encode())
+    padded = np.concatenate([data, np.zeros(quality.WIDTH - 1, np.uint8)])
+    inputs = []
+    for at in range(0, max(1, n - quality.HALF), quality.HALF):
+        end = min(max(n, 1), at + quality.CHUNK)
+        best = np.max([p["embed"][padded[k : k + quality.WIDTH]].ravel() @ p["filters"] for k in range(at, end)], axis=0)
+        inputs.append(np.append(np.maximum(best + p["bias"], 0), min(n - at, quality.CHUNK) / quality.CHUNK))
+    h = np.maximum(np.array(inputs) @ p["hidden"] + p["hidden_bias"], 0)
+    z = np.concatenate([h.max(0), h.mean(0)]) @ p["out"] + p["out_bias"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_scores_against_a_plain_scorer(spark):
+    docs = table(spark, "documents")
+    params = quality.train(docs, table(spark, "labels"))
+    assert "filters" in params
+    rows = [(r.doc_id, r.text) for r in docs.where("length(text) < 3000").limit(25).collect()] + [(-1, None), (-2, "x"), (-3, "a" * 128), (-4, "b c" * 43), (-5, "é" * 128), (-6, "z" * 257)]
+    got = {r.doc_id: r.score for r in quality.score_quality(spark.createDataFrame(rows, "doc_id bigint, text string"), params).collect()}
+    for i, text in rows:
+        assert abs(got[i] - plain_quality(text, params)) < 1e-4, i
+
+
+def test_training_reads_whole_texts(spark):
+    """Texts that differ only behind 80,000 characters are told apart."""
+    filler = " ".join(f"w{k % 50}" for k in range(24_000))
+    rows = [(k, f"{filler} {'vile scum' if k % 2 else 'kind words'} {k}") for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)
 
 
 def test_gradients_against_differences():

@@ -18,7 +18,7 @@ from meterlark.llm import queries, warc
 from meterlark.llm.common import new_folder
 from meterlark.llm.packing import Encoder, OpenBins, byte_ranks, cut, default_vocabulary, pack_documents, pack_pieces
 from meterlark.llm.source_mixing import mix_sources, mixed_documents
-from meterlark.llm.url_lists import filter_urls
+from meterlark.llm.url_lists import filter_urls, host_of, url_patterns
 from oracle import compare
 from pyspark.sql import functions as F
 
@@ -92,15 +92,17 @@ def test_damaged_archives():
 # Dated lists
 
 
-def test_lists_against_trying_all(spark):
+@pytest.mark.parametrize("broadcast_intervals", [1000, 0])
+def test_lists_against_trying_all(spark, broadcast_intervals):
+    """Broadcast, and joined by slice as a list too large for that would be."""
     rng = random.Random(2)
     hosts = ["a.test", "b.a.test", "c.b.a.test", "d.test", "aa.test"]
     entries = [(rng.choice(hosts + ["a.test/x", "A.test/x/y/", "d.test/p", "test"]), rng.choice(["add", "remove", "odd"]), rng.randint(0, 400) * 86400) for _ in range(60)]
     entries += [(None, "add", 5), ("a.test", "add", None), ("d.test", "add", 86400), ("d.test", "remove", 86400)]
     captures = [(k, f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/x', '/x/y?q', '/xy', '/p#f', ':80/x'])}", rng.randint(0, 400) * 86400 + rng.choice([0, 1])) for k in range(300)]
-    captures += [(900, None, 5), (901, "no url", 5), (902, "http://a.test/", None), (5, captures[5][1], captures[5][2])]
+    captures += [(900, None, 5), (901, "no url", 5), (902, "http://a.test/", None), (903, "http://a.test/", -(10**9)), (904, "http://a.test/", 10**10), (5, captures[5][1], captures[5][2])]
     stamp = lambda rows, schema, c: spark.createDataFrame(rows, schema).withColumn(c, F.timestamp_seconds(c)).withColumns({x: F.lit(0) for x in ("period", "valid_from", "host")})
-    got = filter_urls(stamp(captures, "capture_id bigint, url string, fetched_at bigint", "fetched_at"), stamp(entries, "pattern string, action string, listed_at bigint", "listed_at"), period_days=3).collect()
+    got = filter_urls(stamp(captures, "capture_id bigint, url string, fetched_at bigint", "fetched_at"), stamp(entries, "pattern string, action string, listed_at bigint", "listed_at"), slices=3, broadcast_intervals=broadcast_intervals).collect()
 
     def active(pattern, at):
         host, slash, path = pattern.partition("/")
@@ -127,6 +129,16 @@ def test_lists_against_trying_all(spark):
     assert filter_urls(stamp(captures, "capture_id bigint, url string, fetched_at bigint", "fetched_at"), none).where("blocked").count() == 0
 
 
+def test_hosts(spark):
+    urls = {
+        "http://[2001:db8::1]/x": "[2001:db8::1]", "https://u:p@[::1]:8080/": "[::1]", "http://A.B.test.:80/": "a.b.test", "http://1.2.3.4/x": "1.2.3.4", "no url": None, "http:///x": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", host_of(F.col("url")).alias("host"), url_patterns(F.col("url")).alias("p")).collect()
+    assert {r.url: r.host for r in rows} == urls
+    by = {r.url: set(r.p or []) for r in rows}
+    assert by["http://1.2.3.4/x"] == {"1.2.3.4", "1.2.3.4/x"} and by["http://[2001:db8::1]/x"] == {"[2001:db8::1]", "[2001:db8::1]/x"}
+
+
 # Fingerprints
 
 
@@ -226,11 +238,10 @@ def test_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(default_vocabulary())
-    whole.encode_special_tokens = True
     ours = Encoder(default_vocabulary())
     rng = random.Random(4)
     alphabet = [chr(c) for c in range(0x250)] + list("  \n\t'''’“—漢字🎉 ́") + ["'s", "'ll", "<|endoftext|>", "the", "  "]
-    for text in [t or "" for _, t, *_ in edge_rows()] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))) for _ in range(800)] + ["a" * 3000, " " * 5000, "é" * 2001]:
+    for text in [t or "" for _, t, *_ in edge_rows()] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))) for _ in range(800)] + ["a" * 3000, " " * 5000, "é" * 2001, "hi <|endoftext|> you", "<|endoftext|><|endoftext|>"]:
         assert np.frombuffer(ours(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:50]
     assert byte_ranks(default_vocabulary())
 
@@ -239,7 +250,6 @@ def check_packing(rows, docs, most=2048):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(default_vocabulary())
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, text in docs:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
@@ -272,8 +282,10 @@ def test_packing_in_small_buckets_and_few_open_bins(spark):
     docs = table(spark, "documents")
     rows = pack_documents(docs, max_tokens=512, bucket_pieces=50, open_bins=4).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()], 512)
-    pieces = spark.createDataFrame([(k, 0, n) for k, n in enumerate([5, 5, 3, 3, 2, 2])], "doc_id bigint, piece int, length bigint")
-    assert len({r.sequence_id for r in pack_pieces(pieces, 10).collect()}) == 2
+    pieces = spark.createDataFrame([(None, 0, 3)] * 400, "doc_id bigint, piece int, length bigint")
+    packed = pack_pieces(pieces, 10, bucket_pieces=50).collect()
+    assert len({r.sequence_id >> 32 for r in packed}) == 8  # rows without an id are spread, too
+    assert all(n <= 3 for n in Counter(r.sequence_id for r in packed).values())
 
 
 def test_best_fit_and_closing():
