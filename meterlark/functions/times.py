@@ -83,6 +83,17 @@ def preset_window(name: str, now: dt.datetime, start: dt.datetime | None = None,
     return now - dt.timedelta(hours={"24h": 24, "7d": 168, "30d": 720, "90d": 2160}[name]), now
 
 
+def since_time(text: Column) -> Column:
+    """A date (its midnight in UTC) or a time with zone from which to count; null if it is neither."""
+    s = F.trim(text)
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(s)).when(s.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(s))
+
+
+def first_of_month(day: dt.date, today: dt.date) -> dt.date:
+    """The first day of a day's month; for a month to come, today."""
+    return min(day.replace(day=1), today)
+
+
 def covered_days(start: dt.date, end: dt.date) -> int:
     return (end - start).days + 1
 

@@ -43,6 +43,25 @@ def read_prices(spark: SparkSession, path: str, layer: str) -> DataFrame:
     return prices_from_json(spark.read.text(path, wholetext=True), layer)
 
 
+def imported_prices(spark: SparkSession, path: str, layer: str = "override") -> DataFrame:
+    """read_prices() of a table that a user hands in; one without any price is an error."""
+    rows = read_prices(spark, path, layer)
+    if rows.isEmpty():
+        raise ValueError(f"no prices in {path}")
+    return rows
+
+
+def keep_prices(rows: DataFrame, path: str, updated_at: str) -> None:
+    """Writes a price cache: a folder with one condensed JSON text, as read_prices() takes it. A book has some thousands of entries."""
+    models = F.map_from_entries(F.collect_list(F.struct("key", F.struct(*PARTS))))
+    rows.agg(F.to_json(F.struct(F.lit(updated_at).alias("updated_at"), models.alias("models"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def model_count(book: DataFrame) -> DataFrame:
+    """One row: how many keys a book has."""
+    return book.agg(F.count_distinct("key").alias("models"))
+
+
 def layered_prices(rows: DataFrame) -> DataFrame:
     """One row per key. Strong layers win, except a cache that is strictly older than the newest snapshot."""
     stamped = F.try_to_timestamp("updated_at")

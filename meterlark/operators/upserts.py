@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.numbers import token_sum
 from ..functions.text import is_account_hash, trimmed
 from ..schema import ACCOUNT_SOURCES, SOURCES
-from .usage import normalized_buckets, storage_host
+from .usage import normalized_accounts, normalized_buckets, normalized_sessions, storage_host
 
 BUCKET_KEY = ("host_id", "source", "model", "project", "bucket_start")
+#: Names of unknown sources that a response lists at most (a report, not a limit on rows).
+MOST_UNKNOWN = 1000
 SESSION_KEY = ("host_id", "source", "session_hash")
 
 
@@ -103,9 +105,7 @@ def new_buckets(uploads: DataFrame) -> DataFrame:
 
 def new_sessions(uploads: DataFrame) -> DataFrame:
     """Session rows of known sources; they always stay with the machine."""
-    counts = ("duration_seconds", "active_seconds", "message_count", "user_message_count", "input", "output", "cache_read", "total")
-    rows = uploaded(uploads, "sessions").where(F.col("source").isin(*SOURCES))
-    return rows.withColumns({c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for c in counts}).withColumn("project", F.coalesce(F.nullif(trimmed(F.col("project")), F.lit("")), F.lit("unknown")))
+    return normalized_sessions(uploaded(uploads, "sessions")).where(F.col("source").isin(*SOURCES))
 
 
 def ingest(store: Store, uploads: DataFrame) -> Store:
@@ -114,7 +114,7 @@ def ingest(store: Store, uploads: DataFrame) -> Store:
     Taking the same uploads again changes nothing but ``last_seen``; rows of unknown sources are left out (response() counts them).
     """
     buckets = new_buckets(uploads)
-    fresh = uploaded(uploads, "accounts").where(is_account_hash(F.col("account_hash")))
+    fresh = normalized_accounts(uploaded(uploads, "accounts")).where(is_account_hash(F.col("account_hash")))
     machines = uploads.select("host_id", "hostname", F.col("received_at").alias("last_seen"), "agent_version", "timezone", F.col("upload_id").alias("seq"))
     owned = buckets.where(F.col("source").isin(*ACCOUNT_SOURCES) & F.col("host_id").startswith("acct:")).select("host_id", F.col("account_label").alias("label"), "received_at", "seq")
     known = store.hosts.where(F.col("host_id").startswith("acct:")).select("host_id", F.col("hostname").alias("label"), F.col("last_seen").alias("received_at"), F.lit(-1).cast("bigint").alias("seq"))
@@ -133,9 +133,10 @@ def ingest(store: Store, uploads: DataFrame) -> Store:
 def response(store: Store, uploads: DataFrame) -> DataFrame:
     """One row: ingested, protected and dropped buckets, ingested and dropped sessions, and the unknown sources.
 
-    A row that is sent again counts as ingested; a protected one counts as protected only.
+    A row that is sent again counts as ingested; a protected one counts as protected only. Of unknown names, which clients may invent, the first
+    MOST_UNKNOWN in order are listed; all of their rows are counted.
     """
-    raw, raw_sessions = normalized_buckets(uploaded(uploads, "buckets")), uploaded(uploads, "sessions")
+    raw, raw_sessions = normalized_buckets(uploaded(uploads, "buckets")), normalized_sessions(uploaded(uploads, "sessions"))
     kept = protected_rows(store.buckets.select(*BUCKET_KEY, *_tokens(store.buckets)), new_buckets(uploads).select(*BUCKET_KEY, *_tokens(store.buckets), "seq"))
     known = F.col("source").isin(*SOURCES)
     parts = [
@@ -146,7 +147,7 @@ def response(store: Store, uploads: DataFrame) -> DataFrame:
     one = parts[0].withColumn("one", F.lit(1))
     for part in parts[1:]:
         one = one.join(part.withColumn("one", F.lit(1)), "one")  # one row each
-    return one.withColumn("unknown_sources", F.sort_array(F.array_union("u1", "u2"))).drop("one", "u1", "u2")
+    return one.withColumn("unknown_sources", F.slice(F.sort_array(F.array_union("u1", "u2")), 1, MOST_UNKNOWN)).drop("one", "u1", "u2")
 
 
 def _tokens(buckets: DataFrame) -> list[str]:

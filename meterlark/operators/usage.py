@@ -10,7 +10,7 @@ from ..functions.text import account_host, clamped, clamped_or_unknown, is_accou
 from ..functions.times import half_hour
 from ..schema import ACCOUNT_SOURCES, TOKENS
 
-MODEL_CHARS, PROJECT_CHARS, SOURCE_CHARS, LABEL_CHARS = 100, 200, 64, 200
+MODEL_CHARS, PROJECT_CHARS, SOURCE_CHARS, LABEL_CHARS, HASH_CHARS = 100, 200, 64, 200, 64
 
 
 def sums(*columns: str) -> list[Column]:
@@ -37,6 +37,26 @@ def normalized_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.withColumns(cols).withColumn("total", token_sum())
 
 
+def normalized_sessions(sessions: DataFrame) -> DataFrame:
+    """Names trimmed, cut and filled, counts and seconds at least 0."""
+    counts = ("duration_seconds", "active_seconds", "message_count", "user_message_count", "input", "output", "cache_read", "total")
+    return sessions.withColumns({
+        "source": clamped(F.col("source"), SOURCE_CHARS), "project": clamped_or_unknown(F.col("project"), PROJECT_CHARS), "session_hash": clamped(F.col("session_hash"), HASH_CHARS),
+        **{c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for c in counts},
+    })
+
+
+def normalized_accounts(accounts: DataFrame) -> DataFrame:
+    """Account snapshots with hash and label trimmed and cut."""
+    return accounts.withColumns({"account_hash": clamped(F.col("account_hash"), HASH_CHARS), "label": clamped(F.col("label"), LABEL_CHARS)})
+
+
+def first_of_each_account(rows: DataFrame, order: str) -> DataFrame:
+    """One row per account_hash: the first in ``order``."""
+    best = rows.groupBy("account_hash").agg(F.min_by(F.struct(*rows.columns), order).alias("row"))
+    return best.select("row.*")
+
+
 def hide_projects(rows: DataFrame) -> DataFrame:
     return rows.withColumn("project", F.lit("unknown"))
 
@@ -112,7 +132,8 @@ def cumulative_deltas(rows: DataFrame, counters: list[str], total: str, keys: li
 
 def largest_of_each(rows: DataFrame, key: str, score: Column, tie: list[str]) -> DataFrame:
     """Of rows with one key the one with the highest score stays, then the first by ``tie``; rows without a key all stay."""
-    keyed = rows.where(F.col(key).isNotNull())
-    order = Window.partitionBy(key).orderBy(score.desc(), *tie)
-    best = keyed.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
-    return best.unionByName(rows.where(F.col(key).isNull()))
+    values = [c for c in rows.columns if c != key]
+    # The first by ``tie`` of those with the greatest score: partial bests are made before the shuffle.
+    keyed = rows.where(F.col(key).isNotNull()).withColumn("largest", score)
+    best = keyed.groupBy(key).agg(F.min_by(F.struct(*values), F.struct(F.col("largest").isNull().alias("none"), (-F.col("largest")).alias("less"), *tie)).alias("row"))
+    return best.select(*[F.col(key) if c == key else F.col(f"row.{c}").alias(c) for c in rows.columns]).unionByName(rows.where(F.col(key).isNull()))

@@ -6,6 +6,7 @@ A log file is read by one task; logs of tools are small, and the order of lines
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from copy import copy
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,6 +30,19 @@ class SourceAdapter(ABC):
     """A source of usage. Subclasses name themselves and turn folders into entries and events."""
 
     name: str
+    glob = "*.jsonl"
+    #: Where lines are taken from if logs are to be read only where they changed (sources.incremental.LogStore).
+    store = None
+
+    def over(self, store):
+        """The same source over a store of lines."""
+        other = copy(self)
+        other.store = store
+        return other
+
+    def lines(self, spark: SparkSession, roots: list[str]) -> DataFrame:
+        """(path, line_no, line, complete): the lines of all files that are not blank; ``complete`` is false for a last one without its end."""
+        return self.store.refresh(roots, self.glob).lines if self.store else raw_lines(whole_files(spark, roots, self.glob))
 
     @abstractmethod
     def read(self, spark: SparkSession, roots: list[str]) -> Usage: ...
@@ -42,34 +56,100 @@ def read_all(spark: SparkSession, sources: list[tuple[SourceAdapter, list[str]]]
             found.append(adapter.read(spark, roots))
         except Exception as e:  # noqa: BLE001  one source must not stop the others
             errors[adapter.name] = str(e).split("\n")[0]
+    return together(spark, found), errors
+
+
+def together(spark: SparkSession, found: list[Usage]) -> Usage:
     entries = reduce(DataFrame.unionByName, [u.entries for u in found], spark.createDataFrame([], ENTRY))
-    events = reduce(DataFrame.unionByName, [u.events for u in found], spark.createDataFrame([], EVENT))
-    return Usage(entries, events), errors
+    return Usage(entries, reduce(DataFrame.unionByName, [u.events for u in found], spark.createDataFrame([], EVENT)))
+
 
+def collect_all(spark: SparkSession, sources: list[tuple[SourceAdapter, list[str]]], folder: str) -> tuple[Usage, DataFrame]:
+    """Reads each source into tables below ``folder``, so that one that fails while it runs does not stop the others.
 
-def _plain_path() -> Column:
+    The report has a row per source: (source, ok, files, entries, events, error). A source with files of which nothing could be parsed
+    is not ok: what a collector remembers of it must stay (operators.changes.pruned).
+    """
+    found, report = [], []
+    for adapter, roots in sources:
+        files = entries = events = 0
+        error = None
+        try:
+            roots = roots_of(spark, roots)
+            if not roots:  # nothing to read is no failure
+                report.append((adapter.name, True, 0, 0, 0, None))
+                continue
+            usage = adapter.read(spark, roots)
+            at = f"{folder}/{adapter.name}"
+            usage.entries.write.mode("overwrite").parquet(f"{at}/entries")
+            usage.events.write.mode("overwrite").parquet(f"{at}/events")
+            kept = Usage(spark.read.schema(ENTRY).parquet(f"{at}/entries"), spark.read.schema(EVENT).parquet(f"{at}/events"))
+            entries, events, files = kept.entries.count(), kept.events.count(), listed_files(spark, roots, adapter.glob).count()
+            if files and not entries and not events:
+                error = "nothing could be parsed"
+            found.append(kept)
+        except Exception as e:  # noqa: BLE001  one source must not stop the others
+            error = str(e).split("\n")[0]
+        report.append((adapter.name, error is None, files, entries, events, error))
+    return together(spark, found), spark.createDataFrame(report, "source string, ok boolean, files bigint, entries bigint, events bigint, error string")
+
+
+def plain_path() -> Column:
     """The file's path as it is on disk; Spark gives it percent-encoded."""
     return F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path")
 
 
+def roots_of(spark: SparkSession, roots: list[str]) -> list[str]:
+    """The folders that are there, each once: paths are made absolute and links followed, and a folder inside another one is left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found: list[str] = []
+    for root in roots:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(conf)
+        if not files.exists(path):
+            continue
+        full = files.resolvePath(path).toUri()
+        name = full.toString()
+        if full.getScheme() in (None, "file"):
+            name = "file://" + jvm.java.nio.file.Paths.get(full.getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)).toRealPath(spark.sparkContext._gateway.new_array(jvm.java.nio.file.LinkOption, 0)).toString()
+        if name not in found:
+            found.append(name)
+    return [r for r in found if not any(r != other and r.startswith(other.rstrip("/") + "/") for other in found)]
+
+
 def listed_files(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
     """(path, size, mtime) of all files below the folders; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
-    return files.select(_plain_path(), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).distinct()
+    return files.select(plain_path(), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).distinct()
 
 
 def whole_files(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
     """(path, text) of all files below the folders."""
     texts = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return texts.select(_plain_path(), F.col("value").alias("text"))
+    return texts.select(plain_path(), F.col("value").alias("text"))
+
+
+def bytes_between(spark: SparkSession, roots: list[str], start: int, end: int, glob: str = "*.jsonl") -> DataFrame:
+    """(path, text): of each file the bytes from ``start`` up to ``end``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
+    return files.select(plain_path(), F.substring("content", F.lit(start + 1), F.lit(max(0, end - start))).cast("string").alias("text"))
+
+
+def raw_lines(files: DataFrame) -> DataFrame:
+    parts = F.split("text", "\n")
+    rows = files.select("path", F.posexplode(parts).alias("line_no", "line"), (F.size(parts) - 1).alias("last")).where("trim(line) <> ''")
+    return rows.select("path", F.col("line_no").cast("bigint").alias("line_no"), "line", (F.col("line_no") < F.col("last")).alias("complete"))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``doc`` in place of the text; those that are no JSON are left out."""
+    return lines.withColumn("doc", F.try_parse_json("line")).where("doc is not null").drop("line", "complete")
 
 
 def numbered_lines(files: DataFrame, complete_only: bool = False) -> DataFrame:
     """(path, line_no, doc): the lines that are JSON. Blank and broken lines are skipped; ``complete_only`` leaves out a line without its end."""
-    parts = F.split("text", "\n")
-    lines = F.slice(parts, F.lit(1), F.size(parts) - 1) if complete_only else parts
-    rows = files.select("path", F.posexplode(lines).alias("line_no", "line")).where("trim(line) <> ''")
-    return rows.select("path", "line_no", F.try_parse_json("line").alias("doc")).where("doc is not null")
+    rows = raw_lines(files)
+    return parsed_lines(rows.where("complete") if complete_only else rows)
 
 
 def text_at(doc: Column | str, path: str) -> Column:

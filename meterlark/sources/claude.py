@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dashed_path_part, last_path_part
 from ..operators.usage import carried_forward, largest_of_each
-from .base import SourceAdapter, Usage, as_entries, as_events, best_copy, count_at, file_stem, listed_files, numbered_lines, text_at, time_at, whole_files
+from .base import SourceAdapter, Usage, as_entries, as_events, best_copy, count_at, file_stem, listed_files, parsed_lines, text_at, time_at
 
 NAME, UNKNOWN_MODEL, SYNTHETIC = "claude-code", "claude-unknown", "<synthetic>"
 EVENT_TYPES = ("user", "assistant", "tool_use", "tool_result")
 
 
+def without_sessions(files: DataFrame, others: DataFrame) -> DataFrame:
+    """Files of sessions (session_id) that the others do not have."""
+    return files.join(others.select("session_id"), "session_id", "left_anti")
+
+
 class ClaudeLogs(SourceAdapter):
     """Usage from assistant lines with a usage object; every call counts once, with its largest numbers.
 
@@ -27,16 +32,15 @@ class ClaudeLogs(SourceAdapter):
         folder = F.regexp_extract("path", r"/projects/([^/]+)/", 1)
         projects = best_copy(files.where(folder != ""), "session_id").withColumn("fallback", F.coalesce(dashed_path_part(folder), F.lit("unknown")))
         transcripts = best_copy(files.where(F.col("path").rlike("/transcripts/")), "session_id").withColumn("fallback", F.lit("unknown"))
-        transcripts = transcripts.join(projects.select("session_id"), "session_id", "left_anti")
-        texts = whole_files(spark, roots, "*.jsonl")
-        lines = self._lines(texts, projects)
-        return Usage(as_entries(self._entries(lines)), as_events(self._events(lines).unionByName(self._events(self._lines(texts, transcripts)))))
+        transcripts = without_sessions(transcripts, projects)
+        raw = self.lines(spark, roots)
+        lines = self._lines(raw, projects)
+        return Usage(as_entries(self._entries(lines)), as_events(self._events(lines).unionByName(self._events(self._lines(raw, transcripts)))))
 
     @staticmethod
-    def _lines(texts: DataFrame, files: DataFrame) -> DataFrame:
+    def _lines(raw: DataFrame, files: DataFrame) -> DataFrame:
         """Lines of the chosen files with their session and project."""
-        chosen = texts.join(files.select("path", "session_id", "fallback"), "path")
-        lines = numbered_lines(chosen.select("path", "text")).join(files.select("path", "session_id", "fallback"), "path")
+        lines = parsed_lines(raw.join(files.select("path", "session_id", "fallback"), "path"))
         file = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         cwd = F.when(F.trim(text_at("doc", "$.cwd")) != "", text_at("doc", "$.cwd"))
         first = F.first(cwd, ignorenulls=True).over(file)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import last_path_part, repository_name
-from .base import SourceAdapter, Usage, as_entries, as_events, best_copy, count_at, listed_files, numbered_lines, present_at, text_at, time_at, whole_files
+from .base import SourceAdapter, Usage, as_entries, as_events, best_copy, count_at, listed_files, parsed_lines, present_at, text_at, time_at
 
 NAME = "codex"
 COUNTERS = ("input_tokens", "output_tokens", "cached", "reasoning_output_tokens")
@@ -29,7 +29,7 @@ class CodexLogs(SourceAdapter):
     name = NAME
 
     def read(self, spark: SparkSession, roots: list[str]) -> Usage:
-        lines = numbered_lines(whole_files(spark, roots, "*.jsonl"))
+        lines = parsed_lines(self.lines(spark, roots))
         lines = lines.withColumns({"type": F.coalesce(text_at("doc", "$.type"), F.lit("")), "at": time_at("doc", "$.timestamp")})
         headers = self._headers(lines)
         files = listed_files(spark, roots).join(headers, "path", "left").withColumn("session_id", F.coalesce("session_id", "path"))

@@ -19,6 +19,7 @@ class GrokLogs(SourceAdapter):
     """
 
     name = NAME
+    glob = "summary.json"
 
     def read(self, spark: SparkSession, roots: list[str]) -> Usage:
         by_folder = lambda glob: whole_files(spark, roots, glob).withColumns({"dir": F.regexp_extract("path", "^(.*)/[^/]+$", 1)})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, last_path_part
-from .base import SourceAdapter, Usage, as_entries, as_events, best_copy, count_at, listed_files, numbered_lines, present_at, text_at, time_at, whole_files
+from .base import SourceAdapter, Usage, as_entries, as_events, best_copy, count_at, listed_files, parsed_lines, present_at, text_at, time_at
 
 NAME = "pi"
 ROLES = ("user", "assistant", "toolResult")
@@ -22,9 +22,9 @@ class PiLogs(SourceAdapter):
     name = NAME
 
     def read(self, spark: SparkSession, roots: list[str]) -> Usage:
-        files = whole_files(spark, roots, "*.jsonl")
-        lines = numbered_lines(files, complete_only=True)
-        headers = self._headers(files, lines)
+        raw = self.lines(spark, roots).where("complete")
+        lines = parsed_lines(raw)
+        headers = self._headers(raw, lines)
         chosen = best_copy(listed_files(spark, roots).join(headers, "path"), "session_id").drop("size", "mtime")
         rows = self._records(lines.join(chosen, "path").where(F.col("line_no") > F.col("header_line")).withColumn("source", F.lit(NAME)))
         events = rows.where("role is not null").groupBy("path", "key").agg(F.min_by(F.struct("session_id", "source", "project", "role", "at", F.col("line_no").alias("seq")), "line_no").alias("e"))
@@ -32,10 +32,9 @@ class PiLogs(SourceAdapter):
         return Usage(as_entries(used.select("e.*")), as_events(events.select("e.*")))
 
     @staticmethod
-    def _headers(files: DataFrame, lines: DataFrame) -> DataFrame:
+    def _headers(raw: DataFrame, lines: DataFrame) -> DataFrame:
         """(path, session_id, project, version, replay, header_line); the header must be the first line that is not blank."""
-        whole = F.expr("slice(split(text, '\\n'), 1, size(split(text, '\\n')) - 1)")
-        first = files.select("path", F.posexplode(whole).alias("n", "line")).where("trim(line) <> ''").groupBy("path").agg(F.min("n").alias("line_no"))
+        first = raw.groupBy("path").agg(F.min("line_no").alias("line_no"))
         version = F.when(present_at("doc", "$.version"), F.try_variant_get("doc", "$.version", "bigint")).otherwise(F.lit(1))
         parent = F.try_variant_get("doc", "$.parentSession", "variant")
         name = text_at("doc", "$.parentSession")

@@ -23,6 +23,7 @@ class UsageExport(SourceAdapter):
     """
 
     name = NAME
+    glob = "*.csv"
 
     def __init__(self, zone: str = "UTC", since: int | None = None):
         self.zone, self.since = zone, since

@@ -17,6 +17,7 @@ from ..operators.upserts import new_buckets, touched_days, upsert_buckets
 from ..operators.usage import sums
 from ..schema import BUCKET, TOKENS, UPLOAD
 from ..session import shared_folder
+from ..versions import VersionedTable
 
 STATE = "key STRING, hash STRING"
 
@@ -63,8 +64,13 @@ def keep_rows(rows: DataFrame, table: BucketTable, checkpoint: str, **trigger) -
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def windowed_usage(entries: DataFrame, *keys: str) -> DataFrame:
-    """A running aggregate of a stream of entries: tumbling half hours. Start it in update mode."""
+def windowed_usage(entries: DataFrame, *keys: str, late: str | None = None) -> DataFrame:
+    """A running aggregate of a stream of entries: tumbling half hours. Start it in update mode.
+
+    Without ``late`` every half hour is kept for ever, as any may still grow; with it (such as "2 days") older ones leave the state and what comes later is
+    dropped. For usage that may come at any time without bound, write to a BucketTable (keep_rows), whose state is the table.
+    """
+    entries = entries.withWatermark("at", late) if late else entries
     by = [*keys, "source", "model", "project", F.window("at", "30 minutes").alias("w")]
     rows = entries.groupBy(*by).agg(*sums(*TOKENS))
     return rows.withColumn("bucket_start", F.col("w.start")).drop("w")
@@ -74,14 +80,16 @@ def send_changes(rows: DataFrame, state_path: str, send: Callable[[DataFrame], l
     """Sends the rows (with key, hash, source) that a destination has not acknowledged; returns how many.
 
     ``send`` gets a DataFrame and returns the sources that the destination does not know. What was sent is remembered
-    only after it returned, so a failure leads to a repeat, never to a gap. Each destination has a state folder of its own.
+    only after it returned, as a new version of the state, so a failure leads to a repeat, never to a gap, and loses nothing
+    that was remembered. Each destination has a state folder of its own.
     """
     spark = rows.sparkSession
-    state = stored_rows(spark, state_path, STATE)
+    kept = VersionedTable(spark, state_path, STATE)
+    state = kept.read()
     shared_folder(spark)
     todo = changed_rows(rows, state, full).checkpoint()
     n = todo.count()
     if n:
         unknown = send(todo)
-        acknowledged(state, todo, unknown).checkpoint().write.mode("overwrite").parquet(state_path)
+        kept.write(acknowledged(state, todo, unknown))
     return n
