@@ -1,7 +1,8 @@
-"""The registered queries and the SQL that states the same."""
+"""All queries of the analytics part, and the SQL of each."""
 
 from __future__ import annotations
 
-from .write_queries import ORACLES, QUERIES
+from . import table_queries, write_queries  # noqa: F401  importing registers their queries
+from .usage_queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

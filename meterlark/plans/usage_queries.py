@@ -13,7 +13,7 @@ from ..functions.times import UTC, half_hour
 from ..operators import panels, views
 from ..operators.pricing import price_index, priced, resolved_prices
 from ..operators.scans import NUMBERS, Filter, daily_rollups, scan_buckets, scan_days
-from ..operators.usage import active_seconds, content_hash, usage_buckets, usage_sessions
+from ..operators.usage import content_hash, usage_buckets, usage_sessions
 from ..session import new_folder
 from ..sources.events import SQL_USAGE, read_usage
 
@@ -240,11 +240,6 @@ def sessions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_sessions(rows, rows).withColumn("session_hash", session_hash(F.col("session_id"), F.col("source"))).withColumn("host_id", F.lit("host"))
 
 
-@query(f"WITH {SQL_USAGE.strip()}, turns AS {SQL_SESSIONS.split('turns AS', 1)[1].split(', sess AS', 1)[0]} SELECT source, session_id, active_seconds FROM act")
-def sessions_active_seconds(spark, sf_dir):
-    return active_seconds(usage(spark, sf_dir))
-
-
 @query(f"""WITH {SQL_SESSIONS} SELECT source, session_hash, project, epoch_us(first_at) AS first_us, epoch_us(last_at) AS last_us, duration_seconds, active_seconds, message_count, user_message_count, input, output, cache_read, total
 FROM sessions WHERE last_at >= TIMESTAMP '2024-01-03 12:17:00' AND last_at < TIMESTAMP '2024-01-20 09:47:00' ORDER BY last_at DESC, source, session_hash LIMIT 200""")
 def sessions_topk(spark, sf_dir):

@@ -201,12 +201,6 @@ def keep_largest_dedupe(spark: SparkSession, sf_dir: str):
     return largest_of_each(rows, "call", F.col("input"), ["seq"])
 
 
-@query(f"WITH {SQL_USAGE} SELECT DISTINCT session_id FROM entries WHERE source = 'pi' AND session_id NOT IN (SELECT session_id FROM entries WHERE source = 'codex')")
-def anti_join_transcripts(spark: SparkSession, sf_dir: str):
-    rows = usage(spark, sf_dir).select("source", "session_id")
-    return rows.where("source = 'pi'").select("session_id").distinct().join(rows.where("source = 'codex'"), "session_id", "left_anti")
-
-
 @query(f"""WITH {SQL_USAGE} SELECT host_id, source, model, 'unknown' AS project, epoch(bucket_start)::BIGINT AS bucket_s, {", ".join(f"sum({c})::BIGINT AS {c}" for c in _NUM.split(", "))} FROM buckets GROUP BY ALL""")
 def hide_projects_mask(spark: SparkSession, sf_dir: str):
     rows = regrouped(hide_projects(buckets_of(spark, sf_dir)), *BUCKET_KEY)

@@ -15,10 +15,12 @@ from meterlark.operators import changes, control, upserts, views
 from meterlark.operators.pricing import layered_prices, price_index, prices_from_json, resolved_prices
 from meterlark.operators.scans import Filter, daily_rollups, scan_days
 from meterlark.operators.upserts import Store
+from meterlark.plans import catalog
 from meterlark.plans.write_queries import empty_store
 from meterlark.schema import ACCOUNT, BUCKET, HOST, JOIN_REQUEST, TOKEN, UPLOAD
 from meterlark.session import new_folder
 from meterlark.streaming.tables import BucketTable, keep_uploads, send_changes, upload_stream, windowed_usage
+from oracle import SF
 from pyspark.sql import functions as F
 
 T0 = dt.datetime(2026, 1, 15, 10, 0)
@@ -255,3 +257,10 @@ def test_filters_reach_the_scan(spark):
     assert "PartitionFilters: [isnotnull(day" in scan
     assert "PushedFilters: [IsNotNull(bucket_start), IsNotNull(host_id), IsNotNull(source), GreaterThanOrEqual(bucket_start" in scan
     assert scan_days(table.read(), None, f).count() == 1
+
+
+@pytest.mark.parametrize("name,tables", [("summary_totals", 3), ("breakdown_source", 3), ("distributions_grouping_sets", 3), ("series_halfhour_dense", 1), ("series_by_day", 2)])
+def test_panels_read_each_table_once(spark, name, tables):
+    """The rollups, and the facts of the window's first and last day; prices and names bring no other scan."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == tables
