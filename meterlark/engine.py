@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import panels, upserts
-from .operators.control import hosts_by_last_seen
+from .operators import control, panels, upserts
 from .operators.pricing import layered_prices, price_index
 from .operators.scans import Filter, daily_rollups
 from .operators.upserts import Store
@@ -60,4 +60,28 @@ class Engine:
         return panels.filter_options(self.store.buckets, hide_projects)
 
     def hosts(self) -> DataFrame:
-        return hosts_by_last_seen(self.store.hosts)
+        return control.hosts_by_last_seen(self.store.hosts)
+
+    def without_host(self, host_id: str, tokens: DataFrame) -> tuple[Engine, DataFrame]:
+        """The engine and the tokens without a host. Refused (ValueError) for accounts, unknown hosts, and hosts with a token in force."""
+        state = control.deletable(self.store.hosts, tokens, host_id)
+        if state != "ok":
+            raise ValueError(f"host {host_id}: {state}")
+        left = control.without_host({"hosts": self.store.hosts, "buckets": self.store.buckets, "sessions": self.store.sessions, "tokens": tokens}, host_id)
+        rollups = None if self.rollups is None else control.without_host({"r": self.rollups}, host_id)["r"]
+        store = replace(self.store, hosts=left["hosts"], buckets=left["buckets"], sessions=left["sessions"])
+        return replace(self, store=store, rollups=rollups), left["tokens"]
+
+    def accounts(self, now: dt.datetime) -> DataFrame:
+        return control.listed_accounts(self.store.accounts, now)
+
+    def with_archived(self, account_hash: str, at: dt.datetime | None) -> Engine:
+        """The engine with an account archived or, without a time, restored."""
+        return replace(self, store=replace(self.store, accounts=control.set_archived(self.store.accounts, account_hash, at)))
+
+    def with_prices(self, rows: DataFrame) -> Engine:
+        """The engine with one more layer of prices (imported_prices())."""
+        return replace(self, prices=self.prices.unionByName(rows))
+
+    def price_list(self) -> DataFrame:
+        return layered_prices(self.prices)

@@ -147,3 +147,19 @@ def next_checks(accounts: DataFrame, now_s: int, most_s: int = 60) -> DataFrame:
 def retry_delay(level: Column, jitter: Column) -> Column:
     """Seconds to wait after failures: 30, 60, ... up to 960, and up to 10 more."""
     return 30 * F.pow(F.lit(2), F.least(level, F.lit(5))) + F.least(jitter, F.lit(10))
+
+
+def locked_sessions(before: DataFrame, more: DataFrame) -> DataFrame:
+    """(account_hash, session_id): what was locked and what is locked now, each once; accounts that are not known get nothing."""
+    known = more.join(before.select("account_hash").distinct(), "account_hash", "left_semi")
+    return before.select("account_hash", "session_id").unionByName(known.select("account_hash", "session_id")).where("session_id is not null").distinct()
+
+
+def still_pending(pending: DataFrame, live: DataFrame) -> DataFrame:
+    """Sessions that were asked for and are still live."""
+    return pending.join(live.select("account_hash", "session_id"), ["account_hash", "session_id"], "left_semi")
+
+
+def account_name(stored_mail: Column, mail: Column, account_hash: Column) -> Column:
+    """What to call an account: the mail address that was stored, that of its login, else eight digits of its hash."""
+    return F.coalesce(F.nullif(F.trim(stored_mail), F.lit("")), F.nullif(F.trim(mail), F.lit("")), F.substring(account_hash, 1, 8))

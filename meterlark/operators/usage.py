@@ -57,6 +57,11 @@ def first_of_each_account(rows: DataFrame, order: str) -> DataFrame:
     return best.select("row.*")
 
 
+def with_session(entries: DataFrame, session_id: Column) -> DataFrame:
+    """Fills in the session of entries that name none."""
+    return entries.withColumn("session_id", F.coalesce(F.nullif("session_id", F.lit("")), session_id, F.lit("")))
+
+
 def hide_projects(rows: DataFrame) -> DataFrame:
     return rows.withColumn("project", F.lit("unknown"))
 

@@ -56,3 +56,14 @@ def cycle_totals(buckets: DataFrame, cycles: DataFrame) -> DataFrame:
 def bin_window(bins: DataFrame, step: int, start_s: int, end_s: int) -> DataFrame:
     """What part of the asked window each bin (bin_s) covers, in epoch seconds."""
     return bins.withColumns({"from_s": F.greatest("bin_s", F.lit(start_s)), "to_s": F.least(F.col("bin_s") + step, F.lit(end_s))})
+
+
+def bin_name(seconds: Column) -> Column:
+    """A bin's width in minutes below an hour, in hours below a day, else in days: ``30 min``, ``3 h``, ``2 d``."""
+    count = lambda unit: (seconds / unit).cast("bigint")
+    return F.when(seconds < 3600, F.concat(count(60), F.lit(" min"))).when(seconds < 86400, F.concat(count(3600), F.lit(" h"))).otherwise(F.concat(count(86400), F.lit(" d")))
+
+
+def top_models(groups: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` groups with most tokens, a report of that many rows."""
+    return groups.orderBy(F.desc("total"), "key").limit(n)

@@ -93,3 +93,19 @@ def send_changes(rows: DataFrame, state_path: str, send: Callable[[DataFrame], l
         unknown = send(todo)
         kept.write(acknowledged(state, todo, unknown))
     return n
+
+
+def send_to_all(rows: DataFrame, state_root: str, destinations: dict[str, Callable[[DataFrame], list[str]]], full: tuple[str, ...] = ()) -> DataFrame:
+    """send_changes() to each destination with a state of its own; one that fails stops no other, and gets the rows the next time.
+
+    A row per destination, as sync_report() takes them, with the error; a ConnectionError or TimeoutError may be tried again.
+    """
+    spark, results = rows.sparkSession, []
+    for name, send in destinations.items():
+        sent, error, kind = 0, None, None
+        try:
+            sent = send_changes(rows, f"{state_root}/{name}", send, full=name in full)
+        except Exception as e:  # noqa: BLE001  one destination must not stop the others
+            error, kind = str(e).split("\n")[0], "retryable" if isinstance(e, (ConnectionError, TimeoutError)) else "fatal"
+        results.append((name, sent, 0, 0, sent, 0, error is None, kind, error))
+    return spark.createDataFrame(results, "destination string, ingested bigint, sessions bigint, protected bigint, changed_buckets bigint, changed_sessions bigint, ok boolean, error_kind string, error string")

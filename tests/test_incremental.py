@@ -9,12 +9,16 @@ import os
 import pytest
 from meterlark.functions.times import first_of_month, since_time
 from meterlark.operators.pricing import imported_prices, keep_prices, model_count, read_prices
-from meterlark.operators.usage import first_of_each_account, normalized_accounts, normalized_sessions
+from meterlark.operators import control, views
+from meterlark.operators.changes import sync_report
+from meterlark.operators.usage import first_of_each_account, normalized_accounts, normalized_sessions, with_session
 from meterlark.sources.base import bytes_between, collect_all, roots_of
 from meterlark.sources.claude import ClaudeLogs
 from meterlark.sources.codex import CodexLogs
 from meterlark.sources.incremental import LogStore
 from meterlark.sources.pi import PiLogs
+from meterlark.sources.roots import log_roots
+from meterlark.streaming.tables import send_to_all
 from meterlark.versions import VersionedTable
 from pyspark.sql import functions as F
 from test_sources import call, write
@@ -152,3 +156,47 @@ def test_since(spark):
     assert got == [dt.datetime(2026, 1, 2), dt.datetime(2026, 1, 2, 2), None, None, None]
     assert first_of_month(dt.date(2026, 3, 9), dt.date(2026, 3, 20)) == dt.date(2026, 3, 1)
     assert first_of_month(dt.date(2026, 5, 9), dt.date(2026, 3, 20)) == dt.date(2026, 3, 20)
+
+
+def test_roots_of_a_home(spark, tmp_path):
+    home = os.path.realpath(tmp_path)
+    for d in (".claude/projects", ".claude-work/projects", ".claude-none", ".codex", "other/sessions", "set", ".pi/agent/sessions", "pi/sessions"):
+        (tmp_path / d).mkdir(parents=True)
+    roots = lambda source, settings=None, extra=(): [r.removeprefix(f"file://{home}/") for r in log_roots(spark, source, home, settings or {}, extra)]
+    assert roots("claude-code") == [".claude", ".claude-work"] and roots("claude-code", {"CLAUDE_CONFIG_DIR": "~/set/"}) == [".claude", "set", ".claude-work"]
+    assert roots("codex") == [".codex"] and roots("codex", {"CODEX_HOME": "~/set"}, (f"{home}/.codex",)) == ["set", ".codex"]
+    assert roots("grok") == [] and roots("grok", {"GROK_HOME": f"{home}/other"}) == ["other/sessions"]
+    assert roots("pi") == [".pi/agent/sessions"] and roots("pi", {"PI_CODING_AGENT_DIR": "~/pi"}) == ["pi/sessions"]
+    assert roots("pi", {"PI_CODING_AGENT_DIR": "~/pi", "PI_CODING_AGENT_SESSION_DIR": "~/set"}) == ["set"]
+
+
+def test_destinations_are_apart(spark, tmp_path):
+    rows = spark.createDataFrame([("codex|a", "h1", "codex"), ("pi|b", "h2", "pi")], "key string, hash string, source string")
+    got: dict[str, list[int]] = {"a": [], "b": []}
+
+    def fail(_):
+        raise ConnectionError("no route")
+
+    keep = lambda name: lambda batch: got[name].append(batch.count()) or []
+    first = send_to_all(rows, str(tmp_path / "s"), {"a": keep("a"), "b": fail})
+    assert {(r.destination, r.ok, r.error_kind) for r in first.collect()} == {("a", True, None), ("b", False, "retryable")}
+    report = sync_report(first).first()
+    assert (report.ingested, report.all_ok, report.retry) == (2, False, True)
+    send_to_all(rows, str(tmp_path / "s"), {"a": keep("a"), "b": keep("b")})
+    assert got == {"a": [2], "b": [2]}
+    send_to_all(rows, str(tmp_path / "s"), {"a": keep("a"), "b": keep("b")}, full=("a",))
+    assert got == {"a": [2, 2], "b": [2]}
+
+
+def test_small_tables(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "account_hash string, session_id string")
+    locked = control.locked_sessions(frame([("a", "1"), ("b", None)]), frame([("a", "1"), ("a", "2"), ("c", "3"), ("b", "4")]))
+    assert sorted(map(tuple, locked.collect())) == [("a", "1"), ("a", "2"), ("b", "4")]
+    assert control.still_pending(frame([("a", "1"), ("a", "2")]), frame([("a", "2")])).first().session_id == "2"
+    names = spark.createDataFrame([(" x@y ", "z", "h" * 32), (" ", "z", "h" * 32), (None, "", "0123456789")], "a string, b string, c string")
+    assert [r.n for r in names.select(control.account_name(F.col("a"), F.col("b"), F.col("c")).alias("n")).collect()] == ["x@y", "z", "01234567"]
+    assert [r.n for r in spark.createDataFrame([(1800,), (10800,), (172800,)], "s bigint").select(views.bin_name(F.col("s")).alias("n")).collect()] == ["30 min", "3 h", "2 d"]
+    groups = spark.createDataFrame([(f"k{n}", n) for n in range(20)], "key string, total bigint")
+    assert [r.total for r in views.top_models(groups).collect()] == list(range(19, 9, -1))
+    entries = spark.createDataFrame([("", "p"), ("own", "p"), (None, "q")], "session_id string, path string")
+    assert [r.session_id for r in with_session(entries, F.col("path")).collect()] == ["p", "own", "q"]
