@@ -158,9 +158,10 @@ def fit(texts: list[str], labels: list[int], share: float, steps: int = 1200, ba
     return p
 
 
-def train(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS) -> Params:
+def train(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS, **options) -> Params:
+    """The network for labelled rows that are not held out; ``options`` go to fit()."""
     allowed = remainder(F.col("doc_id"), held_mod) != held
-    return fit(*training_sample(docs, labels, "quality", allowed, per_class))
+    return fit(*training_sample(docs, labels, "quality", allowed, per_class), **options)
 
 
 def score_quality(docs: DataFrame, params: Params, threshold: float = 0.3, held_mod: int = 5, held: int = 0) -> DataFrame:

@@ -104,9 +104,10 @@ def fit(texts: list[str], labels: list[int], share: float, passes: int = 200, ra
     return Model((w * ratio * used).astype(np.float32), b + logit(share) - logit(y.mean()))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held: int = 2, per_class: int = SAMPLE_PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held: int = 2, per_class: int = SAMPLE_PER_CLASS, **options) -> Model:
+    """The classifier for labelled rows that are not held out; ``options`` go to fit()."""
     allowed = remainder(F.col("doc_id"), held_mod) != held
-    return fit(*training_sample(docs, labels, "toxic", allowed, per_class))
+    return fit(*training_sample(docs, labels, "toxic", allowed, per_class), **options)
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, held_mod: int = 4, held: int = 2) -> DataFrame:

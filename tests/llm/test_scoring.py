@@ -38,6 +38,10 @@ def test_held_out_rows(spark, name):
     assert auc > least
 
 
+#: Fewer steps, where a test is not about how good the network is.
+QUICK = {"toxic": {}, "quality": {"steps": 60}}
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_held_out_labels_are_not_learnt(spark, name):
     """Turning all held-out labels round changes no score."""
@@ -45,7 +49,7 @@ def test_held_out_labels_are_not_learnt(spark, name):
     docs, labels = table(spark, "documents", "/root/testdata/sf0.01"), table(spark, "labels", "/root/testdata/sf0.01")
     turned = labels.withColumn(name, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == held, 1 - F.col(name)).otherwise(F.col(name)))
     few = docs.where("doc_id % 20 = 0")
-    a, b = (sorted(map(tuple, score(few, train(docs, y)).collect())) for y in (labels, turned))
+    a, b = (sorted(map(tuple, score(few, train(docs, y, **QUICK[name])).collect())) for y in (labels, turned))
     assert a == b
 
 
@@ -58,7 +62,7 @@ def test_edge_cases(spark, name):
     assert len(flat) == len(edge_rows()) and {r.score for r in flat} == {0.5}
     one = spark.createDataFrame([(1, 1), (2, 1), (99, 0), (None, 0), (3, None)], f"doc_id bigint, {name} int").where("doc_id < 50")
     assert all(r.score > 0.9 for r in score(docs, train(docs, one)).collect())
-    model = train(table(spark, "documents"), labels)
+    model = train(table(spark, "documents"), labels, **QUICK[name])
     rows = score(docs, model).collect()
     assert len(rows) == len(edge_rows()) and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if r.doc_id == 7}) == 1  # repeated rows
@@ -130,7 +134,7 @@ def plain_quality(text, p):
 
 def test_quality_scores_against_a_plain_scorer(spark):
     docs = table(spark, "documents")
-    params = quality.train(docs, table(spark, "labels"))
+    params = quality.train(docs, table(spark, "labels"), **QUICK["quality"])
     assert "filters" in params
     rows = [(r.doc_id, r.text) for r in docs.where("length(text) < 3000").limit(25).collect()] + [(-1, None), (-2, "x"), (-3, "a" * 128), (-4, "b c" * 43), (-5, "é" * 128), (-6, "z" * 257)]
     got = {r.doc_id: r.score for r in quality.score_quality(spark.createDataFrame(rows, "doc_id bigint, text string"), params).collect()}
