@@ -11,16 +11,19 @@ from ..functions.numbers import text_count, variant_count
 from ..functions.text import clamped_or_unknown, first_filled, host_id_of_token, last_path_part, repository_name, utc_offset
 from ..functions.times import UTC, export_time, log_time, since_time
 from ..operators import changes, control, upserts, views
-from ..operators.pricing import PARTS, layered_prices, model_count, price_index, prices_from_json
-from ..operators.usage import active_seconds, first_of_each_account, normalized_buckets, storage_host
+from ..operators.pricing import PARTS, imported_prices, keep_prices, layered_prices, model_count, price_index, prices_from_json
+from ..operators.usage import active_seconds, client_key, content_hash, first_of_each_account, normalized_accounts, normalized_buckets, normalized_sessions, storage_host, with_session
 from ..schema import HOST, TOKENS
 from ..session import new_folder
 from ..sources.base import SourceAdapter, collect_all
 from ..sources.claude import ClaudeLogs, without_sessions
 from ..sources.codex import CodexLogs
-from ..sources.events import SQL_USAGE
+from ..sources.events import SQL_USAGE, read_usage
 from ..sources.incremental import LogStore
 from ..sources.pi import PiLogs
+from ..sources.usage_export import UsageExport
+from ..streaming.tables import send_to_all, windowed_usage
+from ..versions import VersionedTable
 from .usage_queries import buckets_of, query, sessions_of, usage
 
 NOW = dt.datetime(2024, 1, 20, 12, 0, tzinfo=UTC)
@@ -423,3 +426,117 @@ def source_report(spark, sf_dir):
     _written(table(spark, sf_dir, "nation").select(F.lit("x").alias("project"), F.col("n_nationkey").alias("seq"), F.col("n_name").alias("line")), f"{folder}/broken")
     found = collect_all(spark, [(ClaudeLogs(), [f"{folder}/c"]), (CodexLogs(), [f"{folder}/broken"]), (PiLogs(), [f"{folder}/none"])], f"{folder}/out")
     return found[1].select("source", "ok", "entries")
+
+
+@query(f"""WITH {SQL_USAGE} SELECT source, model, count(*) AS calls, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cache_creation)::BIGINT AS cache_creation
+FROM entries WHERE source = 'cursor' AND input + output + cache_read + cache_creation > 0 AND epoch(date_trunc('minute', moment)) >= 1704700000 GROUP BY ALL""")
+def usage_exports(spark, sf_dir):
+    """Events as a usage export in CSV, columns in another order and counts with separators, from a time on."""
+    rows = usage(spark, sf_dir).where("source = 'cursor'")
+    number = lambda c: F.format_number(F.col(c), 0)
+    cells = rows.select(number("output").alias("Output Tokens"), F.col("model").alias("Model"), number("cache_read").alias("Cache Read"), number("input").alias("Input (w/o Cache Write)"), number("cache_creation").alias("Input (w/ Cache Write)"), F.date_format("at", "yyyy-MM-dd HH:mm").alias("Date"))
+    folder = new_folder(spark, "exports")
+    cells.write.csv(folder, header=True)
+    entries = UsageExport(since=1704700000).read(spark, [folder]).entries
+    return entries.groupBy("source", "model").agg(F.count("*").alias("calls"), *[F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_creation")])
+
+
+@query(f"WITH {SQL_USAGE} SELECT source, model, project, epoch(bucket_start)::BIGINT AS bucket_s, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output FROM buckets GROUP BY ALL")
+def streamed_half_hours(spark, sf_dir):
+    """A running aggregate of the events as a stream; each micro-batch's table is a new version."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    kept = VersionedTable(spark, new_folder(spark, "half-hours"), "source STRING, model STRING, project STRING, bucket_start TIMESTAMP, input BIGINT, output BIGINT")
+    rows = windowed_usage(read_usage(spark, sf_dir, stream)).select("source", "model", "project", "bucket_start", "input", "output")
+    writer = rows.writeStream.outputMode("complete").foreachBatch(lambda batch, _: kept.write(batch) and None).option("checkpointLocation", new_folder(spark, "half-hours-state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return kept.read().select("source", "model", "project", F.unix_seconds("bucket_start").alias("bucket_s"), "input", "output")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE c_name END AS project, greatest(c_acctbal::BIGINT, 0) AS total, substr(repeat(c_name, 9), 1, 64) AS session_hash FROM customer WHERE c_acctbal % 1 <> 0.5""")
+def normalised_sessions(spark, sf_dir):
+    counts = ("duration_seconds", "active_seconds", "message_count", "user_message_count", "input", "output", "cache_read")
+    rows = table(spark, sf_dir, "customer").where("c_acctbal % 1 <> 0.5").select(
+        "c_custkey", F.lit(" codex ").alias("source"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit(" "), "c_name")).alias("project"), F.repeat("c_name", F.lit(9)).alias("session_hash"),
+        F.round("c_acctbal").cast("bigint").alias("total"), *[F.lit(-1).cast("bigint").alias(c) for c in counts],
+    )
+    return normalized_sessions(rows).where("source = 'codex' and duration_seconds + input = 0").select("c_custkey", "project", "total", "session_hash")
+
+
+@query("SELECT substr(repeat(c_name, 9), 1, 64) AS account_hash, substr(repeat(c_name, 30), 1, 200) AS label FROM customer")
+def normalised_accounts(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.repeat("c_name", F.lit(9)).alias("account_hash"), F.repeat("c_name", F.lit(30)).alias("label"))
+    return normalized_accounts(rows)
+
+
+@query("SELECT 'm' || p_partkey AS key, round(p_retailprice / 4, 2) AS input, 'cache' AS layer FROM part WHERE p_partkey % 3 = 0")
+def kept_prices(spark, sf_dir):
+    """A price table written as a cache and read back."""
+    folder = new_folder(spark, "price-cache")
+    keep_prices(prices_from_json(_price_texts(spark, sf_dir, 4, False), "snapshot"), folder, "2024-01-02T00:00:00Z")
+    return imported_prices(spark, folder, "cache").select("key", "input", "layer")
+
+
+_LOCKS = "live AS (SELECT DISTINCT 'a' || (user_id % 9) AS account_hash, 's' || user_id AS session_id, user_id FROM events)"
+
+
+@query(f"WITH {_LOCKS} SELECT account_hash, session_id FROM live WHERE user_id % 2 = 0 OR (user_id % 3 = 0 AND account_hash IN (SELECT account_hash FROM live WHERE user_id % 2 = 0))")
+def locked_sessions(spark, sf_dir):
+    live = _live_sessions(spark, sf_dir)
+    return control.locked_sessions(live.where("user_id % 2 = 0"), live.where("user_id % 3 = 0"))
+
+
+@query(f"WITH {_LOCKS} SELECT account_hash, session_id FROM live WHERE user_id % 6 = 0")
+def still_pending(spark, sf_dir):
+    live = _live_sessions(spark, sf_dir)
+    return control.still_pending(live.where("user_id % 2 = 0").select("account_hash", "session_id"), live.where("user_id % 3 = 0"))
+
+
+def _live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select(F.concat(F.lit("a"), F.col("user_id") % 9).alias("account_hash"), F.concat(F.lit("s"), "user_id").alias("session_id"), "user_id").distinct()
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE substr(sha256(c_name), 1, 8) END AS name, CASE c_custkey % 3 WHEN 0 THEN '30 min' WHEN 1 THEN '6 h' ELSE '2 d' END AS bin FROM customer""")
+def account_and_bin_names(spark, sf_dir):
+    rows, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    stored, mail = F.when(k == 0, F.concat(F.col("c_name"), F.lit(" "))).otherwise(F.lit(" ")), F.when(k == 1, F.col("c_mktsegment"))
+    return rows.select("c_custkey", control.account_name(stored, mail, F.sha2("c_name", 256)).alias("name"), views.bin_name(F.when(k == 0, 1800).when(k == 1, 21600).otherwise(172800)).alias("bin"))
+
+
+@query(f"WITH {SQL_USAGE} SELECT model AS key, sum(total)::BIGINT AS total FROM buckets GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4")
+def top_models(spark, sf_dir):
+    """A report of four rows."""
+    return views.top_models(buckets_of(spark, sf_dir).groupBy(F.col("model").alias("key")).agg(F.sum("total").alias("total")), 4)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'own' || event_id ELSE 'file' || (user_id % 5) END AS session_id FROM events")
+def sessions_filled_in(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("own"), "event_id")).when(F.col("event_id") % 3 == 1, F.lit("")).alias("session_id"))
+    return with_session(rows, F.concat(F.lit("file"), F.col("user_id") % 5)).select("event_id", "session_id")
+
+
+@query("""SELECT 'j' || o_orderkey AS join_id, CASE WHEN o_orderkey = m THEN 'claimed' ELSE 'pending' END AS status, o_orderkey = m AS answered FROM orders, (SELECT min(o_orderkey) AS m FROM orders)""")
+def joins_decided_and_claimed(spark, sf_dir):
+    """One request is approved and its token handed out once; the others stay."""
+    rows = table(spark, sf_dir, "orders")
+    one = f"j{rows.agg(F.min('o_orderkey')).first()[0]}"
+    requests = rows.select(
+        F.concat(F.lit("j"), "o_orderkey").alias("join_id"), F.lit("c").alias("claim_hash"), F.lit("pending").alias("status"), F.lit(NOW + dt.timedelta(seconds=60)).alias("expires_at"),
+        F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("token_hash"),
+    )
+    answer, after = control.claim_join(control.decide_join(requests, one, "approved", NOW, "secret", "hash"), one, "c", NOW)
+    given = answer.where("token = 'secret'").select(F.lit(one).alias("join_id"), F.lit(True).alias("answered"))
+    return after.join(given, "join_id", "left").select("join_id", "status", F.coalesce("answered", F.lit(False)).alias("answered"))
+
+
+@query(f"""WITH {SQL_USAGE} SELECT destination, CASE WHEN destination = 'down' THEN 0 ELSE n END AS ingested, destination <> 'down' AS ok, CASE WHEN destination = 'down' THEN 'retryable' END AS error_kind
+FROM (SELECT count(*) AS n FROM buckets), (VALUES ('first'), ('second'), ('down')) t(destination)""")
+def sent_to_all(spark, sf_dir):
+    """Two destinations take the rows, one cannot be reached."""
+    rows = buckets_of(spark, sf_dir).withColumns({"key": client_key("host_id"), "hash": content_hash()})
+
+    def unreachable(batch: DataFrame) -> list[str]:
+        raise ConnectionError("no route")
+
+    found = send_to_all(rows, new_folder(spark, "sent"), {"first": lambda batch: [], "second": lambda batch: [], "down": unreachable})
+    return found.select("destination", "ingested", "ok", "error_kind")
