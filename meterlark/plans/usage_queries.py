@@ -266,6 +266,12 @@ def daily_rollup(spark, sf_dir):
     return daily_rollups(buckets_of(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query(f"WITH {SQL_USAGE} SELECT strftime(bucket_start, '%Y-%m-%d') AS day, host_id, source, model, project, {_SUMS} FROM buckets GROUP BY ALL")
+def kept_rollups(spark, sf_dir):
+    """The rollups of the store that panels read; the first to ask writes the store."""
+    return stored(spark, sf_dir)[1].withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query(f"WITH {SQL_USAGE} SELECT strftime(bucket_start, '%Y-%m-%d') AS day, source, {_SUMS} FROM buckets WHERE {WHERE_EDGES} GROUP BY ALL")
 def hybrid_scan(spark, sf_dir):
     """Whole days from the rollups and both edges from the facts give what the facts alone give."""
