@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality, toxicity
+from .byte_bpe import encode_and_decode, token_digest
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .periodic_runs import find_runs, planted, run_digest
+from .phrases import mine_phrases
 from .source_mixing import mix_sources
 from .suffix_dedup import removal_digest, remove_repeats
 from .url_lists import filter_urls, host_of
@@ -175,6 +178,45 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(find_runs(planted(_table(spark, sf_dir, "documents"))))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(pieces) AS piece FROM d)
+), t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*)::BIGINT AS a
+  FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (VALUES (1), (2), (3), (4)) AS x(m) WHERE i + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 30
+), c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM g WHERE m >= 2
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:], ' ')
+), low AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m)) AS i FROM c), (VALUES (2), (3)) AS y(s) WHERE s < m AND i + s - 1 <= m GROUP BY ALL
+), kept AS (
+  SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN t ON t.lang = kept.lang QUALIFY rank <= 2000
+"""
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(encode_and_decode(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
@@ -186,5 +228,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrases": op12_phrases,
+    "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op3_url_lists": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_source_mixing": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op3_url_lists": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_source_mixing": OP8_SQL, "op12_phrases": OP12_SQL}
