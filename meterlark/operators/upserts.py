@@ -16,7 +16,7 @@ from ..schema import ACCOUNT_SOURCES, SOURCES
 from .usage import normalized_accounts, normalized_buckets, normalized_sessions, storage_host
 
 BUCKET_KEY = ("host_id", "source", "model", "project", "bucket_start")
-#: Names of unknown sources that a response lists at most (a report, not a limit on rows).
+#: Names of unknown sources that a response lists at most; unknown_sources() has all of them.
 MOST_UNKNOWN = 1000
 SESSION_KEY = ("host_id", "source", "session_hash")
 
@@ -97,10 +97,21 @@ def uploaded(uploads: DataFrame, part: str) -> DataFrame:
     return rows.select("host_id", "received_at", (F.col("upload_id") * (1 << 32) + F.col("pos")).alias("seq"), "row.*")
 
 
+def placed_buckets(uploads: DataFrame) -> DataFrame:
+    """All bucket rows, normalised, with the host they are stored under and ``known``; the host is null where a row has no place: an unknown source, no start, or usage of an account without a valid hash."""
+    rows = normalized_buckets(uploaded(uploads, "buckets")).withColumn("known", F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)))
+    place = storage_host(F.col("host_id"), F.col("source"), F.col("account_hash"))
+    return rows.withColumn("host_id", F.when(F.col("known") & F.col("bucket_start").isNotNull(), place))
+
+
 def new_buckets(uploads: DataFrame) -> DataFrame:
-    """Normalised bucket rows of known sources, usage of accounts under the account."""
-    rows = normalized_buckets(uploaded(uploads, "buckets")).where(F.col("source").isin(*SOURCES) & F.col("bucket_start").isNotNull())
-    return rows.withColumn("host_id", storage_host(F.col("host_id"), F.col("source"), F.col("account_hash")))
+    """The bucket rows that are taken, usage of accounts under the account."""
+    return placed_buckets(uploads).where("host_id is not null").drop("known")
+
+
+def unknown_sources(uploads: DataFrame) -> DataFrame:
+    """(source, seq): each source of buckets that is not known, and where it was first seen."""
+    return placed_buckets(uploads).where(~F.col("known")).groupBy("source").agg(F.min("seq").alias("seq"))
 
 
 def new_sessions(uploads: DataFrame) -> DataFrame:
@@ -108,46 +119,58 @@ def new_sessions(uploads: DataFrame) -> DataFrame:
     return normalized_sessions(uploaded(uploads, "sessions")).where(F.col("source").isin(*SOURCES))
 
 
+def hosts_after(hosts: DataFrame, uploads: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Hosts after uploads: the machines that sent them and the accounts of their buckets (new_buckets)."""
+    machines = uploads.select("host_id", "hostname", F.col("received_at").alias("last_seen"), "agent_version", "timezone", F.col("upload_id").alias("seq"))
+    owned = buckets.where(F.col("source").isin(*ACCOUNT_SOURCES)).select("host_id", F.col("account_label").alias("label"), "received_at", "seq")
+    known = hosts.where(F.col("host_id").startswith("acct:")).select("host_id", F.col("hostname").alias("label"), F.col("last_seen").alias("received_at"), F.lit(-1).cast("bigint").alias("seq"))
+    names = account_names(owned.unionByName(known))
+    seen = owned.groupBy("host_id").agg(F.max("received_at").alias("last_seen"), F.max("seq").alias("seq")).join(names, "host_id")
+    return upsert_hosts(hosts, machines.unionByName(seen.select("host_id", "hostname", "last_seen", "seq"), allowMissingColumns=True))
+
+
+def accounts_after(accounts: DataFrame, fresh: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Accounts after snapshots (those without a valid hash are left out) and buckets (new_buckets)."""
+    valid = fresh.where(is_account_hash(F.col("account_hash")))
+    return unarchived(upsert_accounts(accounts, valid.select(*accounts.columns, "seq")), buckets)
+
+
 def ingest(store: Store, uploads: DataFrame) -> Store:
     """The store after the uploads (schema.UPLOAD plus upload_id, host_id and received_at).
 
-    Taking the same uploads again changes nothing but ``last_seen``; rows of unknown sources are left out (response() counts them).
+    Taking the same uploads again changes nothing but ``last_seen``; rows without a place are left out (response() counts them).
     """
     buckets = new_buckets(uploads)
-    fresh = normalized_accounts(uploaded(uploads, "accounts")).where(is_account_hash(F.col("account_hash")))
-    machines = uploads.select("host_id", "hostname", F.col("received_at").alias("last_seen"), "agent_version", "timezone", F.col("upload_id").alias("seq"))
-    owned = buckets.where(F.col("source").isin(*ACCOUNT_SOURCES) & F.col("host_id").startswith("acct:")).select("host_id", F.col("account_label").alias("label"), "received_at", "seq")
-    known = store.hosts.where(F.col("host_id").startswith("acct:")).select("host_id", F.col("hostname").alias("label"), F.col("last_seen").alias("received_at"), F.lit(-1).cast("bigint").alias("seq"))
-    names = account_names(owned.unionByName(known))
-    seen = owned.groupBy("host_id").agg(F.max("received_at").alias("last_seen"), F.max("seq").alias("seq")).join(names, "host_id")
-    hosts = upsert_hosts(store.hosts, machines.unionByName(seen.select("host_id", "hostname", "last_seen", "seq"), allowMissingColumns=True))
     return replace(
         store,
-        hosts=hosts,
+        hosts=hosts_after(store.hosts, uploads, buckets),
         buckets=upsert_buckets(store.buckets, buckets.select(*store.buckets.columns, "seq")),
         sessions=upsert_sessions(store.sessions, new_sessions(uploads).select(*store.sessions.columns, "seq")),
-        accounts=unarchived(upsert_accounts(store.accounts, fresh.select(*[c for c in store.accounts.columns], "seq")), buckets),
+        accounts=accounts_after(store.accounts, normalized_accounts(uploaded(uploads, "accounts")), buckets),
     )
 
 
-def response(store: Store, uploads: DataFrame) -> DataFrame:
-    """One row: ingested, protected and dropped buckets, ingested and dropped sessions, and the unknown sources.
+def response(stored: DataFrame, uploads: DataFrame) -> DataFrame:
+    """One row: ingested, protected and dropped buckets, ingested and dropped sessions, and the unknown sources of buckets, as first seen.
 
-    A row that is sent again counts as ingested; a protected one counts as protected only. Of unknown names, which clients may invent, the first
-    MOST_UNKNOWN in order are listed; all of their rows are counted.
+    ``stored`` are the buckets before the uploads (the touched days suffice). A row that is sent again counts as ingested; a protected one counts as protected
+    only. A row without a place counts as dropped. Of unknown names, which clients may invent, the first MOST_UNKNOWN are listed.
     """
-    raw, raw_sessions = normalized_buckets(uploaded(uploads, "buckets")), normalized_sessions(uploaded(uploads, "sessions"))
-    kept = protected_rows(store.buckets.select(*BUCKET_KEY, *_tokens(store.buckets)), new_buckets(uploads).select(*BUCKET_KEY, *_tokens(store.buckets), "seq"))
-    known = F.col("source").isin(*SOURCES)
+    rows, raw_sessions = placed_buckets(uploads), normalized_sessions(uploaded(uploads, "sessions"))
+    taken = rows.where("host_id is not null").select(*BUCKET_KEY, *_tokens(stored), "seq")
+    kept = protected_rows(stored.select(*BUCKET_KEY, *_tokens(stored)), taken)
+    known = F.coalesce(F.col("source").isin(*SOURCES), F.lit(False))
+    first = unknown_sources(uploads).orderBy("seq").limit(MOST_UNKNOWN)
     parts = [
         kept.agg(F.count_if(~F.col("protected")).alias("buckets"), F.count_if("protected").alias("protected")),
-        raw.agg(F.count_if(~known).alias("dropped_buckets"), F.collect_set(F.when(~known, F.col("source"))).alias("u1")),
-        raw_sessions.agg(F.count_if(known).alias("sessions"), F.count_if(~known).alias("dropped_sessions"), F.collect_set(F.when(~known, F.col("source"))).alias("u2")),
+        rows.agg(F.count_if(F.col("host_id").isNull()).alias("dropped_buckets")),
+        raw_sessions.agg(F.count_if(known).alias("sessions"), F.count_if(~known).alias("dropped_sessions")),
+        first.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]).alias("unknown_sources")),
     ]
     one = parts[0].withColumn("one", F.lit(1))
     for part in parts[1:]:
         one = one.join(part.withColumn("one", F.lit(1)), "one")  # one row each
-    return one.withColumn("unknown_sources", F.slice(F.sort_array(F.array_union("u1", "u2")), 1, MOST_UNKNOWN)).drop("one", "u1", "u2")
+    return one.drop("one")
 
 
 def _tokens(buckets: DataFrame) -> list[str]:

@@ -72,8 +72,8 @@ def regrouped(buckets: DataFrame, *keys: str) -> DataFrame:
 
 
 def storage_host(host: Column, source: Column, account_hash: Column) -> Column:
-    """Usage of an account is stored under the account, so that several machines do not count it twice."""
-    return F.when(source.isin(*ACCOUNT_SOURCES) & is_account_hash(account_hash), account_host(account_hash)).otherwise(host)
+    """Usage of an account is stored under the account, so that several machines do not count it twice; null (nowhere) where the account is none."""
+    return F.when(~F.coalesce(source.isin(*ACCOUNT_SOURCES), F.lit(False)), host).when(is_account_hash(account_hash), account_host(account_hash))
 
 
 def client_key(*extra: str) -> Column:

@@ -230,7 +230,7 @@ def first_accounts(spark, sf_dir):
     return first_of_each_account(rows, "c_custkey").select("label", "account_hash")
 
 
-@query(f"WITH {SQL_USAGE} SELECT seq, CASE WHEN source = 'cursor' AND seq % 4 <> 0 THEN 'acct:' || substr(sha256('x'), 1, 32) ELSE 'machine' END AS host FROM entries")
+@query(f"WITH {SQL_USAGE} SELECT seq, CASE WHEN source <> 'cursor' THEN 'machine' WHEN seq % 4 <> 0 THEN 'acct:' || substr(sha256('x'), 1, 32) END AS host FROM entries")
 def storage_hosts(spark, sf_dir):
     hashed = F.when(F.col("seq") % 4 != 0, F.substring(F.sha2(F.lit("x"), 256), 1, 32)).otherwise(F.lit("none"))
     return usage(spark, sf_dir).select("seq", storage_host(F.lit("machine"), F.col("source"), hashed).alias("host"))

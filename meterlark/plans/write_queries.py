@@ -14,6 +14,7 @@ from ..operators.usage import carried_forward, client_key, content_hash, cumulat
 from ..schema import ACCOUNT, BUCKET, HOST, SESSION, TOKENS
 from ..session import new_folder
 from ..sources.events import SQL_USAGE, read_usage
+from ..store import SnapshotStore
 from ..streaming.tables import BucketTable, keep_rows
 from .usage_queries import ORACLES, QUERIES, buckets_of, query, sessions_of, usage  # noqa: F401
 
@@ -61,20 +62,20 @@ def refreshed_rollup(spark: SparkSession, sf_dir: str):
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-_MYSTERY = "CASE WHEN source = 'pi' THEN 'mystery-tool' ELSE source END"
+_MYSTERY = "CASE WHEN source <> 'pi' THEN source WHEN seq % 3 = 0 THEN 'a-tool' ELSE 'mystery-tool' END"
 SQL_UPLOADS = f"""{SQL_USAGE}, sent AS (
-  SELECT seq // 20 AS upload_id, seq, {_MYSTERY} AS source, CASE WHEN source = 'cursor' THEN host_id ELSE 'host' || (seq // 20 % 7) END AS host_id, 'p' || (seq % 3) AS project, date_trunc('day', moment) AS bucket_start,
+  SELECT seq // 20 AS upload_id, seq, {_MYSTERY} AS source, CASE WHEN source <> 'cursor' THEN 'host' || (seq // 20 % 7) WHEN seq % 5 <> 0 THEN host_id END AS host_id, 'p' || (seq % 3) AS project, date_trunc('day', moment) AS bucket_start,
     input + output + cache_read + cache_creation + reasoning AS total FROM entries
 ), kept AS (
-  SELECT *, max(total) OVER (PARTITION BY host_id, source, project, bucket_start ORDER BY upload_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sent WHERE source <> 'mystery-tool'
+  SELECT *, max(total) OVER (PARTITION BY host_id, source, project, bucket_start ORDER BY upload_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sent WHERE source NOT LIKE '%-tool' AND host_id IS NOT NULL
 )"""
 
 
 def uploads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty events to an upload; a fifth of the sources is unknown."""
+    """Twenty events to an upload; a fifth of the sources is unknown, and a fifth of the accounts have no valid hash."""
     rows = usage(spark, sf_dir)
-    source = F.when(F.col("source") == "pi", F.lit("mystery-tool")).otherwise(F.col("source"))
-    account = F.when(F.col("source") == "cursor", F.expr("substring(host_id, 6)")).otherwise(F.lit(""))
+    source = F.when(F.col("source") != "pi", F.col("source")).when(F.col("seq") % 3 == 0, F.lit("a-tool")).otherwise(F.lit("mystery-tool"))
+    account = F.when(F.col("source") != "cursor", F.lit("")).when(F.col("seq") % 5 == 0, F.lit("no hash")).otherwise(F.expr("substring(host_id, 6)"))
     bucket = F.struct(
         source.alias("source"), F.lit("m").alias("model"), F.concat(F.lit("p"), F.col("seq") % 3).alias("project"), F.date_trunc("day", "at").alias("bucket_start"),
         account.alias("account_hash"), F.when(account != "", F.concat(F.lit("user"), F.col("seq") % 2, F.when(F.col("seq") % 3 == 0, F.lit("@x.test")).otherwise(F.lit("")))).otherwise(F.lit("")).alias("account_label"), *TOKENS,
@@ -93,9 +94,10 @@ def empty_store(spark: SparkSession) -> Store:
 
 
 @query(f"""WITH {SQL_UPLOADS} SELECT (SELECT count(*) FROM kept WHERE coalesce(before, -1) <= total) AS buckets, (SELECT count(*) FROM kept WHERE before > total) AS protected,
-  (SELECT count(*) FROM sent WHERE source = 'mystery-tool') AS dropped_buckets, 0::BIGINT AS sessions, 0::BIGINT AS dropped_sessions, 'mystery-tool' AS unknown_sources""")
+  (SELECT count(*) FROM sent WHERE source LIKE '%-tool' OR host_id IS NULL) AS dropped_buckets, 0::BIGINT AS sessions, 0::BIGINT AS dropped_sessions,
+  (SELECT string_agg(source, '|' ORDER BY first) FROM (SELECT source, min(seq) AS first FROM sent WHERE source LIKE '%-tool' GROUP BY source)) AS unknown_sources""")
 def ingest_counters(spark: SparkSession, sf_dir: str):
-    answer = upserts.response(empty_store(spark), uploads_of(spark, sf_dir))
+    answer = upserts.response(empty_store(spark).buckets, uploads_of(spark, sf_dir))
     return answer.withColumn("unknown_sources", F.array_join("unknown_sources", "|"))
 
 
@@ -105,10 +107,33 @@ def ingest_uploads(spark: SparkSession, sf_dir: str):
     return after.buckets.select("host_id", "source", "project", F.unix_seconds("bucket_start").alias("bucket_s"), "total")
 
 
+_STORED = f"""WITH {SQL_UPLOADS}, b AS (SELECT host_id, source, project, bucket_start, max(total) AS total FROM kept GROUP BY ALL)"""
+
+
+@query(f"""{_STORED} SELECT 'bucket' AS kind, host_id, source, project, epoch(bucket_start)::BIGINT AS at_s, total::BIGINT AS total FROM b
+UNION ALL SELECT 'rollup', host_id, source, project, epoch(date_trunc('day', bucket_start))::BIGINT, sum(total)::BIGINT FROM b GROUP BY ALL
+UNION ALL SELECT 'host', host_id, NULL, NULL, max(at_s), NULL FROM (
+  SELECT 'host' || (upload_id % 7) AS host_id, epoch(u)::BIGINT AS at_s FROM (SELECT seq // 20 AS upload_id, max(moment) AS u FROM entries GROUP BY ALL)
+  UNION ALL SELECT k.host_id, epoch(u)::BIGINT FROM kept k JOIN (SELECT seq // 20 AS upload_id, max(moment) AS u FROM entries GROUP BY ALL) USING (upload_id) WHERE k.source = 'cursor') GROUP BY host_id""")
+def stored_versions(spark: SparkSession, sf_dir: str):
+    """Uploads of two halves as two versions of kept tables, the second half sent twice; between the two a writer dies before its version is in force."""
+    store, uploads = SnapshotStore(spark, new_folder(spark, "store")), uploads_of(spark, sf_dir)
+    store.ingest(uploads.where("upload_id % 2 = 0"))
+    store.stage(store.begin(), uploads.where("upload_id % 2 = 1"))
+    store.ingest(uploads.where("upload_id % 2 = 1"))
+    at, _ = store.ingest(uploads.where("upload_id % 2 = 1"))
+    key = ["host_id", "source", "project"]
+    buckets = at.read("buckets").select(F.lit("bucket").alias("kind"), *key, F.unix_seconds("bucket_start").alias("at_s"), "total")
+    rollups = at.read("rollups").select(F.lit("rollup").alias("kind"), *key, F.unix_seconds(F.col("day").cast("timestamp")).alias("at_s"), "total")
+    none = F.lit(None).cast("string")
+    hosts = at.read("hosts").select(F.lit("host").alias("kind"), "host_id", none.alias("source"), none.alias("project"), F.unix_seconds("last_seen").alias("at_s"), F.lit(None).cast("bigint").alias("total"))
+    return buckets.unionByName(rollups).unionByName(hosts)
+
+
 _LABEL = "'user' || (seq % 2) || CASE WHEN seq % 3 = 0 THEN '@x.test' ELSE '' END"
 
 
-@query(f"""WITH {SQL_USAGE}, l AS (SELECT host_id, seq, {_LABEL} AS label FROM entries WHERE source = 'cursor')
+@query(f"""WITH {SQL_USAGE}, l AS (SELECT host_id, seq, {_LABEL} AS label FROM entries WHERE source = 'cursor' AND seq % 5 <> 0)
 SELECT host_id, coalesce(arg_max(label, seq) FILTER (WHERE label LIKE '%@%'), arg_min(label, seq) FILTER (WHERE label <> '')) AS hostname FROM l GROUP BY host_id""")
 def host_label_precedence(spark: SparkSession, sf_dir: str):
     after = upserts.ingest(empty_store(spark), uploads_of(spark, sf_dir))

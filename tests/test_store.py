@@ -69,7 +69,7 @@ def test_uploads(spark):
     got = {(r.host_id, r.source, r.bucket_start.minute): (r.input, r.output, r.total, r.model, r.project) for r in after.buckets.collect()}
     assert got == {("one", "codex", 0): (5, 0, 5, "unknown", "p"), ("two", "codex", 30): (1, 0, 1, "unknown", "p"), (f"acct:{acct}", "cursor", 0): (7, 0, 7, "unknown", "p")}
     assert {(r.host_id, r.hostname, r.agent_version) for r in after.hosts.collect()} == {("one", "ONE", "1"), ("two", "TWO", None), (f"acct:{acct}", "me@x.test", None)}
-    answer = upserts.response(store, ups).first()
+    answer = upserts.response(store.buckets, ups).first()
     assert (answer.buckets, answer.protected, answer.dropped_buckets, answer.unknown_sources) == (4, 2, 1, ["odd"])
     again = upserts.ingest(after, ups)
     assert state_of(again.buckets) == state_of(after.buckets)
