@@ -403,21 +403,38 @@ def pi_logs(spark, sf_dir):
     return _read_back(spark, PiLogs(), _written(_pi_lines(spark, sf_dir), new_folder(spark, "logs-c")))
 
 
-@query(f"""WITH {SQL_USAGE}, f AS (SELECT DISTINCT project, hash FROM (SELECT project, seq % 2 AS hash FROM entries WHERE source = 'claude-code'))
-SELECT (SELECT count(*) FROM entries WHERE source = 'claude-code') AS lines, (SELECT count(*) FROM f WHERE hash = 0) AS unchanged, 0::BIGINT AS resumed, (SELECT count(*) FROM f WHERE hash = 1) AS parsed, 0::BIGINT AS gone, (SELECT count(*) FROM f) AS unchanged_after""")
+@query(f"""WITH {SQL_USAGE}, e AS (SELECT project, seq % 3 AS third FROM entries WHERE source = 'claude-code'), f AS (SELECT project, count(*) FILTER (WHERE third < 2) AS a, count(*) FILTER (WHERE third = 2) AS b FROM e GROUP BY ALL)
+SELECT (SELECT count(*) FROM e) AS lines, (SELECT count(*) FROM f WHERE a > 0 AND b = 0) AS unchanged, (SELECT count(*) FROM f WHERE a > 0 AND b > 0) AS resumed, (SELECT count(*) FROM f WHERE a = 0) AS parsed, 0::BIGINT AS gone,
+  (SELECT count(*) FROM e WHERE third = 2) AS read, (SELECT count(*) FROM f) AS unchanged_after""")
 def incremental_logs(spark, sf_dir):
-    """Half of the events are there at first, then files with the others come; a third look finds nothing new and reads no file."""
+    """Two thirds of the events are there at first, then each project's file grows by the others: the tails alone are read. A third look finds nothing new and opens no file."""
     folder, store = new_folder(spark, "logs-d"), LogStore(spark, new_folder(spark, "log-store"))
-    rows = usage(spark, sf_dir).where("source = 'claude-code'").select(F.concat("project", F.lit("-"), F.col("seq") % 2).alias("project"), "seq", F.format_string('{"n": %d}', "seq").alias("line"))
-    _written(rows.where("seq % 2 = 0"), f"{folder}/even")
+    late = (F.col("seq") % 3 == 2).cast("int")
+    rows = usage(spark, sf_dir).where("source = 'claude-code'").select("project", (late * (1 << 40) + F.col("seq")).alias("seq"), F.format_string('{"n": %d}', "seq").alias("line"))
+    _one_file_each(spark, _written(rows.where(f"seq < {1 << 40}"), new_folder(spark, "logs-d1")), folder)
     store.refresh([folder])
-    _written(rows.where("seq % 2 = 1"), f"{folder}/odd")
+    _one_file_each(spark, _written(rows, new_folder(spark, "logs-d2")), folder)  # the same lines first, then the new ones
     second = store.refresh([folder])
     third = store.refresh([folder])
-    counts = {"unchanged": second.unchanged, "resumed": second.resumed, "parsed": second.parsed, "gone": second.gone, "unchanged_after": third.unchanged}
+    counts = {"unchanged": second.unchanged, "resumed": second.resumed, "parsed": second.parsed, "gone": second.gone, "read": second.read, "unchanged_after": third.unchanged}
     return third.lines.agg(F.count("*").alias("lines")).select("lines", *[F.lit(v).cast("bigint").alias(c) for c, v in counts.items()])
 
 
+def _one_file_each(spark: SparkSession, written: str, folder: str) -> None:
+    """Moves what _written() has made to ``<folder>/<project>.jsonl``, in place of what is there unless it has the same size."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(written).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    for project in files.listStatus(path(written)):
+        if project.isDirectory():
+            part = next(p for p in files.listStatus(project.getPath()) if p.getPath().getName().startswith("part-"))
+            to = path(f"{folder}/{project.getPath().getName()}.jsonl")
+            if not (files.exists(to) and files.getFileStatus(to).getLen() == part.getLen()):
+                files.delete(to, False)
+                files.rename(part.getPath(), to)
+
+
 @query(f"""WITH {SQL_USAGE} SELECT * FROM (VALUES ('claude-code', true), ('codex', false), ('pi', true)) t(source, ok) JOIN (SELECT 'claude-code' AS source, count(*) AS entries FROM entries WHERE source = 'claude-code' AND input + output + cache_read + cache_creation > 0 UNION ALL SELECT 'codex', 0 UNION ALL SELECT 'pi', 0) USING (source)""")
 def source_report(spark, sf_dir):
     """One source reads, one has files of which nothing can be parsed, one has no folder."""

@@ -1,6 +1,6 @@
 """Reading logs: numbered lines of whole files as VARIANT, and the adapter that every source implements.
 
-A log file is read by one task; logs of tools are small, and the order of lines within a file matters.
+Without a store (sources.incremental.LogStore, which reads ranges of bytes) a log file is read by one task.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ class SourceAdapter(ABC):
         return other
 
     def lines(self, spark: SparkSession, roots: list[str]) -> DataFrame:
-        """(path, line_no, line, complete): the lines of all files that are not blank; ``complete`` is false for a last one without its end."""
+        """(path, line_no, line, complete): the lines of all files that are not blank; ``complete`` is false for a last one without its end. From a store they come parsed, with ``doc`` in place of the text."""
         return self.store.refresh(roots, self.glob).lines if self.store else raw_lines(whole_files(spark, roots, self.glob))
 
     @abstractmethod
@@ -129,12 +129,6 @@ def whole_files(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
     return texts.select(plain_path(), F.col("value").alias("text"))
 
 
-def bytes_between(spark: SparkSession, roots: list[str], start: int, end: int, glob: str = "*.jsonl") -> DataFrame:
-    """(path, text): of each file the bytes from ``start`` up to ``end``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
-    return files.select(plain_path(), F.substring("content", F.lit(start + 1), F.lit(max(0, end - start))).cast("string").alias("text"))
-
-
 def raw_lines(files: DataFrame) -> DataFrame:
     parts = F.split("text", "\n")
     rows = files.select("path", F.posexplode(parts).alias("line_no", "line"), (F.size(parts) - 1).alias("last")).where("trim(line) <> ''")
@@ -142,7 +136,9 @@ def raw_lines(files: DataFrame) -> DataFrame:
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``doc`` in place of the text; those that are no JSON are left out."""
+    """``lines`` with ``doc`` in place of the text; those that are no JSON are left out. Lines that a store has parsed are not parsed again."""
+    if "doc" in lines.columns:
+        return lines.where("doc is not null").drop("complete")
     return lines.withColumn("doc", F.try_parse_json("line")).where("doc is not null").drop("line", "complete")
 
 

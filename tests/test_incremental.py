@@ -12,11 +12,12 @@ from meterlark.operators.pricing import imported_prices, keep_prices, model_coun
 from meterlark.operators import control, views
 from meterlark.operators.changes import sync_report
 from meterlark.operators.usage import first_of_each_account, normalized_accounts, normalized_sessions, with_session
-from meterlark.sources.base import bytes_between, collect_all, roots_of
+from meterlark.sources.base import collect_all, roots_of
 from meterlark.sources.claude import ClaudeLogs
 from meterlark.sources.codex import CodexLogs
 from meterlark.sources.incremental import LogStore
 from meterlark.sources.pi import PiLogs
+from meterlark.sources.ranges import GrownLines, lines_between
 from meterlark.sources.roots import log_roots
 from meterlark.streaming.tables import send_to_all
 from meterlark.versions import VersionedTable
@@ -29,7 +30,8 @@ def stamp(path, second):
 
 
 def rows_of(lines):
-    return sorted((r.path.rsplit("/", 1)[-1], r.line_no, r.line, r.complete) for r in lines.collect())
+    shown = lines.select("path", "line_no", F.to_json("doc").alias("doc"), "complete").collect()
+    return sorted(((r.path.rsplit("/", 1)[-1], r.line_no, r.doc, r.complete) for r in shown), key=repr)
 
 
 def fresh(spark, root, tmp_path, n):
@@ -46,11 +48,11 @@ def test_refreshes_read_only_what_changed(spark, tmp_path):
     store = LogStore(spark, str(tmp_path / "store"))
     first = store.refresh([str(root)])
     assert (first.unchanged, first.resumed, first.parsed, first.gone) == (0, 0, 3, 0)
-    assert rows_of(first.lines) == [("a.jsonl", 0, "{}", True), ("a.jsonl", 2, '{"n": 1}', True), ("b.jsonl", 0, '{"b": "é"}', True), ("c.jsonl", 0, "{}", False)]
+    assert rows_of(first.lines) == [("a.jsonl", 0, "{}", True), ("a.jsonl", 2, '{"n":1}', True), ("b.jsonl", 0, '{"b":"é"}', True), ("c.jsonl", 0, "{}", False)]
     # Nothing changed: no file is read and no line is written.
     again = store.refresh([str(root)])
     assert (again.unchanged, again.resumed, again.parsed, again.gone) == (3, 0, 0, 0) and rows_of(again.lines) == rows_of(first.lines)
-    assert len(os.listdir(tmp_path / "store" / "format-1" / "lines")) == 1
+    assert again.read == 0 and len([f for f in os.listdir(tmp_path / "store" / "format-2-json" / "lines") if f.startswith("refresh")]) == 1
     # a has grown, b has another beginning, c had an open last line.
     with open(root / "a.jsonl", "a") as f:
         f.write('{"n": 2}\n{"n": 3')
@@ -62,7 +64,8 @@ def test_refreshes_read_only_what_changed(spark, tmp_path):
     third = store.refresh([str(root)])
     assert (third.unchanged, third.resumed, third.parsed, third.gone) == (0, 1, 2, 0)
     assert rows_of(third.lines) == fresh(spark, root, tmp_path, 3)
-    assert ("a.jsonl", 3, '{"n": 2}', True) in rows_of(third.lines) and ("a.jsonl", 4, '{"n": 3', False) in rows_of(third.lines)
+    assert third.read == 5  # the whole line that was added to a, and the two of b and of c
+    assert ("a.jsonl", 3, '{"n":2}', True) in rows_of(third.lines) and ("a.jsonl", 4, None, False) in rows_of(third.lines)
     # The open line is finished: the prefix did not end in a line feed, so the file is parsed as a whole. b goes, c is older than before.
     with open(root / "a.jsonl", "a") as f:
         f.write("}\n")
@@ -74,7 +77,8 @@ def test_refreshes_read_only_what_changed(spark, tmp_path):
     assert (last.unchanged, last.resumed, last.parsed, last.gone) == (0, 0, 2, 1)
     assert rows_of(last.lines) == fresh(spark, root, tmp_path, 4)
     # Another format remembers nothing.
-    assert LogStore(spark, str(tmp_path / "store"), version=2).refresh([str(root)]).parsed == 2
+    assert LogStore(spark, str(tmp_path / "store"), version=3).refresh([str(root)]).parsed == 2
+    assert LogStore(spark, str(tmp_path / "store"), parser="other").refresh([str(root)]).parsed == 2
 
 
 def test_sources_over_a_store_give_the_same(spark, tmp_path):
@@ -113,11 +117,6 @@ def test_roots_count_once(spark, tmp_path):
     assert roots_of(spark, [str(tmp_path / d) for d in ("a", "link", "a/in", "ab", "none", "a/../a")]) == [f"file://{real}/a", f"file://{real}/ab"]
 
 
-def test_bytes_between(spark, tmp_path):
-    write(tmp_path / "a.jsonl", ["abc", "def"])
-    assert [r.text for r in bytes_between(spark, [str(tmp_path)], 2, 6).collect()] == ["c\nde"]
-
-
 def test_versions(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"), "a bigint")
     assert table.read().count() == 0
@@ -200,3 +199,69 @@ def test_small_tables(spark):
     assert [r.total for r in views.top_models(groups).collect()] == list(range(19, 9, -1))
     entries = spark.createDataFrame([("", "p"), ("own", "p"), (None, "q")], "session_id string, path string")
     assert [r.session_id for r in with_session(entries, F.col("path")).collect()] == ["p", "own", "q"]
+
+
+def test_ranges_give_each_line_once(tmp_path):
+    body = b"".join(b"x" * (k % 7) + b"\n" for k in range(60)) + b"\n\nlast"
+    (tmp_path / "f").write_bytes(body)
+    want, at = [], 0
+    for line in body.split(b"\n"):
+        want.append((at, line, at + len(line) < len(body)))
+        at += len(line) + 1
+    for step in (1, 2, 3, 7, 50, 1000):
+        with open(tmp_path / "f", "rb") as f:
+            got = [x for start in range(0, len(body), step) for x in lines_between(f, start, min(start + step, len(body)))]
+        assert got == want, step
+
+
+def test_a_large_file_is_read_in_ranges(spark, tmp_path):
+    """Numbers of lines are those of one pass, whatever the ranges; a tail is read alone, and blank and broken lines count."""
+    root = tmp_path / "logs"
+    write(root / "a b%.jsonl", [f'{{"n": {k}}}' if k % 5 else ["", "broken"][k % 2] for k in range(400)])
+    stamp(root / "a b%.jsonl", 0)
+    store = LogStore(spark, str(tmp_path / "store"), range_bytes=100)
+    first = store.refresh([str(root)])
+    assert first.read == 400 and rows_of(first.lines) == fresh(spark, root, tmp_path, 1)
+    assert {r.line_no for r in first.lines.collect()} == {k for k in range(400) if k % 10}
+    with open(root / "a b%.jsonl", "a") as f:
+        f.write('\n{"n": 401}\n')
+    stamp(root / "a b%.jsonl", 5)
+    second = store.refresh([str(root)])
+    assert (second.resumed, second.read) == (1, 2) and rows_of(second.lines) == fresh(spark, root, tmp_path, 2)
+    assert ("a b%.jsonl", 401, '{"n":401}', True) in rows_of(second.lines)
+
+
+def test_a_rewritten_file_does_not_grow_the_store(spark, tmp_path):
+    root, store = tmp_path / "logs", LogStore(spark, str(tmp_path / "store"), merge_after=3)
+    write(root / "kept.jsonl", ['{"k": 1}'])
+    stamp(root / "kept.jsonl", 0)
+    for k in range(9):
+        write(root / "a.jsonl", [f'{{"n": {k}}}'] * 3)
+        stamp(root / "a.jsonl", k)
+        now = store.refresh([str(root)])
+        assert rows_of(now.lines) == [*[("a.jsonl", i, f'{{"n":{k}}}', True) for i in range(3)], ("kept.jsonl", 0, '{"k":1}', True)]
+        assert len([f for f in os.listdir(tmp_path / "store" / "format-2-json" / "lines") if f.startswith("refresh")]) <= 4
+
+
+def test_a_stream_of_grown_lines(spark, tmp_path):
+    """An unfinished line waits, a restart reads nothing again, and a large file is read in ranges."""
+    root = tmp_path / "logs"
+    spark.dataSource.register(GrownLines)
+    seen = []
+
+    def step():
+        rows = spark.readStream.format("grown_lines").option("root", str(root)).option("range", "20").load()
+        query = rows.writeStream.foreachBatch(lambda batch, _: seen.append(sorted((r.path.rsplit("/", 1)[-1], r.at, r.line) for r in batch.collect()))).option("checkpointLocation", str(tmp_path / "check")).trigger(once=True).start()
+        query.awaitTermination()
+
+    write(root / "a.jsonl", [f"line {k}" for k in range(9)])
+    write(root / "deep" / "b.jsonl", ["one", "tw"], end="")
+    write(root / "c.txt", ["not a log"])
+    step()
+    assert seen[-1] == [*[("a.jsonl", 7 * k, f"line {k}") for k in range(9)], ("b.jsonl", 0, "one")]
+    step()
+    assert len(seen) == 1 or seen[-1] == []
+    with open(root / "deep" / "b.jsonl", "a") as f:
+        f.write("o\nthree\n")
+    step()
+    assert seen[-1] == [("b.jsonl", 4, "two"), ("b.jsonl", 8, "three")]
