@@ -46,6 +46,20 @@ def pair_slots(lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.nd
     return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
+def distinct(keys: np.ndarray, below: int, places: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """The different keys in order, which of them each key is (if asked for), and how often each occurs; all keys are below ``below``."""
+    if below <= 4 * len(keys) + 1024:  # few possible keys: counted in place
+        often = np.bincount(keys, minlength=1)
+        found = np.flatnonzero(often)
+        place = (np.cumsum(often > 0) - 1)[keys] if places else None
+        return found, place, often[found]
+    if places:
+        return np.unique(keys, return_inverse=True, return_counts=True)
+    ordered = np.sort(keys)
+    new = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[new], None, np.diff(new, append=len(ordered))
+
+
 @dataclass
 class Level:
     parent: np.ndarray
@@ -133,8 +147,8 @@ class Shard:
     def add(self, lang: bytes, text: str) -> None:
         found = words_of(text)
         found.append(BREAK)
-        self.ids.append(np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found)))
-        self.langs.append(np.full(len(found), self.numbers[lang], np.int64))
+        self.ids.append(np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found)))
+        self.langs.append(np.full(len(found), self.numbers[lang], np.int32))
         self.size += len(found)
 
     def trie(self) -> Trie:
@@ -162,7 +176,8 @@ class Shard:
                     on &= may[at + d - 2]
                 at, node = at[on], node[on]
             keys = node * base + (langs[at] if d == 0 else ids[at + d - 1])
-            found, node, times = np.unique(keys, return_inverse=True, return_counts=True)
+            above = len(levels[-1].word) if levels else 1
+            found, node, times = distinct(keys, above * base, d < self.depth)
             levels.append(Level(found // base, found % base, times))
         return Trie(words, levels)
 

@@ -184,8 +184,10 @@ def not_contained(phrases: DataFrame, most_words: int, share: int) -> DataFrame:
 
 def mine_phrases(docs: DataFrame, least: int = 30, top: int = 2000, share: int = 80, most_words: int = MOST_WORDS, **options) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the first ``top`` phrases of each language; ``least`` is at least 1."""
-    kept = Scratch(docs.sparkSession).keep(counted_phrases(docs, least, most_words, **options))
-    found = lowest_cut(with_rights(kept, most_words).where(F.size("words") >= 2))
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.keep(counted_phrases(docs, least, most_words, **options).repartition("words"))  # few files in place of one for each range
+    found = scratch.keep(lowest_cut(with_rights(counted, most_words).where(F.size("words") >= 2)))
+    scratch.drop(counted)
     found = not_contained(found, most_words, share).select("lang", "phrase", "a", "l", "r", "n", "score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     slices = Window.partitionBy("lang", "slice").orderBy(*order)
