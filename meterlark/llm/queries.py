@@ -141,10 +141,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS mark FROM documents
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY
-    lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 4) || substr(md5(coalesce('v' || doc_id::VARCHAR, 'n')), 1, 2), doc_id) AS place
+    lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 4) || substr(md5(coalesce('v' || doc_id::VARCHAR, 'n' || mark)), 1, 2), doc_id NULLS FIRST, size, mark) AS place
   FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS cap FROM d GROUP BY source

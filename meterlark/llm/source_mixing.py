@@ -11,7 +11,8 @@ Targets: sources in code point order (null last) weigh 3, 1, 2, repeating, and s
 a target stops at ``most`` times the source's size, the excess goes to the others by weight until none is above.
 
 Defined results: a null or blank text has size 0, is ranked like any other and takes 0 words. A null source is a
-source. Repeated rows are ranked one after another and may take different numbers of copies. With no words at all
+source. Rows are ranked by id, size and a hash of the text; rows that are the same in these are ranked one after another and may take different
+numbers of copies. The result does not depend on the order in which rows come. With no words at all
 every target is 0. An empty table gives an empty result. Columns beyond id, text and source are not read.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .common import WORD, checkpointed, fresh_name
 
@@ -64,29 +66,44 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def text_mark(text: Column) -> Column:
+    """A hash of a text: in the order of id, size and this, only rows that are the same in all that counts are tied."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def mix_sources(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, most: float = 2.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), solid_key(F.col("source")).alias("src"))
-    bucket = F.substring(F.md5(solid_key(F.col("doc_id"))), 1, BUCKET_DIGITS)
+    return _mixed(docs.select("doc_id", "source", "text"), seed, weights, total_share, most).drop("mark", "nth")
+
+
+def _mixed(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """mix_sources() with ``mark``, the text's hash, and ``nth``, which of the rows of one source, id, size and mark a row is."""
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_mark(F.col("text")).alias("mark"), solid_key(F.col("source")).alias("src"))
+    # Rows without an id are spread by their texts; rows that are the same in all are one bucket only if they are one document again and again.
+    bucket = F.substring(F.md5(F.coalesce(F.concat(F.lit("v"), F.col("doc_id").cast("string")), F.concat(F.lit("n"), "mark"))), 1, BUCKET_DIGITS)
     rows = checkpointed(rows.withColumn("stratum", F.concat(size_class(F.col("size")), bucket)))
     strata = checkpointed(rows.groupBy("src", "source", "stratum").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     targets = source_targets(strata.groupBy("src", "source").agg(F.sum("n").alias("n_docs"), F.sum("words").alias("source_size")), weights, total_share, most)
     before = Window.partitionBy("src").orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
     strata = strata.select("src", "stratum", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).join(targets.drop("source"), "src")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("src", "stratum").orderBy("doc_id"))).join(strata, ["src", "stratum"])
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("src", "stratum").orderBy("doc_id", "size", "mark"))).join(strata, ["src", "stratum"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit_hash(F.concat(F.lit(seed + "|"), F.col("src")))
     upto = lambda n: F.floor(n * rate + offset)
     ranked = ranked.withColumn("place", F.col("start") + F.col("rank")).withColumn("copies", (upto(F.col("place")) - upto(F.col("place") - 1)).cast("bigint"))
-    return ranked.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    nth = F.row_number().over(Window.partitionBy("src", "stratum", "doc_id", "size", "mark").orderBy(F.desc("copies")))
+    return ranked.withColumn("nth", nth).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"), "mark", "nth")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken. Rows that repeat an id are told apart by size."""
-    key, nth, times, copy = (fresh_name(docs, c) for c in ("mix_key", "mix_nth", "mix_copies", "mix_copy"))
-    place = lambda size: F.row_number().over(Window.partitionBy(key).orderBy(size))
-    copies = mix_sources(docs, **options).select(solid_key(F.col("doc_id")).alias(key), "size", F.col("copies").alias(times))
-    copies = copies.withColumn(nth, place(F.col("size"))).where(F.col(times) > 0).drop("size")
-    numbered = docs.withColumn(key, solid_key(F.col("doc_id"))).withColumn(nth, place(word_count(F.col("text"))))
-    taken = numbered.join(copies, [key, nth])
+    """``docs`` as mixed: each row as often as it is taken. Rows that repeat an id are told apart by source and text; of rows that are the same in these, any takes the place of any other."""
+    names = [fresh_name(docs, c) for c in ("mix_id", "mix_source", "mix_mark", "mix_nth", "mix_copies", "mix_copy")]
+    key, source, mark, nth, times, copy = names
+    found = _mixed(docs.select("doc_id", "source", "text"), **options).where("copies > 0")
+    copies = found.select(solid_key(F.col("doc_id")).alias(key), solid_key(F.col("source")).alias(source), F.col("mark").alias(mark), F.col("nth").alias(nth), F.col("copies").alias(times))
+    same = [key, source, mark]
+    numbered = docs.withColumns({key: solid_key(F.col("doc_id")), source: solid_key(F.col("source")), mark: text_mark(F.col("text"))})
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))])
+    numbered = numbered.withColumn(nth, F.row_number().over(Window.partitionBy(*same).orderBy(rest)))
+    taken = numbered.join(copies, [*same, nth])
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select(*docs.columns)

@@ -226,6 +226,20 @@ def test_mixing_on_edge_cases(spark):
     assert mixed.columns == edge_docs(spark).columns and mixed.count() == sum(r.copies for r in rows)
 
 
+def test_mixing_does_not_depend_on_the_order_of_rows(spark):
+    """Repeated ids and rows without one, with other texts of the same and of other sizes."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 3, k]), " ".join(rng.choice("abc") for _ in range(rng.choice([0, 3, 9, 10, 11, 90]))), rng.choice(["s", "t", None])) for k in range(630)]
+    seen = set()
+    for seed in range(5):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(1 + seed)
+        digest = sorted(map(repr, map(tuple, mix_sources(docs).collect()))), sorted(map(repr, map(tuple, mixed_documents(docs).collect())))
+        seen.add(repr(digest))
+        assert len(digest[1]) == mix_sources(docs).agg(F.sum("copies")).first()[0]
+    assert len(seen) == 1
+
+
 def test_mix_comes_near_its_targets(spark):
     rows = mix_sources(table(spark, "documents", "/root/testdata/sf0.1")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r.taken / r.target - 1) < 0.02 for r in rows)
