@@ -1,14 +1,15 @@
-"""Entries to buckets, events to sessions, and the order-dependent folds of the logs as windows."""
+"""Entries to buckets, events to sessions, and the order-dependent folds of the logs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import token_sum
 from ..functions.text import account_host, clamped, clamped_or_unknown, is_account_hash, joined_hash
 from ..functions.times import half_hour
 from ..schema import ACCOUNT_SOURCES, TOKENS
+from .folds import hour_chunk, last_seen, line_chunk, running_count
 
 MODEL_CHARS, PROJECT_CHARS, SOURCE_CHARS, LABEL_CHARS, HASH_CHARS = 100, 200, 64, 200, 64
 
@@ -88,8 +89,8 @@ def content_hash(columns: tuple[str, ...] = (*TOKENS, "total")) -> Column:
 
 def active_seconds(events: DataFrame) -> DataFrame:
     """(source, session_id, active_seconds): a turn runs from a user event to the next; it is active from its first to its last other event."""
-    order = Window.partitionBy("source", "session_id").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turns = events.withColumn("turn", F.sum((F.col("role") == "user").cast("int")).over(order)).where((F.col("role") != "user") & (F.col("turn") > 0))
+    numbered = running_count(events.select("source", "session_id", "role", "at", "seq"), F.col("role") == "user", "turn", ["source", "session_id"], ["at", "seq"], hour_chunk("at"))
+    turns = numbered.where((F.col("role") != "user") & (F.col("turn") > 0))
     spans = turns.groupBy("source", "session_id", "turn").agg(F.floor((F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))) / 1_000_000).alias("s"))
     return spans.groupBy("source", "session_id").agg(F.sum("s").cast("bigint").alias("active_seconds"))
 
@@ -111,28 +112,28 @@ def usage_sessions(events: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.withColumn("duration_seconds", duration.cast("bigint")).withColumn("total", token_sum())
 
 
-def carried_forward(rows: DataFrame, value: str, keys: list[str], order: list[str], default: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Fills ``value`` with the last one seen before; blank and ignored values count as missing."""
+def carried_forward(rows: DataFrame, value: str, keys: list[str], order: list[str], default: str, ignore: tuple[str, ...] = (), chunk: Column | None = None) -> DataFrame:
+    """Fills ``value`` with the last one seen before; blank and ignored values count as missing. ``chunk`` rises with the order (folds.py)."""
     usable = F.when(~F.coalesce(F.trim(F.col(value)).isin("", *ignore), F.lit(True)), F.col(value))
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(value, F.coalesce(F.last(usable, ignorenulls=True).over(window), F.lit(default)))
+    seen = last_seen(rows.withColumn("usable", usable), {"usable": "carried"}, keys, order, line_chunk() if chunk is None else chunk, current=True)
+    return seen.withColumn(value, F.coalesce("carried", F.lit(default))).drop("usable", "carried")
 
 
-def cumulative_deltas(rows: DataFrame, counters: list[str], total: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Turns running counters into increments.
+def counter_rises(rows: DataFrame, counters: str, total: str, keys: list[str], order: list[str], chunk: Column | None = None) -> DataFrame:
+    """Turns running counters into increments: ``counters`` is a struct of them, ``total`` a number; either may be null where a row tells nothing of it.
 
-    A row whose running total equals the one before, and is above 0, repeats it and is dropped. Where any counter
-    fell the counters were reset, and their values are the increments.
+    Adds ``rise``, a struct like ``counters``, and ``repeated``. Where any counter fell below the last ones seen, or none were seen, the counters began anew and are the
+    increments. A row is repeated if its total equals the last one seen and is above 0.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    before = {c: F.lag(c).over(window) for c in [*counters, total]}
-    rows = rows.withColumns({f"before_{c}": x for c, x in before.items()})
-    reset = F.col(f"before_{total}").isNull()
-    for c in counters:
-        reset = reset | (F.col(c) < F.col(f"before_{c}"))
-    repeated = F.coalesce((F.col(total) == F.col(f"before_{total}")) & (F.col(total) > 0), F.lit(False))
-    deltas = {f"delta_{c}": F.when(reset, F.col(c)).otherwise(F.col(c) - F.col(f"before_{c}")) for c in counters}
-    return rows.where(~repeated).withColumns(deltas).drop(*[f"before_{c}" for c in before])
+    names = rows.schema[counters].dataType.names
+    seen = last_seen(rows, {counters: "counters_before", total: "total_before"}, keys, order, line_chunk() if chunk is None else chunk)
+    fell = F.lit(False)
+    for c in names:
+        fell = fell | (F.col(f"{counters}.{c}") < F.col(f"counters_before.{c}"))
+    rise = F.struct(*[(F.col(f"{counters}.{c}") - F.col(f"counters_before.{c}")).alias(c) for c in names])
+    repeated = F.coalesce((F.col(total) > 0) & (F.col(total) == F.col("total_before")), F.lit(False))
+    found = F.when(F.col("counters_before").isNull() | fell, F.col(counters)).otherwise(rise)
+    return seen.withColumns({"rise": F.when(F.col(counters).isNotNull(), found), "repeated": repeated}).drop("counters_before", "total_before")
 
 
 def largest_of_each(rows: DataFrame, key: str, score: Column, tie: list[str]) -> DataFrame:

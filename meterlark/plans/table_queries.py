@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import text_count, variant_count
@@ -398,6 +398,35 @@ def codex_logs(spark, sf_dir):
     return _read_back(spark, CodexLogs(), _written(_codex_lines(spark, sf_dir), new_folder(spark, "logs-b")))
 
 
+@query(f"""WITH {SQL_USAGE}, e AS (
+  SELECT project, seq, last_value(CASE WHEN seq % 3 = 0 THEN model END IGNORE NULLS) OVER (PARTITION BY project ORDER BY seq) AS model, input + cache_read AS a, output + reasoning AS b, cache_read AS c, reasoning AS d,
+    count(*) FILTER (WHERE seq % 11 = 0) OVER (PARTITION BY project ORDER BY seq) AS life FROM entries WHERE source = 'codex'
+), t AS (SELECT project, seq, model, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(c) OVER w AS c, sum(d) OVER w AS d FROM e WINDOW w AS (PARTITION BY project, life ORDER BY seq)
+), l AS (SELECT *, a + b AS s, lag(a) OVER p AS pa, lag(b) OVER p AS pb, lag(c) OVER p AS pc, lag(d) OVER p AS pd, lag(a + b) OVER p AS ps FROM t WINDOW p AS (PARTITION BY project ORDER BY seq)
+), f AS (SELECT *, pa IS NULL OR a < pa OR b < pb OR c < pc OR d < pd AS anew FROM l WHERE NOT coalesce(s > 0 AND s = ps, false)
+), u AS (SELECT project, model, CASE WHEN anew THEN a ELSE a - pa END AS a, CASE WHEN anew THEN b ELSE b - pb END AS b, CASE WHEN anew THEN c ELSE c - pc END AS c, CASE WHEN anew THEN d ELSE d - pd END AS d FROM f
+), n AS (SELECT project, coalesce(model, 'unknown') AS model, greatest(a - c, 0) AS input, greatest(b - d, 0) AS output, c, d FROM u)
+SELECT 'codex' AS source, model, project, count(*) AS calls, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(c)::BIGINT AS cache_read, 0::BIGINT AS cache_creation, sum(d)::BIGINT AS reasoning
+FROM n WHERE input + output + c + d > 0 GROUP BY ALL""")
+def codex_totals(spark, sf_dir):
+    """Logs with a header, models told by turns, running totals that begin anew now and then, and lines that repeat the total before."""
+    rows = usage(spark, sf_dir).where("source = 'codex'").select("project", "seq", "model", "at", (F.col("input") + F.col("cache_read")).alias("a"), (F.col("output") + F.col("reasoning")).alias("b"), F.col("cache_read").alias("c"), F.col("reasoning").alias("d"))
+    so_far = Window.partitionBy("project").orderBy("seq")
+    rows = rows.withColumn("life", F.count_if(F.col("seq") % 11 == 0).over(so_far))
+    life = Window.partitionBy("project", "life").orderBy("seq")
+    a, b, c, d = (F.sum(x).over(life) for x in "abcd")
+    total = F.struct(a.alias("input_tokens"), b.alias("output_tokens"), c.alias("cached_input_tokens"), d.alias("reasoning_output_tokens"), (a + b).alias("total_tokens"))
+    stamp = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")
+    counts = F.to_json(F.struct(F.lit("event_msg").alias("type"), stamp, F.struct(F.lit("token_count").alias("type"), F.struct(total.alias("total_token_usage")).alias("info")).alias("payload")))
+    turn = F.to_json(F.struct(F.lit("turn_context").alias("type"), stamp, F.struct("model").alias("payload")))
+    header = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.struct(F.col("project").alias("id"), F.concat(F.lit("/w/"), "project").alias("cwd")).alias("payload")))
+    said = rows.select("project", "seq", counts.alias("counts"), turn.alias("turn"))
+    line = lambda when, place, text: said.where(when).select("project", (F.col("seq") * 4 + place).alias("seq"), F.col(text).alias("line"))
+    lines = line("seq % 3 = 0", 0, "turn").unionByName(line("true", 1, "counts")).unionByName(line("seq % 7 = 0", 2, "counts"))
+    lines = lines.unionByName(rows.select("project").distinct().select("project", F.lit(-1).cast("bigint").alias("seq"), header.alias("line")))
+    return _read_back(spark, CodexLogs(), _written(lines, new_folder(spark, "logs-f")))
+
+
 @query(_sql_logs("pi", ("input", "output", "cache_read", "cache_creation", "reasoning")))
 def pi_logs(spark, sf_dir):
     return _read_back(spark, PiLogs(), _written(_pi_lines(spark, sf_dir), new_folder(spark, "logs-c")))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.times import UTC
 from ..operators import changes, control, upserts, views
+from ..operators.folds import hour_chunk
 from ..operators.upserts import BUCKET_KEY, Store
-from ..operators.usage import carried_forward, client_key, content_hash, cumulative_deltas, hide_projects, largest_of_each, regrouped, usage_buckets
+from ..operators.usage import carried_forward, client_key, content_hash, counter_rises, hide_projects, largest_of_each, regrouped, usage_buckets
 from ..schema import ACCOUNT, BUCKET, HOST, SESSION, TOKENS
 from ..session import new_folder
 from ..sources.events import SQL_USAGE, read_usage
@@ -207,7 +208,8 @@ SELECT event_id, CASE WHEN pt IS NULL OR a < pa OR b < pb THEN a ELSE a - pa END
 FROM l WHERE NOT coalesce(t = pt AND t > 0, false)""")
 def delta_from_cumulative(spark: SparkSession, sf_dir: str):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", F.get_json_object("props", "$.k").cast("bigint").alias("a"), F.floor("value").alias("b"))
-    return cumulative_deltas(rows.withColumn("t", F.col("a") + F.col("b")), ["a", "b"], "t", ["user_id"], ["ts", "event_id"]).select("event_id", "delta_a", "delta_b")
+    rises = counter_rises(rows.select("*", F.struct("a", "b").alias("counters"), (F.col("a") + F.col("b")).alias("t")), "counters", "t", ["user_id"], ["ts", "event_id"], hour_chunk("ts"))
+    return rises.where("not repeated").select("event_id", F.col("rise.a").alias("delta_a"), F.col("rise.b").alias("delta_b"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
@@ -216,7 +218,7 @@ SELECT event_id, coalesce(last_value(model IGNORE NULLS) OVER (PARTITION BY user
 def carry_forward_model(spark: SparkSession, sf_dir: str):
     k = F.get_json_object("props", "$.k").cast("int")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", F.when(k % 3 == 0, F.lit(" ")).when(k % 7 == 0, F.lit("<synthetic>")).otherwise(F.concat(F.lit("m"), k)).alias("model"))
-    return carried_forward(rows, "model", ["user_id"], ["ts", "event_id"], "unknown", ignore=("<synthetic>",)).select("event_id", "model")
+    return carried_forward(rows, "model", ["user_id"], ["ts", "event_id"], "unknown", ignore=("<synthetic>",), chunk=hour_chunk("ts")).select("event_id", "model")
 
 
 @query(f"""WITH {SQL_USAGE}, c AS (SELECT seq, CASE WHEN output % 100 = 0 THEN NULL ELSE session_id || output END AS call, input FROM entries)

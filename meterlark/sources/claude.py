@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import dashed_path_part, last_path_part
@@ -41,11 +41,12 @@ class ClaudeLogs(SourceAdapter):
     def _lines(raw: DataFrame, files: DataFrame) -> DataFrame:
         """Lines of the chosen files with their session and project."""
         lines = parsed_lines(raw.join(files.select("path", "session_id", "fallback"), "path"))
-        file = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         cwd = F.when(F.trim(text_at("doc", "$.cwd")) != "", text_at("doc", "$.cwd"))
-        first = F.first(cwd, ignorenulls=True).over(file)
+        # The first of each file is a minimum, made before the shuffle; no window over a file.
+        firsts = lines.groupBy("path").agg(F.min_by(cwd, F.when(cwd.isNotNull(), F.col("line_no"))).alias("first"))
+        lines, first = lines.join(firsts, "path"), F.col("first")
         project = F.when(first.isNull(), F.col("fallback")).otherwise(F.coalesce(last_path_part(first), F.lit("unknown")))
-        return lines.withColumns({"project": project, "at": time_at("doc", "$.timestamp"), "type": text_at("doc", "$.type"), "source": F.lit(NAME)}).where("at is not null")
+        return lines.withColumns({"project": project, "at": time_at("doc", "$.timestamp"), "type": text_at("doc", "$.type"), "source": F.lit(NAME)}).where("at is not null").drop("first")
 
     @staticmethod
     def _events(lines: DataFrame) -> DataFrame:

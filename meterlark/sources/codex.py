@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import last_path_part, repository_name
+from ..operators.folds import last_seen, line_chunk
+from ..operators.usage import counter_rises
 from .base import SourceAdapter, Usage, as_entries, as_events, best_copy, count_at, listed_files, parsed_lines, present_at, text_at, time_at
 
 NAME = "codex"
@@ -58,23 +60,19 @@ class CodexLogs(SourceAdapter):
     @staticmethod
     def _entries(lines: DataFrame) -> DataFrame:
         info = "$.payload.info"
-        order = Window.partitionBy("path").orderBy("line_no")
-        so_far, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
-        turn = F.when(F.col("type") == "turn_context", F.nullif(text_at("doc", "$.payload.model"), F.lit("")))
-        rows = lines.where("not replay").withColumn("turn_model", F.coalesce(F.last(turn, ignorenulls=True).over(so_far), F.lit("unknown")))
-        counts = (F.col("type") == "event_msg") & (text_at("doc", "$.payload.type") == "token_count") & present_at("doc", info)
         total_path = f"{info}.total_token_usage"
-        rows = rows.where(counts).withColumns({"total": _counters(total_path), "last": _counters(f"{info}.last_token_usage"), "sum": F.when(present_at("doc", f"{total_path}.total_tokens"), count_at("doc", f"{total_path}.total_tokens"))})
-        rows = rows.withColumns({"total_before": F.last("total", ignorenulls=True).over(before), "sum_before": F.last("sum", ignorenulls=True).over(before)})
-        fell = F.lit(False)
-        for c in COUNTERS:
-            fell = fell | (F.col(f"total.{c}") < F.col(f"total_before.{c}"))
-        rise = F.struct(*[(F.col(f"total.{c}") - F.col(f"total_before.{c}")).alias(c) for c in COUNTERS])
-        usage = F.coalesce("last", F.when(F.col("total_before").isNull() | fell, F.col("total")).otherwise(rise))
-        repeated = F.coalesce((F.col("sum") > 0) & (F.col("sum") == F.col("sum_before")), F.lit(False))
-        rows = rows.withColumn("u", usage).where(~repeated & F.col("u").isNotNull() & F.col("at").isNotNull())
+        counts = (F.col("type") == "event_msg") & (text_at("doc", "$.payload.type") == "token_count") & present_at("doc", info)
+        turn = F.when(F.col("type") == "turn_context", F.nullif(text_at("doc", "$.payload.model"), F.lit("")))
+        rows = lines.where("not replay").withColumns({
+            "counts": F.coalesce(counts, F.lit(False)), "turn": turn, "last": F.when(counts, _counters(f"{info}.last_token_usage")), "total": F.when(counts, _counters(total_path)),
+            "sum": F.when(counts & present_at("doc", f"{total_path}.total_tokens"), count_at("doc", f"{total_path}.total_tokens")),
+            "said": F.coalesce(text_at("doc", f"{info}.model"), text_at("doc", "$.payload.model")),
+        }).where("counts or turn is not null").drop("doc")
+        rows = last_seen(rows, {"turn": "turn_model"}, ["path"], ["line_no"], line_chunk(), current=True).where("counts")
+        rows = counter_rises(rows, "total", "sum", ["path"], ["line_no"])
+        rows = rows.withColumn("u", F.coalesce("last", "rise")).where(~F.col("repeated") & F.col("u").isNotNull() & F.col("at").isNotNull())
         # A blank model of the call keeps the payload's from being asked.
-        model = F.coalesce(F.nullif(F.coalesce(text_at("doc", f"{info}.model"), text_at("doc", "$.payload.model")), F.lit("")), F.col("turn_model"))
+        model = F.coalesce(F.nullif("said", F.lit("")), "turn_model", F.lit("unknown"))
         return rows.withColumns({
             "model": model,
             "input": F.greatest(F.col("u.input_tokens") - F.col("u.cached"), F.lit(0)),
