@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import running_count
+
+#: Rows of an upload at most (fixed values).
 BATCH_BUCKETS, BATCH_SESSIONS = 100, 500
 
 
@@ -16,10 +19,12 @@ def changed_rows(rows: DataFrame, state: DataFrame, full: bool = False) -> DataF
     return rows if full else rows.join(state.select("key", "hash"), ["key", "hash"], "left_anti")
 
 
-def batches(rows: DataFrame, size: int, per: tuple[str, ...], order: list[str]) -> DataFrame:
-    """``batch``: which upload of at most ``size`` rows a row goes with. Collectors (``per``) number theirs apart."""
-    nth = F.row_number().over(Window.partitionBy(*per).orderBy(*order))
-    return rows.withColumn("batch", F.floor((nth - 1) / size).cast("bigint"))
+def batches(rows: DataFrame, size: Column | int, per: tuple[str, ...], key: str) -> DataFrame:
+    """``batch``: which upload of at most ``size`` rows a row goes with, by a slice of the key's md5 and then the key; each ``per`` is numbered apart, and no task numbers all of its rows."""
+    sliced = rows.withColumn("slice", F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 2), 16, 10).cast("int"))
+    numbered = running_count(sliced, F.lit(True), "nth", list(per), ["slice", key], F.col("slice"))
+    size = F.lit(size) if isinstance(size, int) else size
+    return numbered.withColumn("batch", F.floor((F.col("nth") - 1) / size).cast("bigint")).drop("nth", "slice")
 
 
 def acknowledged(state: DataFrame, sent: DataFrame, unknown_sources: list[str], sessions: bool = False) -> DataFrame:

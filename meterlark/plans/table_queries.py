@@ -22,7 +22,8 @@ from ..sources.events import SQL_USAGE, read_usage
 from ..sources.incremental import LogStore
 from ..sources.pi import PiLogs
 from ..sources.usage_export import UsageExport
-from ..streaming.tables import send_to_all, windowed_usage
+from ..streaming.delivery import Answer, Batch, Journal, Refused, deliver
+from ..streaming.tables import windowed_usage
 from ..versions import VersionedTable
 from .usage_queries import buckets_of, query, sessions_of, usage
 
@@ -575,14 +576,25 @@ def joins_decided_and_claimed(spark, sf_dir):
     return after.join(given, "join_id", "left").select("join_id", "status", F.coalesce("answered", F.lit(False)).alias("answered"))
 
 
-@query(f"""WITH {SQL_USAGE} SELECT destination, CASE WHEN destination = 'down' THEN 0 ELSE n END AS ingested, destination <> 'down' AS ok, CASE WHEN destination = 'down' THEN 'retryable' END AS error_kind
-FROM (SELECT count(*) AS n FROM buckets), (VALUES ('first'), ('second'), ('down')) t(destination)""")
+@query(f"""WITH {SQL_USAGE}, k AS (SELECT concat_ws('|', source, model, project, strftime(bucket_start, '%Y-%m-%dT%H:%M:%SZ'), host_id) AS key, source FROM buckets), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE source <> 'codex') AS known FROM k)
+SELECT destination, round, CASE WHEN destination = 'down' THEN 0 WHEN round = 1 THEN CASE WHEN destination = 'breaks' THEN least(n, 200) ELSE n END WHEN destination = 'first' THEN 0 WHEN destination = 'choosy' THEN n - known ELSE greatest(n - 200, 0) END AS sent,
+  NOT (destination = 'down' OR destination = 'breaks' AND round = 1 AND n > 200) AS ok, CASE WHEN destination = 'down' THEN 'retryable' WHEN destination = 'breaks' AND round = 1 AND n > 200 THEN 'auth' END AS error_kind
+FROM t, (VALUES ('first'), ('choosy'), ('breaks'), ('down')) d(destination), (VALUES (1), (2)) r(round)""")
 def sent_to_all(spark, sf_dir):
-    """Two destinations take the rows, one cannot be reached."""
-    rows = buckets_of(spark, sf_dir).withColumns({"key": client_key("host_id"), "hash": content_hash()})
-
-    def unreachable(batch: DataFrame) -> list[str]:
+    """Two rounds to four destinations: one takes all, one does not know a source, one refuses the token after two batches of its first round, one cannot be reached."""
+    rows = buckets_of(spark, sf_dir).select(F.lit("bucket").alias("kind"), client_key("host_id").alias("key"), content_hash().alias("hash"), "source", F.lit("").alias("body"))
+    journal, taken = Journal(spark, new_folder(spark, "sent")), []
+
+    def breaks(batch: Batch) -> Answer:
+        if len(taken) == 2:
+            taken.append(None)  # refused once
+            raise Refused(401)
+        taken.append(batch.number)
+        return Answer()
+
+    def down(batch: Batch) -> Answer:
         raise ConnectionError("no route")
 
-    found = send_to_all(rows, new_folder(spark, "sent"), {"first": lambda batch: [], "second": lambda batch: [], "down": unreachable})
-    return found.select("destination", "ingested", "ok", "error_kind")
+    to = {"first": lambda batch: Answer(), "choosy": lambda batch: Answer(unknown=["codex"]), "breaks": breaks, "down": down}
+    found = [deliver(rows, journal, to, wait=lambda s: None).withColumn("round", F.lit(n)) for n in (1, 2)]
+    return found[0].unionByName(found[1]).select("destination", "round", F.col("changed_buckets").alias("sent"), "ok", "error_kind")

@@ -197,9 +197,9 @@ def cdc_prune_live(spark: SparkSession, sf_dir: str):
     return changes.pruned(rows.select("key", "hash"), rows.where("total % 2 = 0"), sources)
 
 
-@query(f"WITH {SQL_KEYED}, n AS (SELECT key, row_number() OVER (PARTITION BY source ORDER BY key) AS rn FROM keyed) SELECT key, ((rn - 1) // 100)::BIGINT AS batch FROM n")
+@query(f"WITH {SQL_KEYED}, n AS (SELECT key, row_number() OVER (PARTITION BY source ORDER BY substr(md5(key), 1, 2), key) AS rn FROM keyed) SELECT key, ((rn - 1) // 100)::BIGINT AS batch FROM n")
 def batch_assignment(spark: SparkSession, sf_dir: str):
-    return changes.batches(keyed_rows(spark, sf_dir), changes.BATCH_BUCKETS, ("source",), ["key"]).select("key", "batch")
+    return changes.batches(keyed_rows(spark, sf_dir), changes.BATCH_BUCKETS, ("source",), "key").select("key", "batch")
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS a, floor(value)::BIGINT AS b FROM events),

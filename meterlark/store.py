@@ -96,7 +96,7 @@ class Write:
         """Replaces the named parts of a table by ``rows``, all of which belong to them; gives the written rows. A part without rows goes."""
         folder = f"data/{self.name}/{table}"
         rows.withColumn("part", part_of(table)).hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.base.root}/{folder}")
-        written = {p: f"{folder}/part={p}" for p in _names(self.base.spark, f"{self.base.root}/{folder}", "part=")}
+        written = {p: f"{folder}/part={p}" for p in names_in(self.base.spark, f"{self.base.root}/{folder}", "part=")}
         self.changed[table] = {p: written.get(p) for p in parts} | written
         return Snapshot(self.base.spark, self.base.root, -1, {table: written}).read(table)
 
@@ -109,13 +109,34 @@ def _files(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _names(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
+def names_in(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
     """Names in a folder that begin with a prefix, without it."""
     files, at = _files(spark, folder), _path(spark, folder)
     names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
     return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
 
 
+def create_file(spark: SparkSession, path: str, text: str) -> None:
+    """Creates a file whole or not at all; Conflict if it is there."""
+    jvm, files = spark.sparkContext._jvm, _files(spark, path)
+    folder, name = path.rsplit("/", 1)
+    draft = _path(spark, f"{folder}/.{name}.{os.urandom(8).hex()}")
+    out = files.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    try:
+        context.rename(draft, _path(spark, path), options)  # fails where the target is there
+    except Py4JJavaError as e:
+        files.delete(draft, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            raise Conflict(path) from e
+        raise
+
+
 class SnapshotStore:
     """Buckets, rollups, sessions, hosts and accounts in a folder that all executors reach."""
 
@@ -123,7 +144,7 @@ class SnapshotStore:
         self.spark, self.root = spark, root
 
     def versions(self) -> list[int]:
-        return [int(n.removesuffix(".json")) for n in _names(self.spark, f"{self.root}/manifests") if n.endswith(".json")]
+        return [int(n.removesuffix(".json")) for n in names_in(self.spark, f"{self.root}/manifests") if n.endswith(".json")]
 
     def open(self, version: int | None = None) -> Snapshot:
         """The newest version or the one that is asked for. Version 0 is empty."""
@@ -153,23 +174,7 @@ class SnapshotStore:
         return Snapshot(self.spark, self.root, version, folders)
 
     def _create(self, path: str, text: str) -> None:
-        """Creates a file whole or not at all; Conflict if it is there."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        draft = f"{path}.{os.urandom(8).hex()}"
-        out = _files(self.spark, path).create(_path(self.spark, draft), True)
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_files(self.spark, path).getUri(), conf)
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
-        try:
-            context.rename(_path(self.spark, draft), _path(self.spark, path), options)  # fails where the target is there
-        except Py4JJavaError as e:
-            _files(self.spark, path).delete(_path(self.spark, draft), False)
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                raise Conflict(path) from e
-            raise
+        create_file(self.spark, path, text)
 
     def vacuum(self, keep: int = 2, older_than: float = 86_400.0) -> list[str]:
         """Removes manifests but the newest ``keep``, and writes that none of these name and that are older than ``older_than`` seconds (a writer may be at work on younger ones). Returns the writes that went."""
@@ -178,7 +183,7 @@ class SnapshotStore:
         for version in found[:-keep]:
             _files(self.spark, self.root).delete(_path(self.spark, self._manifest(version)), False)
         gone = []
-        for name in _names(self.spark, f"{self.root}/data"):
+        for name in names_in(self.spark, f"{self.root}/data"):
             at = _path(self.spark, f"{self.root}/data/{name}")
             age = time.time() - _files(self.spark, self.root).getFileStatus(at).getModificationTime() / 1000
             if name not in live and age >= older_than:

@@ -6,21 +6,13 @@ Every write is idempotent, so a batch that is repeated after a failure changes n
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import acknowledged, changed_rows
 from ..operators.upserts import new_buckets, touched_days, upsert_buckets
 from ..operators.usage import sums
 from ..schema import BUCKET, TOKENS, UPLOAD
-from ..session import shared_folder
-from ..versions import VersionedTable
-
-STATE = "key STRING, hash STRING"
-
 
 def stored_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What a folder holds; no rows where it is not there yet."""
@@ -74,38 +66,3 @@ def windowed_usage(entries: DataFrame, *keys: str, late: str | None = None) -> D
     by = [*keys, "source", "model", "project", F.window("at", "30 minutes").alias("w")]
     rows = entries.groupBy(*by).agg(*sums(*TOKENS))
     return rows.withColumn("bucket_start", F.col("w.start")).drop("w")
-
-
-def send_changes(rows: DataFrame, state_path: str, send: Callable[[DataFrame], list[str]], full: bool = False) -> int:
-    """Sends the rows (with key, hash, source) that a destination has not acknowledged; returns how many.
-
-    ``send`` gets a DataFrame and returns the sources that the destination does not know. What was sent is remembered
-    only after it returned, as a new version of the state, so a failure leads to a repeat, never to a gap, and loses nothing
-    that was remembered. Each destination has a state folder of its own.
-    """
-    spark = rows.sparkSession
-    kept = VersionedTable(spark, state_path, STATE)
-    state = kept.read()
-    shared_folder(spark)
-    todo = changed_rows(rows, state, full).checkpoint()
-    n = todo.count()
-    if n:
-        unknown = send(todo)
-        kept.write(acknowledged(state, todo, unknown))
-    return n
-
-
-def send_to_all(rows: DataFrame, state_root: str, destinations: dict[str, Callable[[DataFrame], list[str]]], full: tuple[str, ...] = ()) -> DataFrame:
-    """send_changes() to each destination with a state of its own; one that fails stops no other, and gets the rows the next time.
-
-    A row per destination, as sync_report() takes them, with the error; a ConnectionError or TimeoutError may be tried again.
-    """
-    spark, results = rows.sparkSession, []
-    for name, send in destinations.items():
-        sent, error, kind = 0, None, None
-        try:
-            sent = send_changes(rows, f"{state_root}/{name}", send, full=name in full)
-        except Exception as e:  # noqa: BLE001  one destination must not stop the others
-            error, kind = str(e).split("\n")[0], "retryable" if isinstance(e, (ConnectionError, TimeoutError)) else "fatal"
-        results.append((name, sent, 0, 0, sent, 0, error is None, kind, error))
-    return spark.createDataFrame(results, "destination string, ingested bigint, sessions bigint, protected bigint, changed_buckets bigint, changed_sessions bigint, ok boolean, error_kind string, error string")

@@ -10,7 +10,6 @@ import pytest
 from meterlark.functions.times import first_of_month, since_time
 from meterlark.operators.pricing import imported_prices, keep_prices, model_count, read_prices
 from meterlark.operators import control, views
-from meterlark.operators.changes import sync_report
 from meterlark.operators.usage import first_of_each_account, normalized_accounts, normalized_sessions, with_session
 from meterlark.sources.base import collect_all, roots_of
 from meterlark.sources.claude import ClaudeLogs
@@ -19,7 +18,6 @@ from meterlark.sources.incremental import LogStore
 from meterlark.sources.pi import PiLogs
 from meterlark.sources.ranges import GrownLines, lines_between
 from meterlark.sources.roots import log_roots
-from meterlark.streaming.tables import send_to_all
 from meterlark.versions import VersionedTable
 from pyspark.sql import functions as F
 from test_sources import call, write
@@ -169,24 +167,6 @@ def test_roots_of_a_home(spark, tmp_path):
     assert roots("pi", {"PI_CODING_AGENT_DIR": "~/pi", "PI_CODING_AGENT_SESSION_DIR": "~/set"}) == ["set"]
 
 
-def test_destinations_are_apart(spark, tmp_path):
-    rows = spark.createDataFrame([("codex|a", "h1", "codex"), ("pi|b", "h2", "pi")], "key string, hash string, source string")
-    got: dict[str, list[int]] = {"a": [], "b": []}
-
-    def fail(_):
-        raise ConnectionError("no route")
-
-    keep = lambda name: lambda batch: got[name].append(batch.count()) or []
-    first = send_to_all(rows, str(tmp_path / "s"), {"a": keep("a"), "b": fail})
-    assert {(r.destination, r.ok, r.error_kind) for r in first.collect()} == {("a", True, None), ("b", False, "retryable")}
-    report = sync_report(first).first()
-    assert (report.ingested, report.all_ok, report.retry) == (2, False, True)
-    send_to_all(rows, str(tmp_path / "s"), {"a": keep("a"), "b": keep("b")})
-    assert got == {"a": [2], "b": [2]}
-    send_to_all(rows, str(tmp_path / "s"), {"a": keep("a"), "b": keep("b")}, full=("a",))
-    assert got == {"a": [2, 2], "b": [2]}
-
-
 def test_small_tables(spark):
     frame = lambda rows: spark.createDataFrame(rows, "account_hash string, session_id string")
     locked = control.locked_sessions(frame([("a", "1"), ("b", None)]), frame([("a", "1"), ("a", "2"), ("c", "3"), ("b", "4")]))

@@ -19,7 +19,7 @@ from meterlark.plans import catalog
 from meterlark.plans.write_queries import empty_store
 from meterlark.schema import ACCOUNT, BUCKET, HOST, JOIN_REQUEST, TOKEN, UPLOAD
 from meterlark.session import new_folder
-from meterlark.streaming.tables import BucketTable, keep_uploads, send_changes, upload_stream, windowed_usage
+from meterlark.streaming.tables import BucketTable, keep_uploads, upload_stream, windowed_usage
 from oracle import SF
 from pyspark.sql import functions as F
 
@@ -164,22 +164,7 @@ def test_hosts_tokens_and_joins(spark):
     assert late.first().status == "expired" and revoked.where("revoked_at is null").isEmpty()
 
 
-def test_changes_are_sent_once(spark):
-    rows = frame(spark, [bucket(total=1), bucket(minute=30, total=2, source="grok")], seq=False).select(F.concat_ws("|", "source", "bucket_start").alias("key"), F.col("total").cast("string").alias("hash"), "source")
-    path, sent = new_folder(spark, "state"), []
-
-    def send(df):
-        sent.append(df.count())
-        return ["grok"]
-
-    assert [send_changes(rows, path, send), send_changes(rows, path, send), send_changes(rows, path, send, full=True)] == [2, 1, 2]
-
-    def fail(df):
-        raise OSError("gone")
-
-    with pytest.raises(OSError):
-        send_changes(rows, path, fail)
-    assert send_changes(rows, path, send) == 1 and sent == [2, 1, 2, 1]
+def test_logs_keep_their_newest_events(spark):
     log = spark.createDataFrame([("a", k) for k in range(70)], "account string, n int")
     assert changes.last_events(log, "account", F.col("n")).agg(F.min("n"), F.count("*")).first() == (20, 50)
 
