@@ -18,7 +18,9 @@ def tokens_with_hosts(tokens: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def hosts_by_last_seen(hosts: DataFrame) -> DataFrame:
-    return hosts.orderBy(F.desc("last_seen"), "host_id")
+    """Hosts as listed, with ``place`` from 1: the one seen last first, those never seen last. Hosts are machines and accounts, few whatever the usage."""
+    order = Window.orderBy(F.desc_nulls_last("last_seen"), "host_id")
+    return hosts.withColumn("place", F.row_number().over(order)).orderBy("place")
 
 
 def authorised_host(tokens: DataFrame, hashed: str) -> DataFrame:
@@ -58,10 +60,10 @@ def set_archived(accounts: DataFrame, account_hash: str, at: dt.datetime | None)
 
 
 def listed_accounts(accounts: DataFrame, now: dt.datetime, stale_days: int = STALE_DAYS) -> DataFrame:
-    """Accounts by label, with ``stale`` (an unknown time is not stale) and ``active`` (neither archived nor stale)."""
+    """Accounts by label, with ``place`` from 1, ``stale`` (an unknown time is not stale) and ``active`` (neither archived nor stale). Accounts are few."""
     old = F.coalesce(F.col("fetched_at") < instant(now - dt.timedelta(days=stale_days)), F.lit(False))
     rows = accounts.withColumn("stale", old).withColumn("active", F.col("archived_at").isNull() & ~F.col("stale"))
-    return rows.orderBy(F.lower("label"), "account_hash")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.lower("label"), "account_hash"))).orderBy("place")
 
 
 def pending_joins(requests: DataFrame, now: dt.datetime) -> DataFrame:

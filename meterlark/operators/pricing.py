@@ -18,6 +18,8 @@ RAW_FIELDS = {
 }
 #: Shares of the input price that cache reads and writes cost where a book has no price for them (fixed values).
 READ_SHARE, WRITE_SHARE = 0.1, 1.25
+#: Keys of a book that may be one map.
+MOST_IN_MAP = 20_000
 #: Layers of a book from weak to strong; "gap" rows only fill what none of the others has.
 LAYERS = ("gap", "snapshot", "cache", "override")
 
@@ -82,8 +84,11 @@ def price_index(book: DataFrame) -> DataFrame:
 
 
 def price_book(index: DataFrame) -> Column:
-    """The index as one map from slug to price: a scalar subquery, read once a query. A book has some thousands of entries, whatever the usage."""
-    return index.agg(F.map_from_entries(F.collect_list(F.struct("slug", "price")))).scalar()
+    """The index as one map from slug to price: a scalar subquery, read once a query, for groups by model, of which there are few. A book of more than MOST_IN_MAP keys is refused; resolved_prices() takes any."""
+    size = F.count("*")
+    whole = F.map_from_entries(F.collect_list(F.struct("slug", "price")))
+    refused = F.raise_error(F.concat(F.lit("a price book as a map has to be small, this one has "), size.cast("string"), F.lit(" keys"))).cast(index.select(F.map_from_arrays(F.array("slug"), F.array("price")).alias("m")).schema["m"].dataType)
+    return index.limit(MOST_IN_MAP + 1).agg(F.when(size > MOST_IN_MAP, refused).otherwise(whole)).scalar()
 
 
 def price_of(model: Column, book: Column) -> Column:
@@ -105,10 +110,32 @@ def with_price(rows: DataFrame, index: DataFrame, model: str) -> DataFrame:
     return rows.withColumn("price_book", price_book(index)).withColumn("price", price_of(F.col(model), F.col("price_book"))).drop("price_book")
 
 
+def prefixes(text: Column) -> Column:
+    """All beginnings of a text, itself included."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.substring(text, F.lit(1), n))
+
+
 def resolved_prices(models: DataFrame, index: DataFrame) -> DataFrame:
-    """(model, price) for the distinct ``model`` values."""
-    names = models.select("model").where("model is not null").distinct()
-    return with_price(names, index, "model")
+    """(model, price) for the distinct ``model`` values, by the rule of price_of().
+
+    A prefix index, joined by equality both ways: the beginnings of names meet keys, and the beginnings of keys meet names. Each distinct name is resolved once, and the
+    book is read three times whatever the number of names, and of rows; it is never compared key by key.
+    """
+    names = models.select("model").where("model is not null").distinct().withColumn("slug", price_slug(F.col("model"))).withColumn("canon", canonical_slug(F.col("slug")))
+    every = index.where("slug is not null").withColumnRenamed("slug", "key")
+    book = every.where("key <> ''")
+    plain = lambda c: F.regexp_replace(c, "-build$", "")
+    tried = F.array(F.col("slug"), plain(F.col("slug")), F.col("canon"), plain(F.col("canon")))
+    whole = names.select("model", F.posexplode(tried).alias("nth", "key")).join(every, "key").select("model", F.struct(F.lit(1).alias("whole"), (-F.col("nth")).alias("rank"), "key").alias("by"), "price")
+    near = names.where("canon is null and slug <> ''")
+    rank = F.struct(F.lit(0).alias("whole"), F.length("key").alias("rank"), "key").alias("by")
+    shorter = near.select("model", F.explode(prefixes(F.col("slug"))).alias("key")).join(book, "key").select("model", rank, "price")
+    # Of the keys that begin with a name one is enough; partial maxima are made before the shuffle.
+    begun = book.select("key", "price", F.explode(prefixes(F.col("key"))).alias("slug")).join(near.select("slug").distinct(), "slug", "left_semi")
+    longest = begun.groupBy("slug").agg(F.max_by(F.struct("key", "price"), F.struct(F.length("key").alias("n"), "key")).alias("best")).select("slug", "best.*")
+    longer = near.join(longest, "slug").select("model", rank, "price")
+    best = whole.unionByName(shorter).unionByName(longer).groupBy("model").agg(F.max_by("price", "by").alias("price"))
+    return names.select("model").join(best, "model", "left")
 
 
 def cost_of(price: str = "price") -> Column:
@@ -123,6 +150,12 @@ def cost_of(price: str = "price") -> Column:
     )
 
 
-def priced(rows: DataFrame, index: DataFrame, model: str = "billed_model") -> DataFrame:
-    """``rows`` with ``price`` and ``cost``, both null for models that no book prices. ``rows`` is read once: there is no join with its own names."""
-    return with_price(rows, index, model).withColumn("cost", cost_of())
+def priced(groups: DataFrame, index: DataFrame, model: str = "billed_model") -> DataFrame:
+    """``groups`` with ``price`` and ``cost``, both null for models that no book prices. They are read once, without a join with their own names; for rows in place of groups see priced_rows()."""
+    return with_price(groups, index, model).withColumn("cost", cost_of())
+
+
+def priced_rows(rows: DataFrame, index: DataFrame, model: str = "billed_model") -> DataFrame:
+    """The same for any number of rows and keys: each distinct name is resolved once and joined."""
+    found = resolved_prices(rows.select(F.col(model).alias("model")), index).withColumnRenamed("model", model)
+    return rows.join(found, model, "left").withColumn("cost", cost_of())

@@ -106,21 +106,34 @@ def unarchived_by_usage(spark, sf_dir):
     return upserts.unarchived(_accounts(spark), rows).select("account_hash", F.unix_seconds("archived_at").alias("archived_s"))
 
 
-@query(f"""WITH {_ACCOUNTS.replace('range(3)', 'range(2)')}, b AS (SELECT account_hash, mark, coalesce(mark < {SQL_NOW} - INTERVAL 7 DAY, false) AS stale FROM a)
-SELECT account_hash, stale, NOT stale AS active FROM b""")
+_OWNERS = """o AS (SELECT c_custkey AS k, substr(sha256(c_name), 1, 32) AS account_hash, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE lower(c_name) END || (c_custkey % 3) AS label,
+  CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-01-10' END AS archived, CASE WHEN c_custkey % 11 <> 0 THEN {now} - to_days((c_custkey % 15)::INT) END AS fetched FROM customer)"""
+
+
+def _owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An account for each customer: some archived, some not fetched for days, some never."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.substring(F.sha2("c_name", 256), 1, 32).alias("account_hash"), F.concat(F.when(k % 2 == 0, F.upper("c_name")).otherwise(F.lower("c_name")), k % 3).alias("label"),
+        F.when(k % 5 == 0, F.lit(dt.datetime(2024, 1, 10, tzinfo=UTC))).alias("archived_at"), F.when(k % 11 != 0, F.lit(NOW) - F.make_dt_interval(days=(k % 15).cast("int"))).alias("fetched_at"), "c_custkey",
+    )
+
+
+@query(f"""WITH {_OWNERS.format(now=SQL_NOW)}, b AS (SELECT *, coalesce(fetched < {SQL_NOW} - INTERVAL 7 DAY, false) AS stale FROM o)
+SELECT account_hash, stale, archived IS NULL AND NOT stale AS active, row_number() OVER (ORDER BY lower(label), account_hash)::INTEGER AS place FROM b""")
 def listed_accounts(spark, sf_dir):
-    rows = control.listed_accounts(_accounts(spark).withColumn("archived_at", F.lit(None).cast("timestamp")), NOW)
-    return rows.select("account_hash", "stale", "active")
+    return control.listed_accounts(_owners(spark, sf_dir), NOW).select("account_hash", "stale", "active", "place")
 
 
-@query(f"""WITH {_ACCOUNTS.replace('range(3)', 'range(2)')} SELECT account_hash, CASE WHEN account_hash = substr(sha256('acct-0'), 1, 32) THEN NULL ELSE epoch(mark)::BIGINT END AS restored_s, epoch(mark)::BIGINT AS archived_s FROM a""")
+@query(f"""WITH {_OWNERS.format(now=SQL_NOW)} SELECT account_hash, epoch(CASE WHEN k IN (5, 6) THEN coalesce(archived, {SQL_NOW}) ELSE archived END)::BIGINT AS archived_s, epoch(CASE WHEN k = 5 THEN NULL WHEN k = 6 THEN coalesce(archived, {SQL_NOW}) ELSE archived END)::BIGINT AS restored_s FROM o""")
 def archived_and_restored(spark, sf_dir):
-    """Archiving again keeps the earlier mark; restoring clears it."""
-    rows = _accounts(spark)
-    one = rows.where("label = 'Label0'").first().account_hash
-    again = control.set_archived(rows, one, NOW)
-    both = again.select("account_hash", F.unix_seconds("archived_at").alias("archived_s"))
-    return control.set_archived(again, one, None).select("account_hash", F.unix_seconds("archived_at").alias("restored_s")).join(both, "account_hash")
+    """Two accounts are archived, one of them again, which keeps the earlier mark; then that one is restored."""
+    rows = _owners(spark, sf_dir)
+    first, second = (rows.where(F.col("c_custkey") == k).first().account_hash for k in (5, 6))
+    both = control.set_archived(control.set_archived(rows, first, NOW), second, NOW)
+    after = control.set_archived(both, first, None)
+    seconds = lambda df, name: df.select("account_hash", F.unix_seconds("archived_at").alias(name))
+    return seconds(both, "archived_s").join(seconds(after, "restored_s"), "account_hash")
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +177,13 @@ def authorised_host(spark, sf_dir):
     return control.authorised_host(tokens, str(one))
 
 
-@query("SELECT c_custkey::VARCHAR AS host_id, c_name AS hostname FROM customer")
+@query("""WITH h AS (SELECT c_custkey::VARCHAR AS host_id, c_name AS hostname, CASE WHEN c_custkey % 7 <> 0 THEN TIMESTAMP '2024-01-01' + to_hours(((c_custkey * 37) % 101)::BIGINT) END AS seen FROM customer)
+SELECT host_id, hostname, row_number() OVER (ORDER BY seen DESC NULLS LAST, host_id)::INTEGER AS place FROM h""")
 def hosts_by_last_seen(spark, sf_dir):
-    return control.hosts_by_last_seen(_customers(spark, sf_dir)).select("host_id", "hostname")
+    """Machines with the time they were last seen, some never, and the place that each one has in the list."""
+    hours = ((F.col("host_id").cast("bigint") * 37) % 101).cast("int")
+    seen = F.when(F.col("host_id").cast("bigint") % 7 != 0, F.lit(dt.datetime(2024, 1, 1, tzinfo=UTC)) + F.make_dt_interval(hours=hours))
+    return control.hosts_by_last_seen(_customers(spark, sf_dir).withColumn("last_seen", seen)).select("host_id", "hostname", "place")
 
 
 @query(f"""SELECT 'j' || o_orderkey AS join_id FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 = 0""")

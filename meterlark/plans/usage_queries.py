@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_slug, display_model, joined_hash, price_slug, session_hash
 from ..functions.times import UTC, half_hour
 from ..operators import panels, views
-from ..operators.pricing import price_index, priced, resolved_prices
+from ..operators.pricing import price_index, priced_rows, resolved_prices
 from ..operators.scans import NUMBERS, Filter, daily_rollups, scan_buckets, scan_days
 from ..operators.usage import content_hash, usage_buckets, usage_sessions
 from ..session import new_folder
@@ -284,8 +284,8 @@ def hybrid_scan(spark, sf_dir):
 def price_exact_join(spark, sf_dir):
     rows = buckets_of(spark, sf_dir).withColumnRenamed("model", "billed_model").withColumn("bucket_s", F.unix_seconds("bucket_start"))
     index = prices(spark)
-    known = index.select("slug").where("slug is not null")  # keys of the book: a small table
-    exact = priced(rows, index).join(F.broadcast(known), F.regexp_replace(price_slug(F.col("billed_model")), "-build$", "") == F.col("slug"), "left_semi")
+    known = index.select("slug").where("slug is not null")
+    exact = priced_rows(rows, index).join(known, F.regexp_replace(price_slug(F.col("billed_model")), "-build$", "") == F.col("slug"), "left_semi")
     return exact.select("host_id", "source", "billed_model", "project", "bucket_s", F.round("cost", 9).alias("cost"))
 
 
@@ -315,7 +315,8 @@ def price_longest_prefix(spark, sf_dir):
 
 @query(f"{WITH} SELECT shown AS model, sum(total)::BIGINT AS total, coalesce(sum(total) FILTER (WHERE pslug IS NOT NULL), 0)::BIGINT AS priced_tokens, round(coalesce(sum(cost), 0), 9) AS cost_usd FROM costed GROUP BY shown")
 def cost_coverage(spark, sf_dir):
-    rows = priced(buckets_of(spark, sf_dir).withColumnRenamed("model", "billed_model"), prices(spark)).withColumn("model", display_model(F.col("billed_model")))
+    groups = buckets_of(spark, sf_dir).groupBy(F.col("model").alias("billed_model")).agg(*[F.sum(c).alias(c) for c in NUMBERS])
+    rows = priced_rows(groups, prices(spark)).withColumn("model", display_model(F.col("billed_model")))
     known = F.coalesce(F.sum(F.when(F.col("price").isNotNull(), F.col("total"))), F.lit(0))
     return rows.groupBy("model").agg(F.sum("total").alias("total"), known.alias("priced_tokens"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 9).alias("cost_usd"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import itertools
 import json
+import random
 
 import pytest
 from meterlark.engine import Engine
@@ -12,7 +13,7 @@ from meterlark.functions import times
 from meterlark.functions.numbers import text_count, variant_count
 from meterlark.functions.text import session_type_code, utc_offset
 from meterlark.operators import changes, control, upserts, views
-from meterlark.operators.pricing import layered_prices, price_index, prices_from_json, resolved_prices
+from meterlark.operators.pricing import layered_prices, price_index, priced, priced_rows, prices_from_json, resolved_prices, with_price
 from meterlark.operators.scans import Filter, daily_rollups, scan_days
 from meterlark.operators.upserts import Store
 from meterlark.plans import catalog
@@ -130,6 +131,28 @@ def test_prices(spark):
     assert resolved_prices(spark.createDataFrame([(None,), ("",)], "model string"), price_index(layered_prices(rows))).where("price is not null").count() == 0
 
 
+def test_names_resolve_alike_by_map_and_by_join(spark):
+    rng = random.Random(4)
+    keys = {"".join(rng.choice(["gpt", "-", "a", "5", "x/", "openai/", "composer-2", "-fast", "-build"]) for _ in range(rng.randint(1, 4))) for _ in range(300)}
+    book = spark.createDataFrame([(k, float(n), None, None, None, None) for n, k in enumerate(sorted(keys))], "key string, input double, output double, cache_read double, cache_write double, reasoning double")
+    index = price_index(book)
+    names = {"".join(rng.choice(["gpt", "-", "a", "5", "X/", "openai/", "composer-2", "-high", "-fast", "-build", "q"]) for _ in range(rng.randint(0, 5))) for _ in range(400)}
+    models = spark.createDataFrame([(n,) for n in sorted(names)] + [(None,), ("",), ("é",)], "model string")
+    by_map = {r.model: r.price and r.price.input for r in with_price(models.where("model is not null"), index, "model").collect()}
+    by_join = {r.model: r.price and r.price.input for r in resolved_prices(models, index).collect()}
+    assert by_join == by_map and len({v for v in by_join.values()}) > 30
+    rows = models.withColumnRenamed("model", "billed_model").withColumns({c: F.lit(2) for c in ("input", "output", "cache_read", "cache_creation", "reasoning")})
+    assert sorted(map(str, priced_rows(rows, index).select("billed_model", "cost").collect())) == sorted(map(str, priced(rows, index).select("billed_model", "cost").collect()))
+
+
+def test_a_large_book_is_joined_and_refused_as_a_map(spark):
+    book = spark.range(30_000).select(F.concat(F.lit("m"), "id").alias("slug"), F.struct(F.col("id").cast("double").alias("input")).alias("price"))
+    names = spark.createDataFrame([("m7-thinking",), ("M29999",), ("m2999",), ("zzz",)], "model string")
+    assert {r.model: r.price and r.price.input for r in resolved_prices(names, book).collect()} == {"m7-thinking": 7.0, "M29999": 29999.0, "m2999": 2999.0, "zzz": None}
+    with pytest.raises(Exception, match="has to be small"):
+        with_price(names, book, "model").collect()
+
+
 def test_tolerant_counts(spark):
     cases = {"5": 5, "5.5": 6, '"7"': 7, '"x"': 0, "true": 0, "null": 0, "-3": 0, "9007199254740993": 9007199254740993, "{}": 0}
     rows = spark.createDataFrame([(k,) for k in cases], "j string").select("j", variant_count(F.parse_json(F.concat(F.lit('{"v":'), "j", F.lit("}"))), "$.v").alias("n"))
