@@ -18,6 +18,8 @@ RAW_FIELDS = {
 }
 #: Shares of the input price that cache reads and writes cost where a book has no price for them (fixed values).
 READ_SHARE, WRITE_SHARE = 0.1, 1.25
+#: Keys of one text of a kept book.
+KEYS_A_TEXT = 5000
 #: Keys of a book that may be one map.
 MOST_IN_MAP = 20_000
 #: Layers of a book from weak to strong; "gap" rows only fill what none of the others has.
@@ -54,9 +56,11 @@ def imported_prices(spark: SparkSession, path: str, layer: str = "override") ->
 
 
 def keep_prices(rows: DataFrame, path: str, updated_at: str) -> None:
-    """Writes a price cache: a folder with one condensed JSON text, as read_prices() takes it. A book has some thousands of entries."""
+    """Writes a price cache: a folder of condensed JSON texts, one a file, each of about KEYS_A_TEXT keys, as read_prices() takes it."""
+    texts = max(1, -(-rows.count() // KEYS_A_TEXT))
     models = F.map_from_entries(F.collect_list(F.struct("key", F.struct(*PARTS))))
-    rows.agg(F.to_json(F.struct(F.lit(updated_at).alias("updated_at"), models.alias("models"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    each = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(texts)).cast("int").alias("text")).agg(models.alias("models"))
+    each.select(F.to_json(F.struct(F.lit(updated_at).alias("updated_at"), "models")).alias("value"), "text").repartitionById(texts, "text").drop("text").write.mode("overwrite").text(path)
 
 
 def model_count(book: DataFrame) -> DataFrame:

@@ -92,18 +92,18 @@ def hosts_keep_known_fields(spark, sf_dir):
     return upserts.upsert_hosts(stored, rows.where("seq >= 600")).select("host_id", "hostname", F.unix_micros("last_seen").alias("seen_us"), "agent_version", "timezone")
 
 
-_ACCOUNTS = "a AS (SELECT substr(sha256('acct-' || i), 1, 32) AS account_hash, make_timestamp(2024, 1, (10 + 15 * i)::INT, 0, 0, 0) AS mark FROM range(3) t(i))"
+_ACCOUNTS = "a AS (SELECT substr(sha256('acct-' || i), 1, 32) AS account_hash, make_timestamp(2024, (1 + i)::INT, 10, 0, 0, 0) AS mark FROM range(2) t(i))"
 
 
 def _accounts(spark: SparkSession) -> DataFrame:
-    mark = F.make_timestamp(F.lit(2024), F.lit(1), (10 + 15 * F.col("id")).cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    mark = F.make_timestamp(F.lit(2024), (F.col("id") + 1).cast("int"), F.lit(10), F.lit(0), F.lit(0), F.lit(0))
     return spark.range(0, 2, 1, 1).select(F.substring(F.sha2(F.concat(F.lit("acct-"), F.col("id")), 256), 1, 32).alias("account_hash"), F.concat(F.lit("Label"), "id").alias("label"), mark.alias("archived_at"), mark.alias("fetched_at"))
 
 
-@query(f"""WITH {SQL_USAGE}, {_ACCOUNTS.replace('range(3)', 'range(2)')} SELECT account_hash, CASE WHEN (SELECT max(bucket_start) FROM buckets WHERE host_id = 'acct:' || account_hash AND bucket_start < TIMESTAMP '2024-01-20') > mark THEN NULL ELSE epoch(mark)::BIGINT END AS archived_s FROM a""")
+@query(f"""WITH {SQL_USAGE}, {_ACCOUNTS} SELECT account_hash, CASE WHEN (SELECT max(bucket_start) FROM buckets WHERE host_id = 'acct:' || account_hash) > mark THEN NULL ELSE epoch(mark)::BIGINT END AS archived_s FROM a""")
 def unarchived_by_usage(spark, sf_dir):
-    rows = buckets_of(spark, sf_dir).where("bucket_start < timestamp '2024-01-20'")
-    return upserts.unarchived(_accounts(spark), rows).select("account_hash", F.unix_seconds("archived_at").alias("archived_s"))
+    """One account has usage after it was archived, one was archived after all usage."""
+    return upserts.unarchived(_accounts(spark), buckets_of(spark, sf_dir)).select("account_hash", F.unix_seconds("archived_at").alias("archived_s"))
 
 
 _OWNERS = """o AS (SELECT c_custkey AS k, substr(sha256(c_name), 1, 32) AS account_hash, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE lower(c_name) END || (c_custkey % 3) AS label,
@@ -326,33 +326,32 @@ def normalised_buckets(spark, sf_dir):
 # Prices
 
 
-def _price_texts(spark: SparkSession, sf_dir: str, divisor: int, condensed: bool) -> DataFrame:
-    """The parts table as one price table in JSON."""
-    price = F.format_string("%.2f", F.round(F.col("p_retailprice") / divisor, 2))
+def _price_texts(spark: SparkSession, sf_dir: str, factor: int, condensed: bool, when: str = "true") -> DataFrame:
+    """The parts table as price tables in JSON, one text for each 500 parts."""
+    price = F.format_string("%.2f", F.col("p_retailprice") * factor)
     entry = F.concat(F.lit('"m'), "p_partkey", F.lit('": {"input": '), price, F.lit(', "output": 2}')) if condensed else F.concat(F.lit('"m'), "p_partkey", F.lit('": {"input_cost_per_token": '), price, F.lit("}"))
-    rows = table(spark, sf_dir, "part").where(f"p_partkey % {2 if condensed else 3} = 0")
-    body = rows.agg(F.array_join(F.sort_array(F.collect_list(entry)), ", ").alias("b"))  # a price book, some thousands of entries
+    rows = table(spark, sf_dir, "part").where(when)
+    body = rows.groupBy(F.expr("p_partkey div 500")).agg(F.array_join(F.sort_array(F.collect_list(entry)), ", ").alias("b"))
     whole = F.concat(F.lit('{"updated_at": "2024-01-02T00:00:00Z", "models": {'), "b", F.lit("}}")) if condensed else F.concat(F.lit("{"), "b", F.lit("}"))
     return body.select(whole.alias("value"))
 
 
-@query("""SELECT 'm' || p_partkey AS key, round(p_retailprice / 2, 2) AS input, 2.0::DOUBLE AS output FROM part WHERE p_partkey % 2 = 0 UNION ALL
-SELECT 'm' || p_partkey, round(p_retailprice / 4, 2), 0.0 FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0""")
+@query("""SELECT 'm' || p_partkey AS key, round(p_retailprice * CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 4 END, 2) AS input, CASE WHEN p_partkey % 2 = 0 THEN 2.0 ELSE 0.0 END::DOUBLE AS output FROM part""")
 def layered_price_tables(spark, sf_dir):
-    """A cache in one form over a snapshot in the other."""
-    rows = prices_from_json(_price_texts(spark, sf_dir, 2, True), "cache").unionByName(prices_from_json(_price_texts(spark, sf_dir, 4, False), "snapshot"))
+    """A cache of half of the parts in one form over a snapshot of all in the other."""
+    rows = prices_from_json(_price_texts(spark, sf_dir, 2, True, "p_partkey % 2 = 0"), "cache").unionByName(prices_from_json(_price_texts(spark, sf_dir, 4, False), "snapshot"))
     return layered_prices(rows).select("key", "input", "output")
 
 
-@query("SELECT count(*) AS models FROM part WHERE p_partkey % 2 = 0")
+@query("SELECT count(*) AS models FROM part")
 def price_table_size(spark, sf_dir):
     return model_count(prices_from_json(_price_texts(spark, sf_dir, 2, True), "cache"))
 
 
-@query("""SELECT lower(p_brand) AS slug, min(p_retailprice) FILTER (WHERE p_partkey % 2 = 0) AS input FROM part GROUP BY 1 HAVING count(*) FILTER (WHERE p_partkey % 2 = 0) > 0""")
+@query("""SELECT lower(p_brand) AS slug, min(p_retailprice) AS input FROM part GROUP BY 1""")
 def price_slugs(spark, sf_dir):
     """Keys that name a provider rank behind plain ones; here each brand has one plain key and one behind a provider."""
-    plain = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("key")).agg(F.min("p_retailprice").alias("input"))
+    plain = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("key")).agg(F.min("p_retailprice").alias("input"))
     vendor = plain.select(F.concat(F.lit("openai/"), "key").alias("key"), (F.col("input") * 3).alias("input"))
     book = plain.unionByName(vendor).withColumns({p: F.lit(None).cast("double") for p in PARTS if p != "input"})
     return price_index(book).select("slug", F.col("price.input").alias("input"))
@@ -517,12 +516,12 @@ def streamed_half_hours(spark, sf_dir):
     return kept.read().select("source", "model", "project", F.unix_seconds("bucket_start").alias("bucket_s"), "input", "output")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE c_name END AS project, greatest(c_acctbal::BIGINT, 0) AS total, substr(repeat(c_name, 9), 1, 64) AS session_hash FROM customer WHERE c_acctbal % 1 <> 0.5""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE c_name END AS project, greatest(floor(c_acctbal)::BIGINT, 0) AS total, substr(repeat(c_name, 9), 1, 64) AS session_hash FROM customer""")
 def normalised_sessions(spark, sf_dir):
     counts = ("duration_seconds", "active_seconds", "message_count", "user_message_count", "input", "output", "cache_read")
-    rows = table(spark, sf_dir, "customer").where("c_acctbal % 1 <> 0.5").select(
+    rows = table(spark, sf_dir, "customer").select(
         "c_custkey", F.lit(" codex ").alias("source"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit(" "), "c_name")).alias("project"), F.repeat("c_name", F.lit(9)).alias("session_hash"),
-        F.round("c_acctbal").cast("bigint").alias("total"), *[F.lit(-1).cast("bigint").alias(c) for c in counts],
+        F.floor("c_acctbal").cast("bigint").alias("total"), *[F.lit(-1).cast("bigint").alias(c) for c in counts],
     )
     return normalized_sessions(rows).where("source = 'codex' and duration_seconds + input = 0").select("c_custkey", "project", "total", "session_hash")
 
@@ -533,7 +532,7 @@ def normalised_accounts(spark, sf_dir):
     return normalized_accounts(rows)
 
 
-@query("SELECT 'm' || p_partkey AS key, round(p_retailprice / 4, 2) AS input, 'cache' AS layer FROM part WHERE p_partkey % 3 = 0")
+@query("SELECT 'm' || p_partkey AS key, round(p_retailprice * 4, 2) AS input, 'cache' AS layer FROM part")
 def kept_prices(spark, sf_dir):
     """A price table written as a cache and read back."""
     folder = new_folder(spark, "price-cache")

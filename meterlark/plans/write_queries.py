@@ -108,14 +108,13 @@ def ingest_uploads(spark: SparkSession, sf_dir: str):
     return after.buckets.select("host_id", "source", "project", F.unix_seconds("bucket_start").alias("bucket_s"), "total")
 
 
-_STORED = f"""WITH {SQL_UPLOADS}, b AS (SELECT host_id, source, project, bucket_start, max(total) AS total FROM kept GROUP BY ALL)"""
+_STORED = f"""WITH {SQL_UPLOADS}, received AS (SELECT seq // 20 AS upload_id, max(moment) AS u FROM entries GROUP BY ALL), b AS (SELECT host_id, source, project, bucket_start, max(total) AS total FROM kept GROUP BY ALL)"""
 
 
 @query(f"""{_STORED} SELECT 'bucket' AS kind, host_id, source, project, epoch(bucket_start)::BIGINT AS at_s, total::BIGINT AS total FROM b
 UNION ALL SELECT 'rollup', host_id, source, project, epoch(date_trunc('day', bucket_start))::BIGINT, sum(total)::BIGINT FROM b GROUP BY ALL
-UNION ALL SELECT 'host', host_id, NULL, NULL, max(at_s), NULL FROM (
-  SELECT 'host' || (upload_id % 7) AS host_id, epoch(u)::BIGINT AS at_s FROM (SELECT seq // 20 AS upload_id, max(moment) AS u FROM entries GROUP BY ALL)
-  UNION ALL SELECT k.host_id, epoch(u)::BIGINT FROM kept k JOIN (SELECT seq // 20 AS upload_id, max(moment) AS u FROM entries GROUP BY ALL) USING (upload_id) WHERE k.source = 'cursor') GROUP BY host_id""")
+UNION ALL SELECT 'host', host_id, NULL, NULL, epoch(date_trunc('second', arg_max(u, {{'half': upload_id % 2, 'id': upload_id}})))::BIGINT, NULL FROM (SELECT *, 'host' || (upload_id % 7) AS host_id FROM received) GROUP BY host_id
+UNION ALL SELECT 'host', host_id, NULL, NULL, epoch(date_trunc('second', max(u)))::BIGINT, NULL FROM (SELECT host_id, u FROM kept JOIN received USING (upload_id) WHERE source = 'cursor' QUALIFY upload_id % 2 = max(upload_id % 2) OVER (PARTITION BY host_id)) GROUP BY host_id""")
 def stored_versions(spark: SparkSession, sf_dir: str):
     """Uploads of two halves as two versions of kept tables, the second half sent twice; between the two a writer dies before its version is in force."""
     store, uploads = SnapshotStore(spark, new_folder(spark, "store")), uploads_of(spark, sf_dir)

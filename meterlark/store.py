@@ -30,6 +30,7 @@ from .operators.scans import daily_rollups
 from .operators.upserts import Store
 from .operators.usage import normalized_accounts
 from .schema import ACCOUNT, BUCKET, HOST, SESSION
+from .session import shared_folder
 
 SESSION_PARTS = 64
 NUMBERS = [f.name for f in BUCKET.fields if f.name not in upserts.BUCKET_KEY]
@@ -206,15 +207,16 @@ class SnapshotStore:
     def stage(self, write: Write, uploads: DataFrame) -> DataFrame:
         """Writes what uploads change, without putting it in force, and gives the response to them."""
         base = write.base
+        # Read several times below, and cut from its lineage so that all readings are one.
+        shared_folder(self.spark)
+        uploads = uploads.checkpoint()
         batch = upserts.new_buckets(uploads).select(*[f.name for f in BUCKET.fields], "account_hash", "account_label", "received_at", "seq")
         sessions = upserts.new_sessions(uploads)
         days = _parts_in(batch, "buckets")
         stored = base.read("buckets", days)
         answer = upserts.response(stored, uploads)
         answer = self.spark.createDataFrame(answer.collect(), answer.schema)  # one row; it rests on the version before
-        if days:
-            after = write.put("buckets", upserts.upsert_buckets(stored, batch.select(*stored.columns, "seq")), days)
-            write.put("rollups", daily_rollups(after).select(*base.read("rollups", []).columns), days)
+        self._put_buckets(write, stored, batch, days)
         slices = _parts_in(sessions, "sessions")
         if slices:
             kept = base.read("sessions", slices)
@@ -225,6 +227,25 @@ class SnapshotStore:
         write.put("accounts", upserts.accounts_after(accounts, fresh, batch), ["all"])
         return answer
 
+    def _put_buckets(self, write: Write, stored: DataFrame, batch: DataFrame, days: list[str]) -> None:
+        """The touched days of buckets, and of their rollups, which are added up anew: no drift, and doing it twice is doing it once."""
+        if days:
+            after = write.put("buckets", upserts.upsert_buckets(stored, batch.select(*stored.columns, "seq")), days)
+            write.put("rollups", daily_rollups(after).select(*write.base.read("rollups", []).columns), days)
+
+    def upsert_buckets(self, batch: DataFrame, tries: int = 3) -> Snapshot:
+        """Takes rows of schema.BUCKET with ``seq`` as one version. On a Conflict the work is done again on the version that won."""
+        for attempt in range(tries):
+            write = self.begin()
+            days = _parts_in(batch, "buckets")
+            self._put_buckets(write, write.base.read("buckets", days), batch, days)
+            try:
+                return self.commit(write) if days else write.base
+            except Conflict:
+                if attempt + 1 == tries:
+                    raise
+        raise ValueError("tries has to be at least 1")
+
     def replace(self, **tables: DataFrame) -> Snapshot:
         """A version in which whole tables are replaced; what is not named stays."""
         write = self.begin()

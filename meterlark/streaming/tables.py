@@ -1,4 +1,4 @@
-"""Kept tables as folders of Parquet, and the streams that write to them.
+"""Streams that write to kept tables.
 
 Uploads may bring any old bucket at any time, so these streams have no watermark: a late row is an upsert like any other.
 Every write is idempotent, so a batch that is repeated after a failure changes nothing.
@@ -10,33 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upserts import new_buckets, touched_days, upsert_buckets
+from ..operators.upserts import new_buckets
 from ..operators.usage import sums
 from ..schema import BUCKET, TOKENS, UPLOAD
-
-def stored_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """What a folder holds; no rows where it is not there yet."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
+from ..store import SnapshotStore
 
 class BucketTable:
-    """Half-hour buckets in a folder, partitioned by UTC day. An upsert reads and rewrites the touched days alone."""
+    """Half-hour buckets and their daily rollups as a SnapshotStore. An upsert reads and rewrites the touched days alone, and readers see all of it or nothing."""
+
+    #: Versions after which old ones are removed.
+    VACUUM_EVERY = 50
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BUCKET.fields) + ", day DATE"
+        self.store = SnapshotStore(spark, path)
 
     def read(self) -> DataFrame:
-        return stored_rows(self.spark, self.path, self.schema)
+        return self.store.open().read("buckets")
 
     def upsert(self, batch: DataFrame) -> None:
-        """Takes rows of schema.BUCKET with ``seq``. Days that the batch does not touch are neither read nor written."""
-        touched = self.read().join(touched_days(batch), "day", "left_semi").drop("day")
-        merged = upsert_buckets(touched, batch).withColumn("day", F.to_date("bucket_start"))
-        # Dynamic overwrite replaces partitions only when all their new files are there, so it may read what it replaces.
-        merged.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
+        """Takes rows of schema.BUCKET with ``seq``. A batch that is repeated after a failure changes nothing, wherever the failure was."""
+        version = self.store.upsert_buckets(batch).version
+        if version % self.VACUUM_EVERY == 0:
+            self.store.vacuum()
 
 
 def upload_stream(spark: SparkSession, landing: str) -> DataFrame:
