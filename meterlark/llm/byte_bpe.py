@@ -32,8 +32,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import Scratch, fresh_name
 
 #: Words of the dictionary at most, bytes of each at most, and documents from which they are taken.
-DICTIONARY_WORDS, LONGEST_KNOWN, SAMPLED_DOCS = 400_000, 64, 20_000
-SLOTS = 1 << 16
+DICTIONARY_WORDS, LONGEST_KNOWN, SAMPLED_DOCS = 500_000, 64, 30_000
+SLOT_BITS = 16
 
 
 def default_ranks() -> str:
@@ -132,15 +132,15 @@ def in_classes(pattern: str, inside: dict[str, str]) -> str:
 
 
 def slotted(rows: DataFrame, key: str, value: Column) -> DataFrame:
-    """One row with an array of SLOTS maps; a key is in the map of its hash. ``rows`` are bounded."""
+    """One row with an array of 2 ** SLOT_BITS maps; a key is in the map of its hash. ``rows`` are bounded."""
     maps = rows.groupBy(slot_of(F.col(key)).alias("slot")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), value))).alias("found"))
-    every = rows.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(maps, "slot", "left")
+    every = rows.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot")).join(maps, "slot", "left")
     ordered = F.array_sort(F.collect_list(F.struct("slot", "found")), lambda x, y: x["slot"] - y["slot"])
     return every.agg(F.transform(ordered, lambda x: x["found"]).alias("slots"))
 
 
 def slot_of(key: Column) -> Column:
-    return F.pmod(F.hash(key), F.lit(SLOTS))
+    return F.shiftrightunsigned(F.hash(key), 32 - SLOT_BITS)
 
 
 def found_in(slots: Column, key: Column) -> Column:
@@ -162,34 +162,35 @@ def with_tables(rows: DataFrame, tables: Column, name: str, use) -> DataFrame:
 # The fold
 
 
-def merged_once(body: Column, starts: Column, pairs: Column, ranks: Column) -> Column:
-    """(starts, pairs) after merging the leftmost pair of the lowest rank; as they are if no pair has one."""
-    rank = lambda at, k: found_in(ranks, F.substring(body, F.get(at, k), F.get(at, k + 2) - F.get(at, k)))  # noqa: E731  of pieces k and k + 1
+def merged_once(body: Column, state: Column, ranks: Column) -> Column:
+    """The state (starts, pairs) after merging the leftmost pair of the lowest rank; as it is if no pair has one."""
+    starts, pairs = state["starts"], state["pairs"]
+    rank = lambda at, k: found_in(ranks, F.substring(body, F.get(at, k), F.get(at, k + 2) - F.get(at, k)))  # noqa: E731  of pieces k and k + 1; null beyond the ends
 
-    def at_place(k: Column) -> Column:
-        every = F.lit(1 << 30)
-        return let(F.concat(F.slice(starts, 1, k + 1), F.slice(starts, k + 3, every)), lambda left: F.struct(
-            left.alias("starts"),
-            F.concat(F.slice(pairs, 1, F.greatest(k - 1, F.lit(0))), F.when(k > 0, F.array(rank(left, k - 1))).otherwise(none), F.when(k + 2 < F.size(left), F.array(rank(left, k))).otherwise(none), F.slice(pairs, k + 3, every)).alias("pairs"),
-        ))
+    def at_place(place: Column) -> Column:
+        k = place - 2
+        left = F.array_remove(starts, F.get(starts, k + 1))
+        return let(left, lambda at: F.struct(at.alias("starts"), F.concat(F.slice(pairs, 1, k), F.array(rank(at, k - 1), rank(at, k)), F.slice(pairs, place + 2, F.lit(1 << 30))).alias("pairs")))
 
-    none = F.array().cast("array<int>")
-    best = F.array_min(pairs)
-    return F.when(best.isNull(), F.struct(starts.alias("starts"), pairs.alias("pairs"))).otherwise(let((F.array_position(pairs, best) - 1).cast("int"), at_place))
+    return let(F.array_position(pairs, F.array_min(pairs)).cast("int"), lambda place: F.when(place.isNull(), state).otherwise(at_place(place)))
 
 
 def folded(word: Column, ranks: Column, quads: Column) -> Column:
-    """The packed ids (a string of bytes) of a word that is not empty. The state of the fold is where each piece starts (and where the last one ends), and the rank of each piece with the next."""
+    """The packed ids (a string of bytes) of a word that is not empty.
+
+    The state of the fold is where each piece starts (and where the last one ends), and the rank of each piece with the next, between two nulls that stand for the ends.
+    """
 
     def fold(body: Column) -> Column:
         length = F.octet_length(body)
-        pairs = F.transform(F.sequence(F.lit(1), length - 1), lambda i: found_in(ranks, F.substring(body, i, F.lit(2))))
+        none = F.lit(None).cast("int")
+        # substring() takes 0 for 1, so the null in front is one of its own; the one behind is the last byte with nothing after it.
+        pairs = F.transform(F.sequence(F.lit(0), length), lambda i: F.when((i > 0) & (i < length), found_in(ranks, F.substring(body, i, F.lit(2)))).otherwise(none))
         begin = F.struct(F.sequence(F.lit(1), length + 1).alias("starts"), pairs.alias("pairs"))
-        done = F.aggregate(F.sequence(F.lit(2), length), begin, lambda state, _: merged_once(body, state["starts"], state["pairs"], ranks))["starts"]
-        return let(done, lambda at: F.array_join(F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda k: packed(found_in(ranks, F.substring(body, F.get(at, k), F.get(at, k + 1) - F.get(at, k))))), ""))
+        done = F.aggregate(F.sequence(F.lit(1), length), begin, lambda state, _: merged_once(body, state, ranks))["starts"]
+        return let(done, lambda at: F.array_join(F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda k: F.get(quads, found_in(ranks, F.substring(body, F.get(at, k), F.get(at, k + 1) - F.get(at, k))))), ""))
 
-    packed = lambda rank: F.get(quads, rank)
-    return let(word.cast("binary"), lambda body: let(found_in(ranks, body), lambda whole: F.when(whole.isNotNull(), packed(whole)).otherwise(fold(body))))
+    return let(word.cast("binary"), fold)
 
 
 class ByteBpe:
