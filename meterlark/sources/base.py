@@ -6,10 +6,13 @@ Without a store (sources.incremental.LogStore, which reads ranges of bytes) a lo
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from concurrent.futures import ThreadPoolExecutor
 from copy import copy
 from dataclasses import dataclass
 from functools import reduce
+from uuid import uuid4
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from ..functions.numbers import variant_count
 from ..functions.times import log_time
 from ..schema import ENTRY, EVENT
 
+REPORT = "source string, ok boolean, files bigint, entries bigint, events bigint, error string"
+
 
 @dataclass(frozen=True)
 class Usage:
@@ -64,34 +69,45 @@ def together(spark: SparkSession, found: list[Usage]) -> Usage:
     return Usage(entries, reduce(DataFrame.unionByName, [u.events for u in found], spark.createDataFrame([], EVENT)))
 
 
-def collect_all(spark: SparkSession, sources: list[tuple[SourceAdapter, list[str]]], folder: str) -> tuple[Usage, DataFrame]:
-    """Reads each source into tables below ``folder``, so that one that fails while it runs does not stop the others.
+def collect_all(spark: SparkSession, sources: list[tuple[SourceAdapter, list[str]]], folder: str, at_once: int = 4) -> tuple[Usage, DataFrame]:
+    """Reads each source into tables below ``folder``, up to ``at_once`` of them at a time, so that one that fails while it runs does not stop the others.
+
+    Each runs under a tag and a scheduler pool of its own: a small source gets its share of the executors beside a large one (with spark.scheduler.mode=FAIR), and
+    what a failed one has left running is stopped, alone.
 
-    The report has a row per source: (source, ok, files, entries, events, error). A source with files of which nothing could be parsed
+    The report has a row per source, in the order given: (source, ok, files, entries, events, error). A source with files of which nothing could be parsed
     is not ok: what a collector remembers of it must stay (operators.changes.pruned).
     """
-    found, report = [], []
-    for adapter, roots in sources:
+
+    def collect(nth: int, adapter: SourceAdapter, roots: list[str]) -> tuple[Usage | None, tuple]:
+        tag = f"source-{nth}-{uuid4().hex}"
         files = entries = events = 0
-        error = None
+        kept = error = None
+        spark.addTag(tag)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", adapter.name)
         try:
             roots = roots_of(spark, roots)
-            if not roots:  # nothing to read is no failure
-                report.append((adapter.name, True, 0, 0, 0, None))
-                continue
-            usage = adapter.read(spark, roots)
-            at = f"{folder}/{adapter.name}"
-            usage.entries.write.mode("overwrite").parquet(f"{at}/entries")
-            usage.events.write.mode("overwrite").parquet(f"{at}/events")
-            kept = Usage(spark.read.schema(ENTRY).parquet(f"{at}/entries"), spark.read.schema(EVENT).parquet(f"{at}/events"))
-            entries, events, files = kept.entries.count(), kept.events.count(), listed_files(spark, roots, adapter.glob).count()
-            if files and not entries and not events:
-                error = "nothing could be parsed"
-            found.append(kept)
+            if roots:  # nothing to read is no failure
+                usage = adapter.read(spark, roots)
+                at = f"{folder}/{adapter.name}"
+                usage.entries.write.mode("overwrite").parquet(f"{at}/entries")
+                usage.events.write.mode("overwrite").parquet(f"{at}/events")
+                kept = Usage(spark.read.schema(ENTRY).parquet(f"{at}/entries"), spark.read.schema(EVENT).parquet(f"{at}/events"))
+                entries, events, files = kept.entries.count(), kept.events.count(), listed_files(spark, roots, adapter.glob).count()
+                if files and not entries and not events:
+                    error = "nothing could be parsed"
         except Exception as e:  # noqa: BLE001  one source must not stop the others
-            error = str(e).split("\n")[0]
-        report.append((adapter.name, error is None, files, entries, events, error))
-    return together(spark, found), spark.createDataFrame(report, "source string, ok boolean, files bigint, entries bigint, events bigint, error string")
+            kept, error = None, str(e).split("\n")[0]
+            spark.interruptTag(tag)
+        finally:
+            spark.removeTag(tag)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+        return kept, (adapter.name, error is None, files, entries, events, error)
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(sources)))) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(collect), n, adapter, roots) for n, (adapter, roots) in enumerate(sources)]
+        done = [w.result() for w in waiting]
+    return together(spark, [kept for kept, _ in done if kept]), spark.createDataFrame([row for _, row in done], REPORT)
 
 
 def plain_path() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import threading
 
 import pytest
 from meterlark.functions.times import first_of_month, since_time
@@ -104,7 +105,37 @@ def test_a_source_that_fails_does_not_stop_the_others(spark, tmp_path):
     write(tmp_path / "x" / "s.jsonl", [{"type": "session_meta", "timestamp": "2026-01-15T10:00:00Z", "payload": {"id": "q"}}])
     usage, report = collect_all(spark, [(ClaudeLogs(), [str(tmp_path / "c")]), (PiLogs(), [str(tmp_path / "p")]), (Broken(), [str(tmp_path / "x")]), (CodexLogs(), [str(tmp_path / "none")])], str(tmp_path / "out"))
     assert usage.entries.count() == 1
-    assert sorted((r.source, r.ok, r.files, r.entries) for r in report.collect()) == [("claude-code", True, 1, 1), ("codex", False, 0, 0), ("codex", True, 0, 0), ("pi", False, 1, 0)]
+    assert [(r.source, r.ok, r.files, r.entries) for r in report.collect()] == [("claude-code", True, 1, 1), ("pi", False, 1, 0), ("codex", False, 0, 0), ("codex", True, 0, 0)]
+
+
+def test_sources_overlap_up_to_the_limit(spark, tmp_path):
+    write(tmp_path / "c" / "projects" / "-x" / "s.jsonl", [call("a", "r", 1, input_tokens=5)])
+    lock, inside, most = threading.Lock(), 0, []
+
+    class Slow(ClaudeLogs):
+        def __init__(self, name, both):
+            self.name, self.both = name, both
+
+        def read(self, spark, roots):
+            nonlocal inside
+            with lock:
+                inside += 1
+                most.append(inside)
+            if self.both:
+                self.both.wait(60)  # passes only once two are here
+            try:
+                if self.name == "s1":
+                    raise ValueError("no such log")
+                return super().read(spark, roots)
+            finally:
+                with lock:
+                    inside -= 1
+
+    for limit, both in ((2, threading.Barrier(2)), (1, None)):
+        most.clear()
+        usage, report = collect_all(spark, [(Slow(f"s{k}", both), [str(tmp_path / "c")]) for k in range(4)], str(tmp_path / f"out{limit}"), at_once=limit)
+        assert [(r.source, r.ok, r.entries) for r in report.collect()] == [("s0", True, 1), ("s1", False, 0), ("s2", True, 1), ("s3", True, 1)]
+        assert max(most) == limit and usage.entries.count() == 3
 
 
 def test_roots_count_once(spark, tmp_path):
