@@ -3,7 +3,7 @@
 Bytes are embedded, learned filters run over every position, and each filter's largest response is kept for each
 chunk (CHUNK bytes, overlapping by half, covering the whole document). A small layer turns a chunk's responses into
 features; their maximum and mean over the document's chunks give one probability of label 1. All layers are trained
-together by gradient steps (Adam) on a bounded sample of labelled rows (SAMPLE_PER_CLASS of either class); the
+together by gradient steps (Adam), each over all chunks of the documents it draws, on a bounded sample of labelled rows (SAMPLE_PER_CLASS of either class); the
 intercept is corrected for the share of label 1 among all rows it may learn from.
 
 Defined results: null and empty texts are scored as one empty chunk. Every row gets a score; repeated rows get equal
@@ -30,8 +30,8 @@ WIDTH = 7
 EMBED = 8
 FILTERS = 24
 HIDDEN = 16
-#: Chunks of a document that a training step looks at, drawn from the whole of it.
-STEP_CHUNKS = 6
+#: Chunks whose gradients are held at once.
+STEP_CHUNKS = 4096
 #: Bytes convolved at once; a longer text goes through in parts.
 STRETCH = 1 << 17
 
@@ -80,35 +80,35 @@ def score(text: str | None, p: Params) -> float:
     return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
 
-def training_chunks(data: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """STEP_CHUNKS chunks of a document (zero-padded) and their sizes; all of them if there are no more."""
-    count = max(1, -(-len(data) // HALF) - 1)
-    at = np.arange(count) if count <= STEP_CHUNKS else np.sort(rng.choice(count, STEP_CHUNKS, replace=False))
-    out, size = np.zeros((len(at), CHUNK + WIDTH - 1), np.uint8), np.zeros(len(at), np.int64)
-    for k, start in enumerate(at * HALF):
-        part = data[start : start + CHUNK + WIDTH - 1]
-        out[k, : len(part)] = part
-        size[k] = max(1, min(CHUNK, len(data) - start))
-    return out, size
-
-
-def step(docs: list[np.ndarray], y: np.ndarray, p: Params, rng: np.random.Generator) -> tuple[float, Params]:
-    """Loss and gradients over a few documents."""
-    pairs = [training_chunks(d, rng) for d in docs]
-    data, size = np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
-    owner = np.repeat(np.arange(len(docs)), [len(b) for _, b in pairs])
-    n = len(data)
-    e = p["embed"][data]
-    windows = np.lib.stride_tricks.as_strided(e, (n, CHUNK, WIDTH * EMBED), (e.strides[0], e.strides[1], e.strides[2]))
-    r = (windows.reshape(n * CHUNK, -1) @ p["filters"]).reshape(n, CHUNK, FILTERS)
-    r[np.arange(CHUNK)[None, :] >= size[:, None]] = -1e9
-    where = r.argmax(1)
-    pooled = np.take_along_axis(r, where[:, None, :], 1)[:, 0, :] + p["bias"]
-    x = np.hstack([np.maximum(pooled, 0), (size / CHUNK)[:, None]]).astype(np.float32)
+def pooled_places(data: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The largest response of each filter in each chunk of a text, and the byte at which it starts; as halves() has it, for all of the text."""
+    padded = np.concatenate([data, np.zeros(WIDTH - 1 + (len(data) == 0), np.uint8)])
+    n, tops, places = max(1, len(data)), [], []
+    for at in range(0, n, STRETCH):
+        r = responses(padded[at : min(n, at + STRETCH) + WIDTH - 1], p)
+        short = -len(r) % HALF
+        r = np.concatenate([r, np.full((short, FILTERS), -np.inf, r.dtype)]).reshape(-1, HALF, FILTERS)
+        place = r.argmax(1)
+        tops.append(np.take_along_axis(r, place[:, None, :], 1)[:, 0, :])
+        places.append(place + at + HALF * np.arange(len(r))[:, None])
+    top, place = np.concatenate(tops), np.concatenate(places)
+    if len(top) == 1:
+        return top, place
+    later = top[1:] > top[:-1]
+    return np.where(later, top[1:], top[:-1]), np.where(later, place[1:], place[:-1])
+
+
+def step(docs: list[np.ndarray], y: np.ndarray, p: Params) -> tuple[float, Params]:
+    """Loss and gradients over a few documents, all chunks of each."""
+    found = [pooled_places(d, p) for d in docs]
+    lens = np.array([len(top) for top, _ in found])
+    starts, owner = np.cumsum(lens) - lens, np.repeat(np.arange(len(docs)), lens)
+    pooled = np.concatenate([top for top, _ in found]) + p["bias"]
+    sizes = np.ones((len(pooled), 1), np.float32)
+    sizes[starts + lens - 1, 0] = [(len(d) - HALF * (k - 1)) / CHUNK for d, k in zip(docs, lens)]
+    x = np.hstack([np.maximum(pooled, 0), sizes]).astype(np.float32)
     pre = x @ p["hidden"] + p["hidden_bias"]
     h = np.maximum(pre, 0)
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    lens = np.diff(np.r_[starts, n])
     top, mean = np.maximum.reduceat(h, starts, axis=0), np.add.reduceat(h, starts, axis=0) / lens[:, None]
     doc = np.hstack([top, mean])
     z = doc @ p["out"] + p["out_bias"][0]
@@ -123,13 +123,17 @@ def step(docs: list[np.ndarray], y: np.ndarray, p: Params, rng: np.random.Genera
     dpre = (dh * (pre > 0)).astype(np.float32)
     g |= {"hidden": x.T @ dpre, "hidden_bias": dpre.sum(0)}
     dpool = (dpre @ p["hidden"].T)[:, :FILTERS] * (pooled > 0)
-    g["bias"] = dpool.sum(0)
-    chosen = windows[np.arange(n)[:, None], where]  # chunk, filter, window
-    g["filters"] = np.einsum("nfk,nf->kf", chosen, dpool)
-    dwin = dpool[:, :, None] * p["filters"].T[None]
-    at = data[np.arange(n)[:, None, None], where[:, :, None] + np.arange(WIDTH)]
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], at.ravel(), dwin.reshape(-1, EMBED))
+    g |= {"bias": dpool.sum(0), "filters": np.zeros_like(p["filters"]), "embed": np.zeros_like(p["embed"])}
+    # The window of each chunk's largest response is all that the filters and the embedding learn from.
+    padded = [np.concatenate([d, np.zeros(WIDTH, np.uint8)]) for d in docs]
+    begins = np.cumsum([0, *map(len, padded[:-1])])
+    data, place = np.concatenate(padded), np.concatenate([at for _, at in found]) + begins[owner][:, None]
+    for k in range(0, len(place), STEP_CHUNKS):
+        part, d = data[place[k : k + STEP_CHUNKS, :, None] + np.arange(WIDTH)], dpool[k : k + STEP_CHUNKS]
+        windows = p["embed"][part].reshape(*part.shape[:2], -1)  # chunk, filter, window
+        g["filters"] += np.einsum("nfk,nf->kf", windows, d)
+        moved, seen = (d[:, :, None] * p["filters"].T[None]).reshape(-1, EMBED), part.ravel()
+        g["embed"] += np.stack([np.bincount(seen, moved[:, e], 256) for e in range(EMBED)], 1).astype(p["embed"].dtype)
     return float(loss), g
 
 
@@ -147,7 +151,7 @@ def fit(texts: list[str], labels: list[int], share: float, steps: int = 1200, ba
     sides = [np.flatnonzero(y == k) for k in (0, 1)]
     for t in range(1, steps + 1):
         picked = np.concatenate([rng.choice(s, batch // 2) for s in sides])
-        _, g = step([data[i] for i in picked], y[picked], p, rng)
+        _, g = step([data[i] for i in picked], y[picked], p)
         now = rate * min(1.0, 2 * (steps - t) / steps + 0.02)
         for k in p:
             first[k] += 0.1 * (g[k] - first[k])

@@ -159,12 +159,28 @@ def test_gradients_against_differences():
     p = quality.fit(["a" * 300, "b" * 300], [0, 1], 0.5, steps=1)
     p = {k: v.astype(np.float64) for k, v in p.items()}
     y = np.array([1.0, 0.0, 1.0])
-    _, g = quality.step(docs, y, p, np.random.default_rng(0))
+    _, g = quality.step(docs, y, p)
     for k in ("filters", "bias", "hidden", "out", "out_bias", "embed"):
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         sides = []
         for move in (1e-3, -1e-3):
             moved = {**p, k: p[k].copy()}
             moved[k][at] += move
-            sides.append(quality.step(docs, y, moved, np.random.default_rng(0))[0])
+            sides.append(quality.step(docs, y, moved)[0])
         assert abs((sides[0] - sides[1]) / 2e-3 - g[k][at]) < 0.05 * abs(g[k][at]) + 5e-4, k
+
+
+def test_a_step_looks_at_whole_texts_as_scoring_does(monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(97, 110, n).astype(np.uint8) for n in (0, 1, 128, 129, 256, 5000)]
+    p = quality.fit(["a" * 300, "b" * 300], [0, 1], 0.5, steps=3)
+    for y in (0.0, 1.0):
+        for d in docs:
+            said = 1 / (1 + np.exp(-quality.head(quality.chunk_inputs(d, p), p)))
+            assert abs(quality.step([d], np.array([y]), p)[0] + np.log(said if y else 1 - said)) < 1e-4
+    y = np.array([0.0, 1.0] * 3)
+    loss, whole = quality.step(docs, y, p)
+    monkeypatch.setattr(quality, "STEP_CHUNKS", 7)
+    monkeypatch.setattr(quality, "STRETCH", 512)
+    again, parts = quality.step(docs, y, p)
+    assert abs(loss - again) < 1e-5 and all(np.allclose(whole[k], parts[k], atol=1e-5) for k in whole)
