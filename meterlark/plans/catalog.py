@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import table_queries, write_queries  # noqa: F401  importing registers their queries
+from . import stream_queries, table_queries, write_queries  # noqa: F401  importing registers their queries
 from .usage_queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
