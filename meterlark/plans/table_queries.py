@@ -599,18 +599,17 @@ FROM t, (VALUES ('first'), ('choosy'), ('breaks'), ('down')) d(destination), (VA
 def sent_to_all(spark, sf_dir):
     """Two rounds to four destinations: one takes all, one does not know a source, one refuses the token after two batches of its first round, one cannot be reached."""
     rows = buckets_of(spark, sf_dir).select(F.lit("bucket").alias("kind"), client_key("host_id").alias("key"), content_hash().alias("hash"), "source", F.lit("").alias("body"))
-    journal, taken = Journal(spark, new_folder(spark, "sent")), []
+    journal = Journal(spark, new_folder(spark, "sent"))
 
-    def breaks(batch: Batch) -> Answer:
-        if len(taken) == 2:
-            taken.append(None)  # refused once
+    def refused_once(batch: Batch) -> Answer:
+        if batch.number == 2:
             raise Refused(401)
-        taken.append(batch.number)
         return Answer()
 
     def down(batch: Batch) -> Answer:
         raise ConnectionError("no route")
 
-    to = {"first": lambda batch: Answer(), "choosy": lambda batch: Answer(unknown=["codex"]), "breaks": breaks, "down": down}
-    found = [deliver(rows, journal, to, wait=lambda s: None).withColumn("round", F.lit(n)) for n in (1, 2)]
+    to = {"first": lambda batch: Answer(), "choosy": lambda batch: Answer(unknown=["codex"]), "down": down}
+    breaks = {1: refused_once, 2: lambda batch: Answer()}
+    found = [deliver(rows, journal, {**to, "breaks": breaks[n]}, wait=lambda s: None, on_executors=True).withColumn("round", F.lit(n)) for n in (1, 2)]
     return found[0].unionByName(found[1]).select("destination", "round", F.col("changed_buckets").alias("sent"), "ok", "error_kind")

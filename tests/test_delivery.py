@@ -150,3 +150,56 @@ def test_kinds_of_errors_and_records(spark):
     waits = []
     deliver(rows(spark, 1, 0), Journal(spark, new_folder(spark, "journal")), {"d": Taker({1: TimeoutError(), 2: TimeoutError()})}, wait=waits.append)
     assert waits == [0.4, 0.8] and math.isclose(sum(waits), 1.2)
+
+
+def test_tasks_send_in_lanes(spark, monkeypatch):
+    """The first batches in order, the others in lanes: one file of records a lane, and a round after a failure sends what is missing alone."""
+    monkeypatch.setattr(delivery, "BATCH_BUCKETS", 2)
+    monkeypatch.setattr(delivery, "FIRST_BATCHES", 3)
+    monkeypatch.setattr(delivery, "LANE_BATCHES", 10)
+
+    def at(number):
+        def send(batch):
+            if batch.number == number:
+                raise Refused(401)
+            return Answer(ingested=len(batch.buckets), sessions=len(batch.sessions), unknown=["odd"])
+
+        return send
+
+    def down(batch):
+        raise ConnectionError("no route")
+
+    journal = Journal(spark, new_folder(spark, "journal"))
+    report = quietly(rows(spark, 100, 7), journal, {"all": at(None), "x y/z": at(1), "late": at(5), "down": down}, on_executors=True)
+    # Batches 3 to 49 go in the lanes 3, 13, 23, 33 and 43; batch 5 ends the first of these alone.
+    assert {k: (r.ok, r.error_kind, r.changed_buckets, r.changed_sessions, r.ingested) for k, r in report.items()} == {"all": (True, None, 100, 7, 100), "x y/z": (False, "auth", 2, 7, 2), "late": (False, "auth", 84, 7, 84), "down": (False, "retryable", 0, 0, 0)}
+    folders = delivery.names_in(spark, f"{journal.root}/rounds/1/acks")
+    assert len(folders) == 6 + 1 + 6 and all(len(delivery.names_in(spark, f"{journal.root}/rounds/1/acks/{f}", "")) <= 2 for f in folders)
+    again = quietly(rows(spark, 100, 7), journal, {k: at(None) for k in report}, on_executors=True)
+    # The 20 of an unknown source stay unsent wherever they were taken.
+    sent = {r.destination: r.n for r in journal.spark.read.schema(delivery.PLAN).parquet(f"{journal.root}/rounds/2/plan").selectExpr("destination", "size(rows) as n").groupBy("destination").agg({"n": "sum"}).toDF("destination", "n").collect()}
+    assert sent == {k: again[k].changed_buckets + again[k].changed_sessions for k in again} and sent["all"] == 20 and sent["down"] == 107
+    # Nothing to send: the sender is told to live, by a task as well.
+    assert quietly(rows(spark, 0, 1), journal, {"all": down, "late": at(0)}, on_executors=True)["all"].error_kind == "retryable"
+
+
+def test_a_lane_that_runs_again_skips_its_records(spark, tmp_path):
+    seen = []
+
+    def send(batch):
+        seen.append(batch.number)
+        return Answer(ingested=1)
+
+    first = delivery._Lane(f"file:{tmp_path}/acks", "d", 0, send, 1, lambda s: None)
+    for k in range(3):
+        first.take(k, [], [])
+    with open(next((tmp_path / "acks" / "d-from-0").iterdir()), "ab") as file:  # the task dies while it writes
+        file.write(b'{"destination": "d", "ba')
+    second = delivery._Lane(f"file:{tmp_path}/acks", "d", 0, send, 1, lambda s: None)
+    for k in range(5):
+        second.take(k, [], [])
+    assert seen == [0, 1, 2, 3, 4] and second.close()[1] == 5
+    journal = Journal(spark, str(tmp_path / "journal"))
+    (tmp_path / "journal" / "rounds" / "1").mkdir(parents=True)
+    (tmp_path / "acks").rename(tmp_path / "journal" / "rounds" / "1" / "acks")
+    assert sorted(r.batch for r in journal.acknowledged(1).collect()) == [0, 1, 2, 3, 4]
