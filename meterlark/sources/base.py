@@ -146,8 +146,9 @@ def whole_files(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
 
 
 def raw_lines(files: DataFrame) -> DataFrame:
-    parts = F.split("text", "\n")
-    rows = files.select("path", F.posexplode(parts).alias("line_no", "line"), (F.size(parts) - 1).alias("last")).where("trim(line) <> ''")
+    # A file is split and its lines are counted once, before they become rows.
+    parts = files.select("path", F.split("text", "\n").alias("parts")).select("path", "parts", (F.size("parts") - 1).alias("last"))
+    rows = parts.select("path", "last", F.posexplode("parts").alias("line_no", "line")).where("trim(line) <> ''")
     return rows.select("path", F.col("line_no").cast("bigint").alias("line_no"), "line", (F.col("line_no") < F.col("last")).alias("complete"))
 
 
@@ -155,7 +156,9 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     """``lines`` with ``doc`` in place of the text; those that are no JSON are left out. Lines that a store has parsed are not parsed again."""
     if "doc" in lines.columns:
         return lines.where("doc is not null").drop("complete")
-    return lines.withColumn("doc", F.try_parse_json("line")).where("doc is not null").drop("line", "complete")
+    # As an array of one: conditions on ``doc`` are not moved below it, where each would parse the line again.
+    doc = F.explode(F.array(F.try_parse_json("line"))).alias("doc")
+    return lines.select("*", doc).where("doc is not null").drop("line", "complete")
 
 
 def numbered_lines(files: DataFrame, complete_only: bool = False) -> DataFrame:

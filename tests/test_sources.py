@@ -192,3 +192,31 @@ def test_token_claims(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def _above_generate(rows, *names):
+    """Which of the functions a plan works out above the step that makes rows of a list, so once for each row."""
+    lines = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = min(k for k, line in enumerate(lines) if "Generate" in line)
+    return [n for n in names if any(n in line for line in lines[:first])]
+
+
+def test_a_file_is_split_and_a_price_text_read_once_not_for_each_row(spark, tmp_path):
+    from meterlark.operators.pricing import prices_from_json
+    from meterlark.sources.base import raw_lines
+
+    (tmp_path / "a.txt").write_text("x")
+    texts = spark.read.text(str(tmp_path), wholetext=True)
+    lines = raw_lines(texts.selectExpr("'p' as path", "value as text"))
+    assert _above_generate(lines, "split(", "size(") == []
+    book = prices_from_json(texts, "cache")
+    assert _above_generate(book, "MapType") == []
+
+
+def test_a_line_is_parsed_once_whatever_is_asked_of_it(spark, tmp_path):
+    from meterlark.sources.base import parsed_lines, raw_lines, text_at
+
+    (tmp_path / "a.txt").write_text("x")
+    lines = parsed_lines(raw_lines(spark.read.text(str(tmp_path), wholetext=True).selectExpr("'p' as path", "value as text")))
+    asked = lines.where(text_at("doc", "$.type").isin("a", "b") & text_at("doc", "$.id").isNotNull())
+    assert asked._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1
