@@ -35,7 +35,10 @@ def prices_from_json(docs: DataFrame, layer: str) -> DataFrame:
     whole = docs.select(F.from_json("value", "map<string,variant>", {"mode": "PERMISSIVE"}).alias("m"))
     models = F.try_variant_get(F.col("m").getItem("models"), "$", "map<string,variant>")
     stamp = F.try_variant_get(F.col("m").getItem("updated_at"), "$", "string")
-    rows = whole.select(models.isNotNull().alias("condensed"), stamp.alias("updated_at"), F.explode(F.coalesce(models, F.col("m"))).alias("key", "entry"))
+    # What holds for a text is found once, before its keys become rows.
+    whole = whole.select(stamp.alias("updated_at"), models.alias("models"), "m")
+    whole = whole.select(F.col("models").isNotNull().alias("condensed"), "updated_at", F.coalesce("models", "m").alias("entries"))
+    rows = whole.select("condensed", "updated_at", F.explode("entries").alias("key", "entry"))
     rows = rows.where(F.schema_of_variant("entry").startswith("OBJECT"))
     price = lambda name: F.try_variant_get("entry", f"$.{name}", "double")
     columns = {p: F.when(F.col("condensed"), price(p)).otherwise(F.coalesce(*[price(n) for n in RAW_FIELDS[p]])) for p in PARTS}
