@@ -154,3 +154,58 @@ def test_sessions_are_asked_for_again_after_their_time(spark):
     assert land.got(stream()) == [("a", "s", 0), ("a", "s", 600), ("b", "s", 1300), ("b", "s", 700)]
     land.put(("a", "s", at(1400)), ("b", "s", at(1899)))
     assert land.got(stream()) == [("a", "s", 0), ("a", "s", 1400), ("a", "s", 600), ("b", "s", 1300), ("b", "s", 700)]
+
+
+class _Counted:
+    """A value of the state and the timers of one page, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def listTimers(self):
+        self.calls += 1
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_a_page_of_the_state_is_read_and_written_once_whatever_its_keys():
+    from types import SimpleNamespace as Of
+
+    from meterlark.streaming.timed import _Changed
+
+    page, sent = _Counted(), _Changed()
+    sent.init(page)
+    rows = lambda text: [Of(key=f"k{k}", seq=0, hash=text if k % 2 else "same") for k in range(1000)]
+    assert len(list(sent.handleInputRows(("d", 1), iter(rows("a")), None))) == 1000 and page.calls == 2
+    assert {r.key for r in sent.handleInputRows(("d", 1), iter(rows("b")), None)} == {f"k{k}" for k in range(1, 1000, 2)} and page.calls == 4
+    assert list(sent.handleInputRows(("d", 1), iter(rows("b")), None)) == [] and page.calls == 5
+
+    page, asked = _Counted(), _Requests(600, by_clock=False)
+    asked.init(page)
+    list(asked.handleInputRows((1,), iter([Of(join_id=f"j{k}", at_ms=k * 1000, kind="asked", token_hash=None) for k in range(1000)]), None))
+    assert page.calls == 4 and page.timers == {600_000}
+    # The timer of the one that ends first ends all that are over, and the next one gets the timer.
+    page.timers.clear()
+    over = asked.handleExpiredTimer((1,), Of(getCurrentWatermarkInMs=lambda: 700_000), Of(getExpiryTimeInMs=lambda: 600_000))
+    assert sorted(int(r.join_id[1:]) for r in over) == list(range(101)) and page.timers == {701_000}
+    assert len(list(asked.handleExpiredTimer((1,), Of(getCurrentWatermarkInMs=lambda: 10**9), Of(getExpiryTimeInMs=lambda: 701_000)))) == 899 and page.value is None
