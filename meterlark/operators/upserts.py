@@ -111,7 +111,11 @@ def new_buckets(uploads: DataFrame) -> DataFrame:
 
 def unknown_sources(uploads: DataFrame) -> DataFrame:
     """(source, seq): each source of buckets that is not known, and where it was first seen."""
-    return placed_buckets(uploads).where(~F.col("known")).groupBy("source").agg(F.min("seq").alias("seq"))
+    return unknown_of(placed_buckets(uploads))
+
+
+def unknown_of(placed: DataFrame) -> DataFrame:
+    return placed.where(~F.col("known")).groupBy("source").agg(F.min("seq").alias("seq"))
 
 
 def new_sessions(uploads: DataFrame) -> DataFrame:
@@ -150,17 +154,18 @@ def ingest(store: Store, uploads: DataFrame) -> Store:
     )
 
 
-def response(stored: DataFrame, uploads: DataFrame) -> DataFrame:
+def response(stored: DataFrame, uploads: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """One row: ingested, protected and dropped buckets, ingested and dropped sessions, and the unknown sources of buckets, as first seen.
 
     ``stored`` are the buckets before the uploads (the touched days suffice). A row that is sent again counts as ingested; a protected one counts as protected
-    only. A row without a place counts as dropped. Of unknown names, which clients may invent, the first MOST_UNKNOWN are listed.
+    only. A row without a place counts as dropped. Of unknown names, which clients may invent, the first MOST_UNKNOWN are listed. ``placed`` are the placed_buckets() where
+    they are kept already; they are read several times.
     """
-    rows, raw_sessions = placed_buckets(uploads), normalized_sessions(uploaded(uploads, "sessions"))
+    rows, raw_sessions = placed_buckets(uploads) if placed is None else placed, normalized_sessions(uploaded(uploads, "sessions"))
     taken = rows.where("host_id is not null").select(*BUCKET_KEY, *_tokens(stored), "seq")
     kept = protected_rows(stored.select(*BUCKET_KEY, *_tokens(stored)), taken)
     known = F.coalesce(F.col("source").isin(*SOURCES), F.lit(False))
-    first = unknown_sources(uploads).orderBy("seq").limit(MOST_UNKNOWN)
+    first = unknown_of(rows).orderBy("seq").limit(MOST_UNKNOWN)
     parts = [
         kept.agg(F.count_if(~F.col("protected")).alias("buckets"), F.count_if("protected").alias("protected")),
         rows.agg(F.count_if(F.col("host_id").isNull()).alias("dropped_buckets")),

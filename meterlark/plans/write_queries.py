@@ -117,7 +117,7 @@ UNION ALL SELECT 'host', host_id, NULL, NULL, epoch(date_trunc('second', arg_max
 UNION ALL SELECT 'host', host_id, NULL, NULL, epoch(date_trunc('second', max(u)))::BIGINT, NULL FROM (SELECT host_id, u FROM kept JOIN received USING (upload_id) WHERE source = 'cursor' QUALIFY upload_id % 2 = max(upload_id % 2) OVER (PARTITION BY host_id)) GROUP BY host_id""")
 def stored_versions(spark: SparkSession, sf_dir: str):
     """Uploads of two halves as two versions of kept tables, the second half sent twice; between the two a writer dies before its version is in force."""
-    store, uploads = SnapshotStore(spark, new_folder(spark, "store")), uploads_of(spark, sf_dir)
+    store, uploads = SnapshotStore(spark, new_folder(spark, "store")), uploads_of(spark, sf_dir).checkpoint()
     store.ingest(uploads.where("upload_id % 2 = 0"))
     store.stage(store.begin(), uploads.where("upload_id % 2 = 1"))
     store.ingest(uploads.where("upload_id % 2 = 1"))

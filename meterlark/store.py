@@ -210,11 +210,12 @@ class SnapshotStore:
         # Read several times below, and cut from its lineage so that all readings are one.
         shared_folder(self.spark)
         uploads = uploads.checkpoint()
-        batch = upserts.new_buckets(uploads).select(*[f.name for f in BUCKET.fields], "account_hash", "account_label", "received_at", "seq")
+        placed = upserts.placed_buckets(uploads).checkpoint()
+        batch = placed.where("host_id is not null").select(*[f.name for f in BUCKET.fields], "account_hash", "account_label", "received_at", "seq")
         sessions = upserts.new_sessions(uploads)
         days = _parts_in(batch, "buckets")
         stored = base.read("buckets", days)
-        answer = upserts.response(stored, uploads)
+        answer = upserts.response(stored, uploads, placed)
         answer = self.spark.createDataFrame(answer.collect(), answer.schema)  # one row; it rests on the version before
         self._put_buckets(write, stored, batch, days)
         slices = _parts_in(sessions, "sessions")

@@ -274,3 +274,17 @@ def test_panels_read_each_table_once(spark, name, tables):
     """The rollups, and the facts of the window's first and last day; prices and names bring no other scan."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan") == tables
+
+
+def test_a_write_places_the_rows_of_uploads_once(spark, monkeypatch):
+    from meterlark.operators import upserts
+    from meterlark.plans.write_queries import uploads_of
+    from meterlark.session import new_folder
+    from meterlark.store import SnapshotStore
+
+    asked, real = [], upserts.placed_buckets
+    monkeypatch.setattr(upserts, "placed_buckets", lambda uploads: asked.append(1) or real(uploads))
+    store, uploads = SnapshotStore(spark, new_folder(spark, "placed")), uploads_of(spark, "/root/testdata/sf0.001").where("upload_id < 20")
+    _, answer = store.ingest(uploads)
+    assert len(asked) == 1
+    assert answer.collect() == upserts.response(spark.createDataFrame([], upserts.uploaded(uploads, "buckets").limit(0).schema).select("host_id", "source", "model", "project", "bucket_start", *[c for c in ("input", "output", "cache_read", "cache_creation", "reasoning")]), uploads).collect()
