@@ -1,14 +1,15 @@
 """Phrase collocation mining: the phrases of two to four words whose words belong together, by language.
 
-Depth-limited count tries (phrase_tries.py), twice over all texts:
+Texts are cut into words once: a task numbers the words of about SHARD_WORDS words (a shard) and keeps the numbers in the shared folder. Two passes read them:
 
-1. Every task builds tries of depth 2 over shards of about SHARD_WORDS words; each is serialised in order and cut into ranges of prefixes, and a task
-   per range merges its parts. Pairs with fewer than ``least`` occurrences are known after this, exactly; the others go to a bitset
-   of fixed size (8 MB), as no longer phrase is frequent unless all its pairs are.
-2. Tries of the whole depth, whose paths go on only along pairs of the bitset, merged in the same way. A walk down to a phrase passes the counts of its
+1. The keys (64-bit hashes) of words and of pairs of neighbouring words are counted by ranges of keys. Those with at least ``least`` occurrences go to a bitset
+   of fixed size (8 MB), as no longer phrase is frequent unless all its words and pairs are. Keys that meet keep more than is needed, never less.
+2. Depth-limited count tries (phrase_tries.py) whose paths begin and go on only along words and pairs of the bitset; each is serialised in order and cut into
+   ranges of prefixes, and a task per range merges its parts. A walk down to a phrase passes the counts of its
    left parts; a phrase's suffix link leads to the phrase without its first word, a join by equality, and gives the counts of its right parts.
 
-Where the ranges begin is taken from paths of a bounded sample of documents; that balances tasks and changes no result. Everything after the
+Where the ranges of prefixes begin, and how many there are, is taken from paths at a bounded number of places; that balances tasks and changes no result.
+A shard is cut once for all ranges, so time grows with the texts. Everything after the
 merge is over phrases with at least ``least`` occurrences. The first ``top`` of each language are ranked among hash slices first, so
 that a language with most of the phrases is not sorted by one task.
 
@@ -18,25 +19,28 @@ An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-import random
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .common import Scratch
-from .phrase_tries import BREAK, PAIR_BITS, Path, Shard, frequent_nodes, merged, pair_slots, read_part, word_hashes, words_of
+from .phrase_tries import BREAK, FILTER_BITS, KEY_BITS, OF_FIRST, OF_LANG, OF_SECOND, Numbered, Path, Shard, frequent_keys, frequent_nodes, merged, mixed, passes, read_part, word_hashes
 
 MOST_WORDS = 4
 SHARD_WORDS = 3_000_000
-#: Nodes of all shards that a merging task is meant to get.
-RANGE_NODES = 1_500_000
-#: Documents, and paths of each, from which the first paths of ranges are taken.
-SAMPLED_DOCS, SAMPLED_PATHS = 1000, 40
+#: Nodes of all shards that a merging task is meant to get, and words whose keys a counting task is.
+RANGE_NODES, RANGE_WORDS = 3_000_000, 4_000_000
+#: Places of a shard, and shards, from which the first paths of ranges are taken.
+SAMPLED_PATHS, SAMPLED_SHARDS = 500, 400
+#: Bytes of texts that are cut into words at once.
+CUT_BYTES = 8_000_000
 SLICES = 64
 
 
@@ -44,54 +48,107 @@ def texts_by_lang(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def range_starts(rows: DataFrame, n: int, ranges: int, depth: int) -> list[Path]:
-    """The first path of every range but the first one. A sample of bounded size; any choice is right, a good one is balanced."""
-    if ranges < 2:
-        return []
-
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                words, lang = words_of(text.as_py()), lang.as_py().encode()
-                for at in random.Random(len(words)).sample(range(len(words)), min(SAMPLED_PATHS, len(words))):
-                    piece = words[at : at + depth]
-                    out.append(BREAK.join([lang, *piece[: piece.index(BREAK) if BREAK in piece else depth]]))
-            yield pa.record_batch([pa.array(out, pa.binary())], names=["path"])
-
-    sample = rows.where(F.length("text") > 0)
-    if n > SAMPLED_DOCS:
-        sample = sample.sample(fraction=min(1.0, 2 * SAMPLED_DOCS / n), seed=1)
-    found = sample.limit(SAMPLED_DOCS).mapInArrow(paths, "path binary").distinct().collect()
-    ordered = sorted({tuple(bytes(r.path).split(BREAK)) for r in found})
-    return sorted({ordered[k * len(ordered) // ranges] for k in range(1, ranges)}) if ordered else []
-
-
-def shard_parts(rows: DataFrame, starts: list[Path], depth: int, passing: bytes | None, shard_words: int) -> DataFrame:
-    """(range, part): the tries of all shards, cut."""
-    schema = pa.schema([("range", pa.int32()), ("part", pa.binary())])
-    shared = rows.sparkSession.sparkContext.broadcast(passing) if passing else None
+def numbered_shards(rows: DataFrame, depth: int, shard_words: int) -> DataFrame:
+    """(size, different, shard, paths): how many words each shard has and how many different ones; the words, numbered; some of their paths."""
+    schema = pa.schema([("size", pa.int64()), ("different", pa.int64()), ("shard", pa.binary()), ("paths", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(depth, np.frombuffer(shared.value, np.uint8) if shared else None)
+        shard = Shard()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if shard.size:
-                trie = shard.trie()
+                found = shard.numbered()
                 shard.clear()
-                for r, part in trie.cut(starts):
-                    yield pa.record_batch([pa.array([r], pa.int32()), pa.array([part], pa.binary())], schema=schema)
+                columns = [[len(found.ids)], [len(found.words)], [found.packed()], [found.sampled_paths(SAMPLED_PATHS, depth)]]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1)):
+            langs, texts = batch.columns
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            k = 0
+            while k < len(texts):
                 if shard.size >= shard_words:
                     yield from flush()
-                shard.add(lang.as_py().encode(), text.as_py())
+                most = min(CUT_BYTES, 6 * (shard_words - shard.size)) + (ends[k - 1] if k else 0)
+                n = max(1, int(np.searchsorted(ends, most, "right")) - k)
+                shard.add_all(langs.slice(k, n), texts.slice(k, n))
+                k += n
         yield from flush()
 
     return rows.mapInArrow(run, from_arrow_schema(schema))
 
 
+def range_starts(shards: DataFrame, n: int, size: int, different: int, passing: bytes, tasks: int, range_nodes: int) -> list[Path]:
+    """The first path of every range but the first one, from paths of at most SAMPLED_SHARDS of ``n`` shards. Any choice is right, a good one is balanced."""
+    if n > SAMPLED_SHARDS:
+        shards = shards.sample(fraction=min(1.0, 2 * SAMPLED_SHARDS / n), seed=1).limit(SAMPLED_SHARDS)
+    filled, sampled, nodes, found = np.frombuffer(passing, np.uint8), 0, 0, []
+    for row in shards.select("paths").collect():
+        paths = [bytes(p).split(BREAK) for p in row.paths]
+        sampled += len(paths)
+        names = list({w for p in paths for w in p})
+        hashes = dict(zip(names, word_hashes(names)))
+        for lang, *words in paths:
+            above, parts = np.asarray([hashes[lang]]) * OF_LANG, np.asarray([hashes[w] for w in words], np.uint64)
+            alive = passes(filled, mixed(above + parts * OF_FIRST))
+            alive[1:] &= passes(filled, mixed(above + parts[:-1] * OF_FIRST + parts[1:] * OF_SECOND))
+            there = len(words) if alive.all() else int(alive.argmin())
+            nodes += max(0, there - 1)
+            found.append((lang, *words[:there]))
+    nodes = different + nodes * size // max(1, sampled)  # of all shards, as if no phrase came twice in one
+    ranges = max(1, -(-nodes // range_nodes), min(tasks, nodes // 100_000))
+    ordered = sorted(set(found))
+    return sorted({ordered[k * len(ordered) // ranges] for k in range(1, ranges)}) if ordered else []
+
+
+def frequent_filter(shards: DataFrame, size: int, tasks: int, least: int, range_words: int) -> bytes:
+    """The bitset of words and pairs with at least ``least`` occurrences among ``size`` words."""
+    wanted = max(1, -(-size // range_words), min(tasks, size // 100_000))
+    bits = min(KEY_BITS, (wanted - 1).bit_length())
+    schema = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                for starts, keys, times in Numbered.unpacked(data.as_py()).counted_keys(bits, least):
+                    columns = [pa.Array.from_buffers(pa.binary(), 1 << bits, [None, pa.py_buffer((starts * c.itemsize).astype(np.int32)), pa.py_buffer(c)]) for c in (keys, times)]
+                    parts = pa.record_batch([pa.array(np.arange(1 << bits, dtype=np.int32)), *columns], schema=schema)
+                    yield parts.filter(pa.array(np.diff(starts) > 0))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = defaultdict(list), defaultdict(list)
+        for batch in batches:
+            for r, some, often in zip(*batch.columns):
+                keys[r.as_py()].append(np.frombuffer(some.as_buffer(), np.uint32))
+                times[r.as_py()].append(np.frombuffer(often.as_buffer(), np.uint8 if least < 256 else np.uint32))
+        for r in list(keys):
+            stretch = frequent_keys(np.concatenate(keys.pop(r)), np.concatenate(times.pop(r)), least, bits)
+            yield pa.record_batch([pa.array([r], pa.int32()), pa.array([stretch], pa.binary())], names=["range", "stretch"])
+
+    parts = shards.select("shard").mapInArrow(counted, from_arrow_schema(schema))
+    found = parts.repartitionById(1 << bits, "range").mapInArrow(stretches, "range int, stretch binary").collect()  # the bitset, 8 MB at most
+    passing, each = bytearray(1 << (FILTER_BITS - 3)), 1 << (FILTER_BITS - 3 - bits)
+    for r in found:
+        passing[r.range * each : (r.range + 1) * each] = r.stretch
+    return bytes(passing)
+
+
+def shard_parts(shards: DataFrame, starts: list[Path], depth: int, passing: bytes) -> DataFrame:
+    """(range, part): the tries of all shards, cut."""
+    schema = pa.schema([("range", pa.int32()), ("part", pa.binary())])
+    shared = shards.sparkSession.sparkContext.broadcast((passing, starts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, firsts = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
+        for batch in batches:
+            for data in batch.column(0):
+                parts = Numbered.unpacked(data.as_py()).trie(depth, filled).cut(firsts)
+                while some := list(islice(parts, 100)):
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+    return shards.select("shard").mapInArrow(run, from_arrow_schema(schema))
+
+
 def by_range(parts: DataFrame, starts: list[Path], schema: pa.Schema, rows_of) -> DataFrame:
     """``rows_of(trie, first path)`` over the merged trie of each range; a task holds one range at a time."""
     dealt = parts.repartitionById(len(starts) + 1, "range").sortWithinPartitions("range")
@@ -105,35 +162,12 @@ def by_range(parts: DataFrame, starts: list[Path], schema: pa.Schema, rows_of) -
     return dealt.mapInArrow(run, from_arrow_schema(schema))
 
 
-def frequent_pairs(rows: DataFrame, starts: list[Path], least: int, shard_words: int) -> bytes:
-    """The bitset of pairs with at least ``least`` occurrences."""
-    schema = pa.schema([("slot", pa.int64())])
-
-    def slots(trie, start) -> Iterator[pa.RecordBatch]:
-        lang, first, pair = trie.levels
-        hashes = word_hashes(trie.words)
-        at = np.flatnonzero(pair.count >= least)  # a pair whose count another range holds as well is the same one
-        above = pair.parent[at]
-        found = pair_slots(hashes[lang.word[first.parent[above]]], hashes[first.word[above]], hashes[pair.word[at]])
-        yield pa.record_batch([pa.array(np.unique(found))], schema=schema)
-
-    found = by_range(shard_parts(rows, starts, 2, None, shard_words), starts, schema, slots)
-    # Each row is 64 bits of the set: at most 2^20 rows come to the driver, whatever the input.
-    bits = found.groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
-    passing = np.zeros(1 << (PAIR_BITS - 6), np.int64)
-    passing[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
-    return passing.astype("<i8").tobytes()
-
-
-def counted_phrases(docs: DataFrame, least: int = 30, most_words: int = MOST_WORDS, shard_words: int = SHARD_WORDS, range_nodes: int = RANGE_NODES) -> DataFrame:
+def counted_phrases(shards: DataFrame, least: int = 30, most_words: int = MOST_WORDS, range_nodes: int = RANGE_NODES, range_words: int = RANGE_WORDS) -> DataFrame:
     """lang, words, a (occurrences), lefts (those of its first word, first two words and so on), n (words of the language), for phrases of up to ``most_words`` words with a >= ``least``."""
-    rows = texts_by_lang(docs)
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    nodes = size // 6 * most_words  # words have about six bytes
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, -(-nodes // range_nodes), min(tasks, nodes // 100_000))
-    starts = range_starts(rows, n, ranges, most_words)
-    passing = frequent_pairs(rows, starts, least, shard_words)
+    n, size, different = shards.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("different"), F.lit(0))).first()
+    tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    passing = frequent_filter(shards, size, tasks, least, range_words)
+    starts = range_starts(shards, n, size, different, passing, tasks, range_nodes)
     schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("a", pa.int64()), ("lefts", pa.list_(pa.int64())), ("n", pa.int64())])
 
     def phrases(trie, start) -> Iterator[pa.RecordBatch]:
@@ -141,7 +175,7 @@ def counted_phrases(docs: DataFrame, least: int = 30, most_words: int = MOST_WOR
         for k in range(0, len(found), 50_000):
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found[k : k + 50_000]), schema)], schema=schema)
 
-    return by_range(shard_parts(rows, starts, most_words, passing, shard_words), starts, schema, phrases)
+    return by_range(shard_parts(shards, starts, most_words, passing), starts, schema, phrases)
 
 
 def exact(column: str) -> Column:
@@ -182,10 +216,12 @@ def not_contained(phrases: DataFrame, most_words: int, share: int) -> DataFrame:
     return met.where(F.coalesce(100 * exact("longer") < share * exact("a"), F.lit(True))).drop("longer")
 
 
-def mine_phrases(docs: DataFrame, least: int = 30, top: int = 2000, share: int = 80, most_words: int = MOST_WORDS, **options) -> DataFrame:
+def mine_phrases(docs: DataFrame, least: int = 30, top: int = 2000, share: int = 80, most_words: int = MOST_WORDS, shard_words: int = SHARD_WORDS, **options) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the first ``top`` phrases of each language; ``least`` is at least 1."""
     scratch = Scratch(docs.sparkSession)
-    counted = scratch.keep(counted_phrases(docs, least, most_words, **options).repartition("words"))  # few files in place of one for each range
+    shards = scratch.keep(numbered_shards(texts_by_lang(docs), most_words, shard_words))
+    counted = scratch.keep(counted_phrases(shards, least, most_words, **options).repartition("words"))  # few files in place of one for each range
+    scratch.drop(shards)
     found = scratch.keep(lowest_cut(with_rights(counted, most_words).where(F.size("words") >= 2)))
     scratch.drop(counted)
     found = not_contained(found, most_words, share).select("lang", "phrase", "a", "l", "r", "n", "score")

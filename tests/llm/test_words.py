@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from fixtures import SF, WORDS, edge_docs, edge_rows, no_docs, table
@@ -179,6 +180,72 @@ def test_tries_cut_and_merged(spark):
     assert sorted(found) == sorted(tries.frequent_nodes(whole.trie(), 1, None))
 
 
+def test_a_trie_is_cut_at_one_cost_for_all_ranges():
+    """Keys of all nodes made anew for each range: time that grows with the square of the texts."""
+    made = Counter()
+
+    class Counted(np.ndarray):
+        def __mul__(self, other):
+            made["keys"] += 1
+            return np.asarray(self) * other
+
+    shard = tries.Shard(3)
+    shard.add(b"en", " ".join(random.Random(5).choices("abcdefgh", k=2000)))
+    trie = shard.trie()
+    starts = sorted((b"en", a.encode(), b.encode()) for a in "abcdefgh" for b in "abcdefgh")
+    want = list(trie.cut(starts))
+    for level in trie.levels:
+        level.parent = level.parent.view(Counted)
+    assert list(trie.cut(starts)) == want and len(want) == len(starts) + 1
+    assert made["keys"] <= len(trie.levels)
+
+
+def test_texts_are_cut_into_words_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = phrase_rows(9)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3).mapInArrow(read, "lang string, text string")
+    assert mine_phrases(docs, least=5, top=60, shard_words=100, range_nodes=400).count() > 0
+    assert seen.value == len(rows)
+
+
+@pytest.mark.parametrize("least, sampled", [(5, 3), (300, 400)])
+def test_phrases_over_many_ranges_of_keys(spark, monkeypatch, least, sampled):
+    from meterlark.llm import phrases
+
+    monkeypatch.setattr(phrases, "SAMPLED_SHARDS", sampled)
+    rows = phrase_rows(11)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    got = mine_phrases(docs, least=least, top=60, shard_words=50, range_nodes=400, range_words=40)
+    want = plain_phrases(rows, least, 60)
+    assert want and sorted(map(tuple, got.collect())) == want
+
+
+def test_words_cut_numbered_and_packed():
+    rng = random.Random(2)
+    texts = ["", " \t", ".", "A\u00c4.b", "x" * 300, *("".join(rng.choices("aB\u00e9 \t.,;:!?\n\x0b\x0c\r\x1c\u2003", k=rng.randrange(40))) for _ in range(300))]
+    want, all_texts = [], pa.array(["skipped. ", *texts])
+    for text in texts:
+        pieces = re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+        want.append([(w.encode(), k == 0) for piece in pieces for k, w in enumerate(re.findall(r"[^\x20\x09]+", piece))])
+    for kind in (pa.string(), pa.large_string()):
+        words, begins, each = tries.cut_words(all_texts.cast(kind).slice(1))
+        assert list(zip(words.to_pylist(), begins.tolist())) == sum(want, []) and each.tolist() == [len(w) for w in want]
+    shard, langs = tries.Shard(), ["en", "", "d\u00e9"]
+    for k, text in enumerate(texts):
+        shard.add(langs[k % 3].encode(), text)
+    found = tries.Numbered.unpacked(shard.numbered().packed())
+    told = [(found.langs[a].decode(), found.words[b].as_py(), c) for a, b, c in zip(found.lang, found.ids.tolist(), found.begins.tolist())]
+    assert told == [(langs[k % 3], *w) for k, ws in enumerate(want) for w in ws] and found.listed() == found.words.to_pylist()
+    with pytest.raises(pa.ArrowInvalid):
+        tries.cut_words(pa.array([b"a \xff b"]).view(pa.string()))
+
+
 # Byte-level BPE
 
 ODD = ["ꟲ x\U00010570y", "a b　 c", "ࡰࡱ 5٣²", "don't'LL 'tis", "  \n\n  x  ", "\U0001f600é́", "0" * 700 + "a" * 300 + "-" * 400, "ab" * 150, "\x00\x1c\x85"]
