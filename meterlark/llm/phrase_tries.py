@@ -113,7 +113,9 @@ def in_order(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
         both = keys << bits
         both |= np.arange(len(keys))
         both.sort()
-        return both >> bits, both & ((1 << bits) - 1)
+        ordered = both >> bits
+        both &= (1 << bits) - 1
+        return ordered, both
     order = np.argsort(keys, kind="stable")
     return keys[order], order
 

@@ -34,7 +34,7 @@ from .common import Scratch
 from .phrase_tries import BREAK, FILTER_BITS, KEY_BITS, OF_FIRST, OF_LANG, OF_SECOND, Numbered, Path, Shard, frequent_keys, frequent_nodes, merged, mixed, passes, read_part, word_hashes
 
 MOST_WORDS = 4
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 2_000_000
 #: Nodes of all shards that a merging task is meant to get, and words whose keys a counting task is.
 RANGE_NODES, RANGE_WORDS = 3_000_000, 4_000_000
 #: Places of a shard, and shards, from which the first paths of ranges are taken.
@@ -82,22 +82,22 @@ def range_starts(shards: DataFrame, n: int, size: int, different: int, passing:
     """The first path of every range but the first one, from paths of at most SAMPLED_SHARDS of ``n`` shards. Any choice is right, a good one is balanced."""
     if n > SAMPLED_SHARDS:
         shards = shards.sample(fraction=min(1.0, 2 * SAMPLED_SHARDS / n), seed=1).limit(SAMPLED_SHARDS)
-    filled, sampled, nodes, found = np.frombuffer(passing, np.uint8), 0, 0, []
+    filled, sampled, nodes, found = np.frombuffer(passing, np.uint8), 0, 0, set()
     for row in shards.select("paths").collect():
-        paths = [bytes(p).split(BREAK) for p in row.paths]
+        paths = [tuple(bytes(p).split(BREAK)) for p in row.paths]
+        each = np.asarray([len(p) - 1 for p in paths])
+        first = np.cumsum(each) - each
+        place = np.arange(each.sum()) - np.repeat(first, each)
+        langs, words = np.repeat(word_hashes(p[0] for p in paths) * OF_LANG, each), word_hashes(w for p in paths for w in p[1:])
+        alive = passes(filled, mixed(langs + words * OF_FIRST))
+        alive[1:] &= passes(filled, mixed(langs[1:] + words[:-1] * OF_FIRST + words[1:] * OF_SECOND)) | (place[1:] == 0)
+        there = np.minimum.reduceat(np.where(alive, np.repeat(each, each), place), first)
         sampled += len(paths)
-        names = list({w for p in paths for w in p})
-        hashes = dict(zip(names, word_hashes(names)))
-        for lang, *words in paths:
-            above, parts = np.asarray([hashes[lang]]) * OF_LANG, np.asarray([hashes[w] for w in words], np.uint64)
-            alive = passes(filled, mixed(above + parts * OF_FIRST))
-            alive[1:] &= passes(filled, mixed(above + parts[:-1] * OF_FIRST + parts[1:] * OF_SECOND))
-            there = len(words) if alive.all() else int(alive.argmin())
-            nodes += max(0, there - 1)
-            found.append((lang, *words[:there]))
+        nodes += int((there - 1).clip(min=0).sum())
+        found.update(p[: k + 1] for p, k in zip(paths, there.tolist()))
     nodes = different + nodes * size // max(1, sampled)  # of all shards, as if no phrase came twice in one
     ranges = max(1, -(-nodes // range_nodes), min(tasks, nodes // 100_000))
-    ordered = sorted(set(found))
+    ordered = sorted(found)
     return sorted({ordered[k * len(ordered) // ranges] for k in range(1, ranges)}) if ordered else []
 
 
